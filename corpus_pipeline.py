@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loomtext.llm import exact_dedup, mix, packing, rules
+from loomtext.llm import exact_dedup, mix, near_dedup, packing, rules
 from loomtext.llm.common import materialise, table
 from loomtext.llm.queries import tokenizer_path
 
@@ -17,6 +17,10 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.unique(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.unique(docs)
+
+
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix.mix(docs)
 
@@ -25,7 +29,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.packed(docs, tokenizer_path())
 
 
-STAGES = [("quality rules", quality_rules), ("exact dedup", exact), ("mixing", mixing), ("packing", pack)]
+STAGES = [("quality rules", quality_rules), ("exact dedup", exact), ("near dedup", near), ("mixing", mixing), ("packing", pack)]
 ORACLE_SQL = None
 
 
