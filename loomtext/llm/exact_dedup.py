@@ -22,12 +22,17 @@ def keyed_state(spark: SparkSession, path: str, schema) -> DataFrame:
     The state is a streaming aggregate in RocksDB under the shared folder, without a watermark and so without expiry. A digest keeps the
     identifier of the row that stays, the locator of its content, and the number of rows. Map-side partial aggregation sends one row a
     digest and task, so a hot group is no hot task. A stream that failed or stopped goes on from its checkpoint."""
-    names = ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled")
-    before = {n: spark.conf.get(n, None) for n in names}
+    own = {
+        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        # Else every partition of the state reserves some MB of disk before it holds a row.
+        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+    }
+    before = {n: spark.conf.get(n, None) for n in own}
     out = shared_dir(spark, "dedup-state")
     try:
-        spark.conf.set(names[0], ROCKSDB)
-        spark.conf.set(names[1], "true")
+        for n, v in own.items():
+            spark.conf.set(n, v)
         stays = F.max(F.struct(F.col("doc_id"), F.col("row"), F.col("locator"))).alias("keeper")
         state = spark.readStream.schema(schema).parquet(path).groupBy("text_sha256").agg(stays, F.count("*").alias("group_size"), F.max("bytes").alias("bytes"))
         query = state.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{out}/checkpoint").foreachBatch(
