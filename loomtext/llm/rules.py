@@ -7,10 +7,11 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, lower_ascii
+from .common import SPACE, materialise
 
-#: Character classes; what is in none of them is a class of its own.
-CLASSES = ("[aeiou]", "[b-df-hj-np-tv-z]", "[A-Z]", "[^\\x00-\\x7F]", "[0-9]", "[.,;:'\"()-]", "[!?]", "[#*$%&|<>=+_~^{}\\[\\]\\\\/@`]", SPACE)
+#: Character classes that are counted once runs of a-z are gone; a-z is the first class, what is in none of them the last.
+CLASSES = ("[A-Z]", "[^\\x00-\\x7F]", "[0-9]", "[.,;:'\"()-]", "[!?]", "[#*$%&|<>=+_~^{}\\[\\]\\\\/@`]", SPACE)
+SIZE = len(CLASSES) + 2
 #: Common words by language: fixed values.
 COMMON: Mapping[str, Sequence[str]] = {
     "en": ("the", "of", "and", "to", "in", "is", "a", "that", "it", "for", "was", "with", "on", "as", "this", "be"),
@@ -28,6 +29,8 @@ LONG_CHARS = 300
 #: Least distance from any language that rejects by itself: classes of short and of long texts, common words.
 MAX_CLASS_DISTANCE = (0.60, 0.27)
 MAX_COMMON_DISTANCE = 0.45
+#: Farthest from its language's histograms that a document of the second and third reference round may be.
+TRIM = ((0.25, 0.45), (0.25, 0.25))
 #: Distances that reject if both are passed.
 MAX_BOTH_DISTANCES = (0.17, 0.215)
 
@@ -70,9 +73,17 @@ def repeated_lines(text: Column) -> Column:
     return bound(lines, lambda a: (F.size(a) - F.size(F.array_distinct(a))).cast("long"))
 
 
+def without(text: Column, pattern: str) -> Column:
+    return F.regexp_replace(text, f"{pattern}+", "")
+
+
 def class_counts(text: Column) -> Column:
-    known = [F.regexp_count(text, F.lit(c)).cast("double") for c in CLASSES]
-    return bound(F.array(*known), lambda a: F.concat(a, F.array(F.length(text) - F.aggregate(a, F.lit(0.0), lambda x, y: x + y))))
+    """How many characters of each class; regexp_count would make a string of every match."""
+    def of(rest: Column) -> Column:
+        known = [F.length(rest) - F.length(without(rest, c)) for c in CLASSES]
+        return bound(F.array(F.length(text) - F.length(rest), *known), lambda a: F.concat(a, F.array(F.length(text) - F.aggregate(a, F.lit(0), lambda x, y: x + y))))
+
+    return bound(without(text, "[a-z]"), of)
 
 
 def vocabulary(common: Mapping[str, Sequence[str]] = COMMON) -> list[str]:
@@ -80,17 +91,18 @@ def vocabulary(common: Mapping[str, Sequence[str]] = COMMON) -> list[str]:
 
 
 def common_counts(words: Column, vocab: Sequence[str]) -> Column:
-    """Counts of each common word (A-Z lower-cased), then of all other words."""
+    """Counts of each common word in lower case, with a capital or in capitals, then of all other words."""
+    forms = sorted({f for w in vocab for f in (w, w.capitalize(), w.upper())})
+
     def of(found: Column) -> Column:
-        each = [(F.size(found) - F.size(F.array_remove(found, w))).cast("double") for w in vocab]
-        return F.array(*each, (F.size(words) - F.size(found)).cast("double"))
+        each = [F.size(found) - F.size(F.array_remove(found, w)) for w in vocab]
+        return F.array(*each, F.size(words) - F.size(found))
 
-    lowered = F.split(lower_ascii(F.concat_ws(" ", F.filter(words, lambda w: F.length(w) <= max(map(len, vocab))))), " ")
-    return bound(F.filter(lowered, lambda w: w.isin(list(vocab))), of)
+    return bound(F.transform(F.filter(words, lambda w: w.isin(forms)), F.lower), of)
 
 
 def normalised(counts: Column) -> Column:
-    return bound(counts, lambda a: bound(F.aggregate(a, F.lit(0.0), lambda x, y: x + y), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n))))
+    return bound(counts, lambda a: bound(F.aggregate(a, F.lit(0), lambda x, y: x + y), lambda n: F.when(n > 0, F.transform(a, lambda x: x / n))))
 
 
 def distance(p: Column, q: Sequence[float]) -> Column:
@@ -100,61 +112,87 @@ def distance(p: Column, q: Sequence[float]) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda x, y: x + y)))
 
 
-def references(docs: DataFrame, *, text: str = "text", lang: str = "lang", common: Mapping[str, Sequence[str]] = COMMON) -> dict[str, tuple[list[float], list[float]]]:
-    """Median class and common-word histograms of all documents of each known language that are long enough.
-
-    Medians, so that a minority of junk does not move them; each is from a quantile sketch of fixed size with partial results. One short
-    row for each language of `common` at most comes back to the driver, whatever the corpus."""
-    vocab = vocabulary(common)
-    rows = docs.select(docs[lang].alias("lang"), docs[text].alias("text")).where(F.col("lang").isin(list(common)))
-    rows = rows.withColumn("w", words_of(F.col("text"))).where(F.size("w") >= MIN_WORDS_FOR_COMMON)
-    rows = rows.select("lang", normalised(class_counts(F.col("text"))).alias("c"), normalised(common_counts(F.col("w"), vocab)).alias("v"))
-    rows = rows.where("c IS NOT NULL AND v IS NOT NULL")
-    n, m = len(CLASSES) + 1, len(vocab) + 1
-    middle = [F.percentile_approx(F.col(k)[i], 0.5, 1000).alias(f"{k}{i}") for k, size in (("c", n), ("v", m)) for i in range(size)]
-    rows = rows.groupBy("lang").agg(*middle).collect()
-    whole = lambda xs: [x / (sum(xs) or 1.0) for x in xs]
-    return {r["lang"]: (whole([r[f"c{i}"] for i in range(n)]), whole([r[f"v{i}"] for i in range(m)])) for r in rows}
-
-
-def measured(docs: DataFrame, keep: Sequence[str], *, text: str = "text", lang: str = "lang", common: Mapping[str, Sequence[str]] = COMMON) -> DataFrame:
-    """`keep` columns (as k_*), the base counts, both distances and the verdict. See judge()."""
-    refs = references(docs, text=text, lang=lang, common=common)
-    vocab = vocabulary(common)
-    rows = docs.select(*[docs[c].alias(f"k_{c}") for c in keep], F.coalesce(docs[text], F.lit("")).alias("_text"))
-    rows = rows.withColumn("_w", words_of(F.col("_text")))
-    rows = rows.select(
-        *[f"k_{c}" for c in keep],
-        F.size("_w").cast("long").alias("n_words"),
-        (F.length("_text") - F.regexp_count("_text", F.lit(SPACE))).cast("long").alias("word_chars"),
-        F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
-        repeated_lines(F.col("_text")).alias("n_dup_lines"),
-        repeated_words(F.col("_w")).alias("n_repeat_words"),
-        F.length("_text").alias("_chars"),
-        normalised(class_counts(F.col("_text"))).alias("_c"),
-        normalised(common_counts(F.col("_w"), vocab)).alias("_v"),
-    )
-    least = lambda col, which: F.least(*[distance(F.col(col), r[which]) for r in refs.values()], F.lit(1.0)) if refs else F.lit(0.0)
-    rows = rows.withColumn("class_distance", F.when(F.col("_chars") >= MIN_CHARS_FOR_CLASSES, least("_c", 0)))
-    rows = rows.withColumn("common_distance", F.when(F.col("n_words") >= MIN_WORDS_FOR_COMMON, least("_v", 1)))
-    rows = rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
-    classes, words = F.coalesce(F.col("class_distance"), F.lit(0.0)), F.coalesce(F.col("common_distance"), F.lit(0.0))
-    alone = (classes > F.when(F.col("_chars") >= LONG_CHARS, MAX_CLASS_DISTANCE[1]).otherwise(MAX_CLASS_DISTANCE[0])) | (words > MAX_COMMON_DISTANCE)
-    both = (classes > MAX_BOTH_DISTANCES[0]) & (words > MAX_BOTH_DISTANCES[1])
-    return rows.withColumn("kept", ~F.col("base_failed") & ~alone & ~both)
-
-
-def judge(docs: DataFrame, **options) -> DataFrame:
+def measures(text: Column, common: Mapping[str, Sequence[str]] = COMMON, base: bool = True) -> Column:
+    """A struct of all that a text is measured by, its words split once."""
+    body, vocab = F.coalesce(text, F.lit("")), vocabulary(common)
+
+    def of(words: Column) -> Column:
+        own = [
+            F.size(words).cast("long").alias("n_words"),
+            F.length(body).cast("long").alias("chars"),
+            class_counts(body).alias("c"),
+            common_counts(words, vocab).alias("v"),
+        ]
+        if base:
+            own += [
+                F.length(without(body, SPACE)).cast("long").alias("word_chars"),
+                (F.length(body) - F.length(without(body, "[#*$%&|<>]"))).cast("long").alias("n_symbols"),
+                repeated_lines(body).alias("n_dup_lines"),
+                repeated_words(words).alias("n_repeat_words"),
+            ]
+        return F.struct(*own)
+
+    return bound(words_of(body), of)
+
+
+Reference = dict[str, tuple[list[float], list[float]]]
+
+
+def references(counts: DataFrame, common: Mapping[str, Sequence[str]] = COMMON) -> Reference:
+    """Mean class and common-word histograms of each known language. `counts`: lang, m, narrow and cheap to read again.
+
+    The first means are over all documents that are long enough; two more rounds leave out what is far from its language's means so far,
+    so that a minority of junk does not shape them. Sums are partial; one short row for each language of `common` at most comes back to
+    the driver in a round, whatever the corpus."""
+    size = len(vocabulary(common)) + 1
+    rows = counts.where(F.col("lang").isin(list(common)) & (F.col("m.n_words") >= MIN_WORDS_FOR_COMMON))
+    rows = rows.select("lang", normalised(F.col("m.c")).alias("c"), normalised(F.col("m.v")).alias("v"))
+    means = [F.avg(F.col(k)[i]).alias(f"{k}{i}") for k, n in (("c", SIZE), ("v", size)) for i in range(n)]
+    found: Reference = {}
+    for bounds in (None, *TRIM):
+        near = rows
+        if bounds:
+            far = [F.coalesce(*[F.when(F.col("lang") == name, distance(F.col(k), q[w])) for name, q in found.items()]) for w, k in enumerate("cv")] if found else None
+            near = rows.where((far[0] <= bounds[0]) & (far[1] <= bounds[1])) if far else rows
+        got = near.groupBy("lang").agg(*means).collect()
+        found |= {r["lang"]: ([r[f"c{i}"] for i in range(SIZE)], [r[f"v{i}"] for i in range(size)]) for r in got}
+    return found
+
+
+def verdict(m: Column, refs: Reference) -> Column:
+    """struct(base_failed, class_distance, common_distance, kept) of measured text. See judge()."""
+    def least(counts: Column, which: int) -> Column:
+        if not refs:
+            return F.lit(0.0)
+        return bound(normalised(counts), lambda p: F.least(*[distance(p, r[which]) for r in refs.values()], F.lit(1.0)))
+
+    def decide(d: Column) -> Column:
+        classes, words = F.coalesce(d["classes"], F.lit(0.0)), F.coalesce(d["words"], F.lit(0.0))
+        failed = (m["n_words"] < MIN_WORDS) | (100 * m["n_repeat_words"] > MAX_REPEAT_PERCENT * m["n_words"])
+        alone = (classes > F.when(m["chars"] >= LONG_CHARS, MAX_CLASS_DISTANCE[1]).otherwise(MAX_CLASS_DISTANCE[0])) | (words > MAX_COMMON_DISTANCE)
+        both = (classes > MAX_BOTH_DISTANCES[0]) & (words > MAX_BOTH_DISTANCES[1])
+        return F.struct(failed.alias("base_failed"), d["classes"].alias("class_distance"), d["words"].alias("common_distance"), (~failed & ~alone & ~both).alias("kept"))
+
+    classes = F.when(m["chars"] >= MIN_CHARS_FOR_CLASSES, least(m["c"], 0))
+    words = F.when(m["n_words"] >= MIN_WORDS_FOR_COMMON, least(m["v"], 1))
+    return bound(F.struct(classes.alias("classes"), words.alias("words")), decide)
+
+
+def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", common: Mapping[str, Sequence[str]] = COMMON) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, common_distance, kept.
 
-    A document's histograms of character classes and of common words are compared with the mean histograms of each language, taken from
-    all documents of the corpus; it is kept if it passes the base rules and its least distances are within the bounds. Below the length
-    guards a distance is null and rejects nothing. Null texts count as empty and fail the base rules; with no reference (an empty table,
-    only unknown languages) the distances are 0. Rows are judged alone: repeated rows each get a row."""
-    out = measured(docs, ["doc_id"], **options)
-    return out.select(F.col("k_doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "class_distance", "common_distance", "kept")
-
-
-def passing(docs: DataFrame, **options) -> DataFrame:
-    """The rows of `docs`, unchanged, that judge() keeps."""
-    return measured(docs, docs.columns, **options).where("kept").select(*[F.col(f"k_{c}").alias(c) for c in docs.columns])
+    A document's histograms of character classes and of common words are compared with those of each language, taken from all documents
+    of the corpus; it is kept if it passes the base rules and its least distances are within the bounds. Below the length guards a
+    distance is null and rejects nothing. Null texts count as empty and fail the base rules; with no reference (an empty table, only
+    unknown languages) the distances are 0. Rows are judged alone: repeated rows each get a row. Texts are read once: their counts are
+    written to the shared folder, and references and verdicts come from there."""
+    counts = materialise(docs.select(docs["doc_id"].alias("doc_id"), docs[lang].alias("lang"), measures(docs[text], common).alias("m")), "rule-counts")
+    refs = references(counts, common)
+    out = counts.select("doc_id", "m", verdict(F.col("m"), refs).alias("r"))
+    return out.select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "r.base_failed", "r.class_distance", "r.common_distance", "r.kept")
+
+
+def passing(docs: DataFrame, *, text: str = "text", lang: str = "lang", common: Mapping[str, Sequence[str]] = COMMON) -> DataFrame:
+    """The rows of `docs`, unchanged, that judge() keeps. Texts are read twice, once for the references, instead of being shuffled."""
+    refs = references(materialise(docs.select(docs[lang].alias("lang"), measures(docs[text], common, base=False).alias("m")), "rule-counts"), common)
+    return docs.where(bound(measures(docs[text], common), lambda m: verdict(m, refs)["kept"]))
