@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from . import nodes as N
-from .charset import LINE_ENDS, cases, java_char
+from .charset import cases, java_char
 from .engine import Pattern
 from .flags import Flag
+from .matcher import full_fold
 
 _META = frozenset("\\^$.|?*+()[]{}-&~#<>=!:, \t\n\r\x0b\x0c")
 
@@ -41,15 +44,9 @@ def _java(n: N.Node, atomic: bool) -> str:
     if isinstance(n, N.Text):
         if not n.folded:
             return quote(n.chars)
-        out = []
-        for c in n.chars:
-            if n.full and len(c.casefold()) > 1:
-                raise NotJava("a character that folds to several")
-            own = sorted(cases(c))
-            out.append(quote(c) if len(own) == 1 else "[" + "".join(java_char(x) for x in own) + "]")
-        if n.full and _may_expand("".join(c.casefold() for c in n.chars)):
-            raise NotJava("text that one folding character can stand for")
-        return "".join(out)
+        if n.full:
+            return _folded(full_fold(n.chars))
+        return "".join(quote(c) if len(cases(c)) == 1 else "[" + "".join(java_char(x) for x in sorted(cases(c))) + "]" for c in n.chars)
     if isinstance(n, N.Cls):
         if n.dot is not None:
             return "[\\x{0}-\\x{10FFFF}]" if not n.dot else "[^" + "".join(java_char(c) for c in n.dot) + "]"
@@ -115,19 +112,52 @@ def _wrapped(n: N.Node, atomic: bool) -> str:
     return f"(?:{_java(n, atomic)})"
 
 
-#: What characters that fold to several fold to: fixed values, for the scripts whose letters are common in words.
-_EXPANDED = ("ss", "st", "ff", "fi", "fl", "i̇", "ʼn", "ǰ", "ẖ", "ẗ", "ẘ", "ẙ", "aʾ", "եւ", "մն", "մե", "մի", "վն", "մխ")
-
-
-def _may_expand(folded: str) -> bool:
-    return any(x in folded for x in _EXPANDED)
+@lru_cache(1)
+def _expansions() -> dict[str, str]:
+    """Foldings of more than one character, each with the characters that fold to it."""
+    out: dict[str, str] = {}
+    for k in (*range(0x80, 0x2000), *range(0xFB00, 0xFB20)):
+        c = chr(k)
+        if c not in "İı" and len(f := c.casefold()) > 1:
+            out[f] = out.get(f, "") + c
+    return out
+
+
+def _folded(text: str) -> str:
+    """A pattern of all spellings of a folded text, characters that fold to several included."""
+    options = {k: [f for f in _expansions() if text.startswith(f, k)] for k in range(len(text))}
+    one = lambda c: quote(c) if len(cases(c)) == 1 else "[" + "".join(java_char(x) for x in sorted(cases(c))) + "]"
+
+    def ways(k: int, end: int) -> str:
+        """Spellings of a stretch over whose places a character of several may lie."""
+        if k >= end:
+            return ""
+        own = [one(text[k]) + ways(k + 1, end)]
+        own += ["[" + "".join(java_char(x) for x in _expansions()[f]) + "]" + ways(k + len(f), end) for f in options[k]]
+        return own[0] if len(own) == 1 else "(?:" + "|".join(own) + ")"
+
+    out, k = [], 0
+    while k < len(text):
+        if not options[k]:
+            out.append(one(text[k]))
+            k += 1
+            continue
+        end, at = k + 1, k
+        while at < end:
+            end = max([end, *(at + len(f) for f in options[at])])
+            at += 1
+        if end - k > 8:
+            raise NotJava("a long stretch of letters that fold together")
+        out.append(ways(k, end))
+        k = end
+    return "".join(out)
 
 
 def template(pattern: Pattern, text: str) -> str:
     """A replacement template in Java's spelling."""
     out = []
     for part in pattern.template(text):
-        out.append(f"${{{part}}}" if False else f"${part}" if isinstance(part, int) else part.replace("\\", "\\\\").replace("$", "\\$"))
+        out.append(f"${part}" if isinstance(part, int) else part.replace("\\", "\\\\").replace("$", "\\$"))
     # $1 followed by a digit would be read as another group.
     for a, b in zip(out, out[1:], strict=False):
         if a.startswith("$") and a[1:].isdigit() and b[:1].isdigit():
@@ -157,5 +187,3 @@ def all_take_part(pattern: Pattern) -> bool:
 
     return needed(pattern.parsed.root) == set(range(1, pattern.group_count + 1))
 
-
-assert LINE_ENDS
