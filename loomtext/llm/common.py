@@ -33,6 +33,14 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1024, size: int = 8 << 20) -> None:
+    """Bound what goes to Python at once: texts are long, and the session's default counts rows only."""
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", rows), ("spark.sql.execution.arrow.maxBytesPerBatch", size)):
+        now = spark.conf.get(name, None) or ""
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(name, str(most))
+
+
 def materialise(df: DataFrame, what: str) -> DataFrame:
     """Write to the shared folder and read again: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .common import LOWER, bounded_batches, piece, prefix_hash, text_chunks, word_spans
+
 LENGTH = 2048
 END_ID = 1
 #: Attention cost of a piece of n tokens: n + QUADRATIC * n * n.
@@ -19,7 +23,14 @@ QUADRATIC = 1.0 / 1024
 #: Tokens that a task gathers before it packs them: the bound of its memory.
 GROUP_TOKENS = 2_000_000
 #: Distinct words whose ids a worker remembers before it starts anew.
-MEMO = 400_000
+MEMO = 1_000_000
+CHUNK_BYTES = 1 << 21
+#: Letters alone, which are one word to the vocabulary.
+_LETTERS = re.compile("[A-Za-z\u00DF-\u00F6\u00F8-\u00FF]+").fullmatch
+_POINT = np.zeros(256, bool)
+_POINT[list(b".,")] = True
+_PLAIN_END = np.zeros(256, bool)
+_PLAIN_END[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = True
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -28,32 +39,98 @@ def cost(n: int) -> float:
 
 
 class WordTokenizer:
-    """Ids of whole texts, with each blank-separated word encoded once.
+    """Ids of whole texts, with each word encoded once.
 
-    The vocabulary of this kind drops white space and never merges over it, so a text's ids are its words' ids in a row. That holds for
-    blanks and line feeds only up to combining marks, which NFC may draw to what stands before them; such a mark after a blank starts a
-    word of its own, as no composition with a blank exists."""
+    The vocabulary of this kind drops white space and never merges over it, so a text's ids are its words' ids in a row: no combining
+    mark composes with a blank. Points after an ASCII letter or digit are a word of their own to it, and it is lower case, so A-Z are
+    lowered first where no special token or combining mark is near. What is known is kept by 64-bit hashes of the words' bytes."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {"": b""}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        split = [t.replace("\n", " ").split(" ") for t in texts]
-        memo = self.memo
-        new = list({w for words in split for w in words if w not in memo})
-        if len(memo) + len(new) > MEMO:
-            memo = self.memo = {"": b""}
-            new = list({w for words in split for w in words if w})
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for word, e in zip(part, self.tokenizer.encode_batch(part, add_special_tokens=False), strict=True):
-                memo[word] = np.asarray(e.ids, "<u4").tobytes()
-        return [b"".join(map(memo.__getitem__, words)) for words in split]
+        self._forget()
+
+    def _forget(self) -> None:
+        self.slot: dict[int, int] = {}
+        self.ids = np.zeros(1 << 16, "<u4")
+        self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all rows of a chunk, one row after the other, and where each row's begin."""
+        raw = data.tobytes()
+        if b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
+            data = LOWER[data]
+        starts, ends, rows = word_spans(data, offsets)
+        if not len(starts):
+            return np.zeros(0, "<u4"), np.zeros(len(offsets), np.int64)
+        core = ends.copy()
+        while True:
+            at = np.flatnonzero((core - starts > 1) & _POINT[data[core - 1]])
+            if not len(at):
+                break
+            core[at] -= 1
+        core[~_PLAIN_END[data[core - 1]]] = ends[~_PLAIN_END[data[core - 1]]]
+        tails = core < ends
+        # Pieces in order: each word's core, then its points if it has any.
+        place = np.arange(len(starts)) + np.append(0, np.cumsum(tails)[:-1])
+        total = len(starts) + int(tails.sum())
+        a, z = np.empty(total, np.int64), np.empty(total, np.int64)
+        a[place], z[place] = starts, core
+        a[place[tails] + 1], z[place[tails] + 1] = core[tails], ends[tails]
+        hashes, first, back = np.unique(piece(prefix_hash(data), a, z), return_index=True, return_inverse=True)
+        slots = self._slots(hashes.tolist(), first, data, a, z)[back]
+        sizes = self.size[slots]
+        out = np.append(0, np.cumsum(sizes))
+        ids = self.ids[np.repeat(self.begin[slots] - out[:-1], sizes) + np.arange(out[-1])]
+        return ids, out[np.append(place, total)[rows]]
+
+    def _slots(self, keys: list[int], first: np.ndarray, data: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+        if self.used + len(keys) > MEMO:
+            self._forget()
+        known = list(map(self.slot.get, keys))
+        if None in known:
+            new = [k for k, s in enumerate(known) if s is None]
+            whole = data.tobytes()
+            at = first[new]
+            words = [whole[x:y].decode() for x, y in zip(a[at].tolist(), z[at].tolist(), strict=True)]
+            plain = [k for k, w in enumerate(words) if _LETTERS(w)]
+            rest = [k for k, w in enumerate(words) if not _LETTERS(w)]
+            for k in range(0, len(plain), 4096):
+                own = plain[k : k + 4096]
+                e = self.tokenizer.encode(" ".join([words[x] for x in own]), add_special_tokens=False)
+                ids, number = np.array(e.ids, "<u4"), np.array(e.word_ids)
+                cuts = np.concatenate([[0], np.flatnonzero(np.diff(number)) + 1, [len(ids)]])
+                if len(cuts) == len(own) + 1:
+                    self._keep([keys[new[x]] for x in own], ids, np.diff(cuts))
+                else:
+                    rest += own
+            for k in range(0, len(rest), 4096):
+                own = rest[k : k + 4096]
+                each = [e.ids for e in self.tokenizer.encode_batch_fast([words[x] for x in own], add_special_tokens=False)]
+                self._keep([keys[new[x]] for x in own], np.array([i for e in each for i in e], "<u4"), np.array([len(e) for e in each]))
+            known = list(map(self.slot.get, keys))
+        return np.array(known)
+
+    def _keep(self, keys: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+        n, filled = self.used, int(self.begin[self.used - 1] + self.size[self.used - 1]) if self.used else 0
+        while filled + len(ids) > len(self.ids):
+            self.ids = np.append(self.ids, np.zeros_like(self.ids))
+        while n + len(keys) > len(self.size):
+            self.begin, self.size = np.append(self.begin, np.zeros_like(self.begin)), np.append(self.size, np.zeros_like(self.size))
+        self.ids[filled : filled + len(ids)] = ids
+        self.size[n : n + len(keys)] = sizes
+        self.begin[n : n + len(keys)] = filled + np.append(0, np.cumsum(sizes)[:-1])
+        self.slot.update(zip(keys, range(n, n + len(keys)), strict=True))
+        self.used = n + len(keys)
+
+
+@lru_cache(2)
+def tokenizer_at(path: str) -> WordTokenizer:
+    """A worker's tokenizer, with what it knows of earlier tasks."""
+    return WordTokenizer(path)
 
 
 def assign(lengths: list[int], capacity: int) -> list[list[tuple[int, int, int, int]]]:
@@ -116,43 +193,36 @@ def packed(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str =
     often as they come, an empty table gives no rows. Each task packs its own rows, about `group_tokens` at a time (a longer document is
     a group of its own), so there is no shuffle, memory is bounded, and a source of any size is just more tasks. sequence_id is made of
     the task's number, the group's and the sequence's, and does not change when a task is run again."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
-    end = np.asarray([end_id], "<u4").tobytes()
+    end = np.asarray([end_id], "<u4")
 
-    def flush(ids: list, held: list[bytes], group: int) -> pa.RecordBatch:
+    def flush(names: list, held: list[np.ndarray], group: int) -> pa.RecordBatch:
         part = TaskContext.get().partitionId()
-        names, starts, lengths, crcs, totals, seqs, offsets, raw = [], [], [], [], [], [], [], []
-        for k, sequence in enumerate(assign([len(b) // 4 for b in held], capacity)):
+        rows: list[tuple] = []
+        for k, sequence in enumerate(assign([len(d) for d in held], capacity)):
             number = (part << 40) | (group << 20) | k
             for doc, start, n, offset in sequence:
-                own = held[doc][4 * start : 4 * (start + n)]
-                names.append(ids[doc])
-                starts.append(start)
-                lengths.append(n)
-                crcs.append(zlib.crc32(own))
-                totals.append(len(held[doc]) // 4)
-                seqs.append(number)
-                offsets.append(offset)
-                if with_ids:
-                    raw.append(np.frombuffer(own, "<u4").astype(np.int32))
-        cols = [pa.array(c, pa.int64()) for c in (names, starts, lengths, crcs, totals, seqs, offsets)]
+                own = held[doc][start : start + n]
+                rows.append((names[doc], start, n, zlib.crc32(own), len(held[doc]), number, offset) + ((own.astype(np.int32),) if with_ids else ()))
         fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        return pa.RecordBatch.from_arrays(cols + ([pa.array(raw, pa.list_(pa.int32()))] if with_ids else []), names=fields + ["ids"] * with_ids)
+        cols = list(zip(*rows, strict=True))
+        arrays = [pa.array(c, pa.int64()) for c in cols[:7]] + [pa.array(c, pa.list_(pa.int32())) for c in cols[7:]]
+        return pa.RecordBatch.from_arrays(arrays, names=fields + ["ids"] * with_ids)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordTokenizer(tokenizer)
-        ids, held, tokens, group = [], [], 0, 0
+        words = tokenizer_at(tokenizer)
+        names, held, tokens, group = [], [], 0, 0
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                for doc, own in zip(part.column(0).to_pylist(), words.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids.append(doc)
-                    held.append(own + end)
-                    tokens += len(own) // 4 + 1
+            for first, last, data, offsets in text_chunks(b.column(1), CHUNK_BYTES):
+                ids, begins = words.encode(data, offsets)
+                names += b.column(0).slice(first, last - first).to_pylist()
+                held += [np.append(ids[x:y], end) for x, y in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)]
+                tokens += len(ids) + last - first
                 if tokens >= group_tokens:
-                    yield flush(ids, held, group)
-                    ids, held, tokens, group = [], [], 0, group + 1
+                    yield flush(names, held, group)
+                    names, held, tokens, group = [], [], 0, group + 1
         if held:
-            yield flush(ids, held, group)
+            yield flush(names, held, group)
 
     return rows.mapInArrow(pack, SCHEMA + ", ids array<int>" * with_ids)
