@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix, text_chunks, word_hashes
+from .common import bounded_batches, materialise, mix, text_chunks, word_hashes
 from .graph import components
 
 SHINGLE = 4
@@ -197,6 +197,7 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent:
     known to be connected, and only a spanning forest of the links leaves a task. A group of more than `block` classes is dealt out as
     pairs of blocks, so a task never holds more than two blocks. Null and empty texts have no shingles and are linked with nothing; rows
     with a null doc_id are linked with nothing either and stay; rows that share a doc_id are one node. An empty table gives no rows."""
+    bounded_batches(docs.sparkSession)
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
     signed = materialise(rows.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, bands binary, sketch binary"), "signatures")
     real = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
