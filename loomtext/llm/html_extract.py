@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
 from .url_filter import host_of
 
 #: Elements whose content is no text of the page.
@@ -29,8 +30,8 @@ AROUND = frozenset(
 )
 #: Paths that a host's pages are tried with, most voted first.
 PATHS = 3
-#: Copies of a host's row that the join deals its pages over.
-SALTS = 16
+#: A host with more than this share of all pages is hot; so at most 1 / HOT_SHARE hosts are.
+HOT_SHARE = 1 / 1000
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|object|svg|canvas|select|textarea|button|title|audio|video|math|datalist)\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<(?=[a-zA-Z/!?])[^>]*\Z|([^<]+|<)", re.S | re.I)
 _ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -153,8 +154,8 @@ def within(found: list, paths: list[str]) -> str:
     return "\n".join(text for _, text, _, _ in found)
 
 
-def host_paths(pages: DataFrame, *, url: str = "url", html: str = "html", paths: int = PATHS) -> DataFrame:
-    """host, paths (most voted first): each page votes for its best path; votes are counted by host and path with partial sums."""
+def host_votes(pages: DataFrame, *, url: str = "url", html: str = "html") -> DataFrame:
+    """host, path, n: each page votes for its best path (null if it has no text); votes are counted with partial sums."""
     rows = pages.select(host_of(pages[url]).alias("host"), pages[html].alias("html"))
 
     def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,23 +163,32 @@ def host_paths(pages: DataFrame, *, url: str = "url", html: str = "html", paths:
             got = [best(blocks(h.as_py())) for h in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([g and g[0] for g in got], pa.string())], names=["host", "path"])
 
-    counted = rows.mapInArrow(vote, "host string, path string").where("path IS NOT NULL").groupBy("host", "path").agg(F.count("*").alias("n"))
-    # The paths of one host are few; still only the first ones are kept while they are merged.
-    ranked = counted.groupBy("host").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "path"))), 1, paths).alias("p"))
-    return ranked.select("host", F.transform("p", lambda x: x["path"]).alias("paths"))
+    return rows.mapInArrow(vote, "host string, path string").groupBy("host", "path").agg(F.count("*").alias("n"))
 
 
-def extracted(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", paths: int = PATHS, salts: int = SALTS) -> DataFrame:
+def host_paths(votes: DataFrame, paths: int = PATHS) -> DataFrame:
+    """host, pages, paths (most voted first) from host_votes(). A host's different paths are few, whatever the number of its pages."""
+    own = F.filter(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "path"))), lambda x: x["path"].isNotNull())
+    ranked = votes.groupBy("host").agg(F.sum("n").alias("pages"), F.slice(own, 1, paths).alias("p"))
+    return ranked.select("host", "pages", F.transform("p", lambda x: x["path"]).alias("paths"))
+
+
+def extracted(pages: DataFrame, *, key: str = "page_id", url: str = "url", html: str = "html", paths: int = PATHS, hot_share: float = HOT_SHARE) -> DataFrame:
     """page_id, url, text, n_chars of every row.
 
-    A host's winning paths are joined to its pages, a hot host's pages being dealt over `salts` copies of its one row. Null, empty and
-    text-free pages give an empty text; pages with a null or malformed URL share the empty host; repeated rows are extracted alike; an
-    empty table gives no rows. All text under the winning path is taken, in page order, whatever its length."""
-    winners = host_paths(pages, url=url, html=html, paths=paths)
-    winners = winners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    A host's winning paths are joined to its pages. The hot hosts, of which the share of pages proves that there are few, are broadcast,
+    and their pages are dealt out evenly; the others are joined by host. Null, empty and text-free pages give an empty text; pages with a
+    null or malformed URL share the empty host; repeated rows are extracted alike; an empty table gives no rows. All text under the
+    winning path is taken, in page order, whatever its length."""
+    winners = materialise(host_paths(host_votes(pages, url=url, html=html), paths), "host-paths")
+    total = winners.agg(F.sum("pages")).first()[0] or 0
+    hot = winners.where(F.col("pages") > hot_share * total).select("host", F.col("paths").alias("hot_paths"))
+    cold = winners.where(F.col("pages") <= hot_share * total).select(F.concat(F.lit("h"), "host").alias("dealt"), "paths")
     rows = pages.select(pages[key].alias("page_id"), pages[url].alias("url"), pages[html].alias("html"), host_of(pages[url]).alias("host"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int"))
-    joined = rows.join(winners, ["host", "salt"], "left").select("page_id", "url", "html", "paths")
+    rows = rows.join(F.broadcast(hot), "host", "left")  # at most 1 / hot_share rows
+    even = F.concat(F.lit("r"), F.xxhash64("page_id", "url").cast("string"))
+    rows = rows.withColumn("dealt", F.when(F.col("hot_paths").isNull(), F.concat(F.lit("h"), "host")).otherwise(even))
+    joined = rows.join(cold, "dealt", "left").select("page_id", "url", "html", F.coalesce("hot_paths", "paths").alias("paths"))
     kind = joined.schema["page_id"].dataType.simpleString()
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
