@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
-from pyspark.sql.types import ArrayType, DataType
+from pyspark.sql.types import DataType
 
 from ..pattern import java as J
 from ..pattern import nodes as N
@@ -62,20 +62,20 @@ def tier(pattern: str | Pattern, flags: Flag | int = 0, lists: Lists = None, wha
         fits = False
     if fits and java_form(p) is not None:
         return "java"
-    return "filtered" if p.machine.pieces else "matcher"
+    return "filtered" if p.machine.sieve else "matcher"
 
 
 def _filter(p: Pattern, text: Column) -> Column | None:
     """A JVM test that every text with a match passes, or None."""
-    if p.machine.pieces:
+    if p.machine.sieve:
         spell = lambda c, f: "[" + "".join(java_char(x) for x in sorted(cases(c))) + "]" if f else J.quote(c)
-        if all(not f for _, _, f in p.machine.pieces):
+        if all(not f for _, _, f in p.machine.sieve.pieces):
             out = None
-            for piece, _, _ in p.machine.pieces:
+            for piece, _, _ in p.machine.sieve.pieces:
                 own = text.contains(piece)
                 out = own if out is None else out | own
             return out
-        return text.rlike("|".join("".join(spell(c, f) for c in piece) for piece, _, f in p.machine.pieces))
+        return text.rlike("|".join("".join(spell(c, f) for c in piece) for piece, _, f in p.machine.sieve.pieces))
     if p.machine.required and len(p.machine.required) > 1:
         return text.contains(p.machine.required)
     return None
@@ -360,5 +360,3 @@ def register(spark: SparkSession) -> None:
 
     spark.udtf.register("fz_matches", Matches)
 
-
-assert ArrayType

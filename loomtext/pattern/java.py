@@ -31,6 +31,9 @@ def java(pattern: Pattern) -> str:
     for flag in (Flag.REVERSE, Flag.WORD, Flag.POSIX, Flag.LOCALE):
         if flags & flag:
             raise NotJava(f"{flag.name} has no Java form")
+    numbers = [n.number for n in N.walk(parsed.root) if isinstance(n, N.Group)]
+    if sorted(numbers) != list(range(1, len(numbers) + 1)):
+        raise NotJava("groups that share a number")
     return _java(parsed.root, False)
 
 
