@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, shared_dir
@@ -92,19 +92,15 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataF
 
 
 def unique(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs`, unchanged, that stay: one for each text."""
-    kept = groups(docs, key=key, text=text).where("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
-    own = docs.withColumn("_sha", F.sha2(F.coalesce(docs[text], F.lit("")).cast("binary"), 256))
-    rows = own.alias("d").join(kept.alias("k"), (F.col("d._sha") == F.col("k._sha")) & F.col(f"d.{key}").eqNullSafe(F.col("k._keep")), "left_semi")
-    # Rows that share key and text are one document; which of them stays is told by no column, so one of each is taken.
-    return _one_of_each(rows, key).select(*docs.columns)
-
-
-def _one_of_each(rows: DataFrame, key: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    number = F.row_number().over(Window.partitionBy("_sha", key).orderBy(F.lit(0)))
-    return rows.withColumn("_n", number).where("_n = 1")
+    """The rows of `docs`, unchanged, that stay: one for each text. Of rows that share key and text any one stays."""
+    out = groups(docs, key=key, text=text)
+    kept = out.where("kept").select(F.col("doc_id").alias("keep"), F.col("text_sha256").alias("sha"))
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), docs[key].alias("key"), F.sha2(F.coalesce(docs[text], F.lit("")).cast("binary"), 256).alias("own"))
+    rows = packed.join(kept, (F.col("own") == F.col("sha")) & F.col("key").eqNullSafe(F.col("keep")), "left_semi")
+    if not out.where("NOT kept AND doc_id <=> keep_id").isEmpty():  # only then is there more than one row of a kept key and text
+        number = F.row_number().over(Window.partitionBy("own", "key").orderBy(F.lit(0)))
+        rows = rows.withColumn("number", number).where("number = 1")
+    return rows.select("doc.*")
 
 
 def oracle() -> str:

@@ -68,10 +68,11 @@ def copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source:
     return joined.select(*[F.col(f"r.k_{c}").alias(c) for c in (keep if keep is not None else docs.columns)], F.col("r._size").alias("_size"), F.col("b.source_size").alias("_source_size"), F.col("b.target").alias("_target"), crossed.cast("long").alias("_copies"))
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source", **options) -> DataFrame:
     """The mixed documents themselves: each row of `docs`, unchanged, as often as the mix takes it."""
-    taken = copies(docs, **options).where("_copies > 0")
-    return taken.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), docs[text].alias("text"), docs[key].alias("key"), docs[source].alias("source"))
+    taken = copies(packed, text="text", key="key", source="source", keep=["doc"], **options).where("_copies > 0")
+    return taken.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("doc.*")
 
 
 def report(docs: DataFrame, **options) -> DataFrame:

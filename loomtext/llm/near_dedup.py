@@ -230,4 +230,4 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent:
 def unique(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
     """The rows of `docs`, unchanged, without those that another document of their group stands for."""
     gone = groups(docs, key=key, text=text, percent=percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[key] == F.col("_gone"), "left_anti").select(*[docs[c] for c in docs.columns])
+    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
