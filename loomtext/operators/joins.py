@@ -35,7 +35,7 @@ def _grams(text: Column, size: int) -> Column:
 
 def substring_join(texts: DataFrame, key: str, text: str, words: DataFrame, word: str) -> DataFrame:
     """key, word of every text that holds a word anywhere. Words are grouped by length; the lengths are few, the words need not be."""
-    sizes = sorted(r[0] for r in words.select(F.length(word).alias("n")).where("n > 0").distinct().limit(1000).collect())
+    sizes = sorted(r[0] for r in words.select(F.length(word).alias("n")).where("n > 0").distinct().collect())
     if not sizes:
         return texts.select(key).limit(0).withColumn(word, F.lit(""))
     least = sizes[0]
@@ -49,28 +49,26 @@ def fuzzy_join(texts: DataFrame, key: str, text: str, words: DataFrame, word: st
     """key, word of every text with a part within `errors` errors of a word: the join form of \\L<words>{e<=errors}.
 
     Each word is cut into errors + 1 pieces, one of which any such part holds unchanged. Pieces are joined with the texts' grams of the
-    same length, the distinct candidates are confirmed by the matcher. Words of fewer than errors + 1 characters match everywhere."""
+    same length, the distinct candidates are confirmed by the matcher. A word of fewer than errors + 1 characters would match everywhere and
+    raises ValueError."""
     count = errors + 1
     vocabulary = words.select(F.col(word)).where(F.col(word).isNotNull()).distinct().withColumn("_w", _folded(F.col(word), flags)).withColumn("_n", F.length("_w"))
-    long_ = vocabulary.where(F.col("_n") >= count)
+    if not vocabulary.where(F.col("_n") < count).isEmpty():
+        raise ValueError(f"a word of fewer than {count} characters is within {errors} errors of any text")
     cut = F.array(*[F.struct(F.floor(F.col("_n") * k / count).cast("int").alias("a"), F.floor(F.col("_n") * (k + 1) / count).cast("int").alias("z")) for k in range(count)])
-    pieces = long_.select(word, "_w", F.explode(cut).alias("_c")).select(word, F.expr("substring(_w, _c.a + 1, _c.z - _c.a)").alias("_g"))
-    sizes = sorted(r[0] for r in pieces.select(F.length("_g")).distinct().limit(1000).collect())  # lengths of pieces, not pieces
+    pieces = vocabulary.select(word, "_w", F.explode(cut).alias("_c")).select(word, F.expr("substring(_w, _c.a + 1, _c.z - _c.a)").alias("_g"))
+    sizes = sorted(r[0] for r in pieces.select(F.length("_g")).distinct().collect())  # lengths of pieces, not pieces
     own = texts.select(F.col(key), F.col(text).alias("_text"), _folded(F.col(text), flags).alias("_low")).where(F.col(text).isNotNull())
-    everywhere = own.select(key).join(F.broadcast(vocabulary.where(F.col("_n") < count).select(word).limit(10_000)), how="cross") if errors and not vocabulary.where(F.col("_n") < count).isEmpty() else None
-    found = None
-    if sizes:
-        grams = F.array_distinct(F.flatten(F.array(*[_grams(F.col("_low"), n) for n in sizes])))
-        found = own.withColumn("_g", F.explode(grams)).join(pieces, "_g").select(key, "_text", word).dropDuplicates([key, word])
-
-        @arrow_udf("boolean")
-        def near(a: pa.Array, b: pa.Array) -> pa.Array:
-            return pa.array([compile(f"(?:{escape(w)}){{e<={errors}}}", flags).is_match(t) for t, w in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
-
-        found = found.where(near(F.col("_text"), F.col(word))).select(key, word)
-    if found is None:
-        found = own.select(key).limit(0).withColumn(word, F.lit(""))
-    return found if everywhere is None else found.unionByName(everywhere)
+    if not sizes:
+        return own.select(key).limit(0).withColumn(word, F.lit(""))
+    grams = F.array_distinct(F.flatten(F.array(*[_grams(F.col("_low"), n) for n in sizes])))
+    found = own.withColumn("_g", F.explode(grams)).join(pieces, "_g").select(key, "_text", word).dropDuplicates([key, word])
+
+    @arrow_udf("boolean")
+    def near(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([compile(f"(?:{escape(w)}){{e<={errors}}}", flags).is_match(t) for t, w in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.bool_())
+
+    return found.where(near(F.col("_text"), F.col(word))).select(key, word)
 
 
 def pattern_join(texts: DataFrame, key: str, text: str, patterns: list[tuple[object, str]], flags: Flag | int = 0) -> DataFrame:

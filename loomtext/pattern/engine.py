@@ -177,6 +177,9 @@ class Pattern:
         return self.machine.find(text, begin=begin, end=end, **how)
 
     def is_match(self, text: str, beginning: int = 0, length: int = -1) -> bool:
+        sieve = self.machine.sieve
+        if sieve is not None and sieve.decides and beginning == 0 and length < 0:
+            return sieve.near(text)
         return self._find(text, beginning, length) is not None
 
     def is_match_at_start(self, text: str, beginning: int = 0, length: int = -1) -> bool:
