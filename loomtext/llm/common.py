@@ -148,3 +148,14 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
         data = LOWER[data]
     s, e, rows = word_spans(data, offsets)
     return piece(prefix_hash(data), s, e), rows
+
+
+def planes(x: np.ndarray) -> bytes:
+    """The bytes of each place together, so that what sorted differences leave empty costs nothing once compressed."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def unplanes(b: bytes) -> np.ndarray:
+    """Sorted unsigned 64-bit numbers from the planes of their differences."""
+    steps = np.ascontiguousarray(np.frombuffer(b, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1)
+    return np.cumsum(steps, dtype=np.uint64)

@@ -10,17 +10,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialise, text_chunks, word_hashes
+from .common import LOWER, bounded_batches, materialise, mix, planes, text_chunks, unplanes, word_hashes
 
 #: Bytes of context of the longest contexts.
 ORDER = 5
 #: Bytes that no UTF-8 text has: before the text, and after it. Only END is ever a symbol.
 PAD, END = 0xFF, 0xFE
 FOLDS, HELD = 7, 2
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 #: Bytes of text that are scored together against the counts that they need.
-GROUP_BYTES = 32 << 20
-_WORD, _GRAM, _DOCS = 0, 1, 2
+GROUP_BYTES = 8 << 20
+#: Keys: a word's hash with the top bit set (negative), a gram's bytes (up to 56 bits), and for the number of training texts this.
+_TOP, _DOCS = np.uint64(1 << 63), (1 << 62)
+#: Buckets of the range of hashed keys at most; keys that a task packs into one row for each bucket.
+BUCKETS, PACKED = 4096, 200_000
+#: What is known of a bucket's keys (kind 0), or what a group of documents asks for (kind 1).
+_ASKED = "bucket int, kind int, g long, places binary, values binary"
 
 
 def grams(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarray:
@@ -41,6 +46,17 @@ def grams(data: np.ndarray, offsets: np.ndarray, order: int = ORDER) -> np.ndarr
     return out[symbol]
 
 
+def word_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    words, rows = word_hashes(data, offsets, lower=True)
+    return words | _TOP, rows
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; sorting beats the hash table of np.unique here."""
+    values = np.sort(values)
+    return values[np.append(True, values[1:] != values[:-1])] if len(values) else values
+
+
 def _tally(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(values, return_counts=True)
 
@@ -53,17 +69,16 @@ def _gather(order: int):
             held_all = np.asarray(b.column(0), bool)
             for first, last, data, offsets in text_chunks(b.column(1), CHUNK_BYTES):
                 trains = ~held_all[first:last]
-                words, rows = word_hashes(data, offsets, lower=True)
+                words, rows = word_keys(data, offsets)
                 known = np.repeat(trains, np.diff(rows))
                 w, wn = _tally(words[known])
                 all_grams = grams(data, offsets, order)
                 learned = np.repeat(trains, np.diff(offsets) + 1)
                 g, gn = _tally(all_grams[learned])
-                rest = np.unique(all_grams[~learned]) if not trains.all() else np.zeros(0, np.uint64)
-                keys = np.concatenate([w, g, rest, np.zeros(1, np.uint64)]).view(np.int64)
+                rest = _distinct(all_grams[~learned]) if not trains.all() else np.zeros(0, np.uint64)
+                keys = np.concatenate([w, g, rest, np.array([_DOCS], np.uint64)]).view(np.int64)
                 counts = np.concatenate([wn, gn, np.zeros(len(rest), np.int64), [int(trains.sum())]])
-                kinds = np.repeat(np.array([_WORD, _GRAM, _DOCS], np.int32), [len(w), len(g) + len(rest), 1])
-                yield pa.RecordBatch.from_arrays([pa.array(kinds), pa.array(keys), pa.array(counts)], names=["kind", "key", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
 
     return run
 
@@ -92,7 +107,7 @@ class Trie:
         return symbols, row[symbols]
 
     def log10(self, key: int) -> float:
-        """Escape by method C (distinct symbols against all), each escape excluding the symbols of the context left behind; below
+        """Escape by method D (half a count of each distinct symbol goes to the escape), each escape excluding the symbols of the context left behind; below
         order 0 all symbols not excluded are equally likely."""
         symbol, out = key & 0xFF, 0.0
         excluded = np.zeros(256, bool)
@@ -105,8 +120,8 @@ class Trie:
                 continue
             hit = np.flatnonzero(live & (symbols == symbol))
             if len(hit):
-                return out + math.log10(int(counts[hit[0]]) / (n + d))
-            out += math.log10(d / (n + d))
+                return out + math.log10((2 * int(counts[hit[0]]) - 1) / (2 * n))
+            out += math.log10(d / (2 * n))
             excluded[symbols] = True
         return out - math.log10(max(1, 256 - int(excluded.sum())))
 
@@ -117,22 +132,22 @@ class Trie:
         total = np.bincount(back, counts, len(which))
         kinds = np.bincount(back, counts > 0, len(which))
         with np.errstate(divide="ignore", invalid="ignore"):
-            out = np.log10(counts / (total + kinds)[back])
+            out = np.log10((2 * counts - 1) / (2 * total)[back])
         for i in np.flatnonzero(counts == 0):
             out[i] = self.log10(int(keys[i]))
         return out
 
 
-def _price(pairs: np.ndarray, order: int):
+def _price(pairs: np.ndarray, order: int, buckets: int):
     """Groups of grams whose contexts end in the same two bytes to log10 probabilities."""
 
-    def solve(rows: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    def solve(rows: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
         keys = np.concatenate([r[0] for r in rows])
         counts = np.concatenate([r[1] for r in rows])
-        out = Trie(keys, counts, pairs, order).all(keys, counts)
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(out)], names=["key", "value"])
+        return keys, Trie(keys, counts, pairs, order).all(keys, counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple[np.ndarray, np.ndarray]] = []
         held, now = [], None
         for b in batches:
             shard = np.asarray(b.column(0), np.int64)
@@ -142,43 +157,103 @@ def _price(pairs: np.ndarray, order: int):
                 if a == z:
                     continue
                 if held and now != shard[a]:
-                    yield solve(held)
+                    done.append(solve(held))
                     held = []
                 now = shard[a]
                 held.append((keys[a:z], counts[a:z]))
+            if sum(len(d[0]) for d in done) >= PACKED:
+                yield _pack(done, buckets)
+                done = []
         if held:
-            yield solve(held)
+            done.append(solve(held))
+        if done:
+            yield _pack(done, buckets)
 
     return run
 
 
+def _word_values(buckets: int):
+    """Words' training counts c to log10(c + 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        for b in batches:
+            done.append((np.asarray(b.column(0), np.int64).view(np.uint64), np.log10(np.asarray(b.column(1), np.float64) + 1)))
+            if sum(len(d[0]) for d in done) >= PACKED:
+                yield _pack(done, buckets)
+                done = []
+        if done:
+            yield _pack(done, buckets)
+
+    return run
+
+
+def _cuts(places: np.ndarray, buckets: int) -> np.ndarray:
+    """Where each bucket of sorted places begins, and the end."""
+    edges = np.array([(k << 64) // buckets for k in range(buckets)], np.uint64)
+    return np.append(np.searchsorted(places, edges), len(places))
+
+
+def _pack(done: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.RecordBatch:
+    """Values by bucket: rows of _ASKED with the sorted places of keys and their values."""
+    places = mix(np.concatenate([d[0] for d in done]))
+    order = np.argsort(places)
+    places, values = places[order], np.concatenate([d[1] for d in done])[order].astype("<f4")
+    cuts = _cuts(places, buckets)
+    own = np.flatnonzero(np.diff(cuts))
+    rows = [(int(k), 0, 0, places[cuts[k] : cuts[k + 1]].tobytes(), values[cuts[k] : cuts[k + 1]].tobytes()) for k in own]
+    return _batch(rows)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=["bucket", "kind", "g", "places", "values"])
+
+
+def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Bucket by bucket: first what is known (kind 0), then what each group asks for, answered in its order, 0 for what is not known."""
+    now, parts, known = None, [], None
+    for b in batches:
+        out = []
+        for bucket, kind, g, places, values in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if bucket != now:
+                now, parts, known = bucket, [], None
+            if kind == 0:
+                parts.append((np.frombuffer(places, np.uint64), np.frombuffer(values, "<f4")))
+                continue
+            if known is None:
+                at = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, np.uint64)
+                order = np.argsort(at)
+                known = at[order], np.concatenate([p[1] for p in parts])[order] if parts else np.zeros(0, "<f4")
+                parts = []
+            asked = unplanes(places)
+            reply = np.zeros(len(asked), "<f4")
+            if len(known[0]):
+                spot = np.minimum(np.searchsorted(known[0], asked), len(known[0]) - 1)
+                hit = known[0][spot] == asked
+                reply[hit] = known[1][spot[hit]]
+            out.append((g, bucket, reply.tobytes()))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate((pa.int64(), pa.int32(), pa.binary()))], names=["g", "bucket", "values"])
+
+
 class Lookup:
-    """Values by 64-bit key: a table of guesses, and a binary search for what shares a slot."""
+    """Values at sorted places: a table of guesses, and a binary search for what shares a slot."""
 
-    def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
-        bits = max(8, int(len(keys)).bit_length() + 2)
-        self.shift = np.uint64(64 - bits)
+    def __init__(self, places: np.ndarray, values: np.ndarray):
+        self.places, self.values = places, values
+        bits = max(8, int(len(places)).bit_length() + 2)
+        self.shift = np.uint64(64 - bits)  # places are spread evenly already
         self.guess = np.zeros(1 << bits, np.int32)
-        if len(keys):
-            self.guess[self._slot(self.keys)] = np.arange(len(keys))
+        self.guess[places >> self.shift] = np.arange(len(places))
 
-    def _slot(self, keys: np.ndarray) -> np.ndarray:
-        return (keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
-
-    def __call__(self, keys: np.ndarray, missing: float) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(keys), missing)
-        at = self.guess[self._slot(keys)]
-        wrong = np.flatnonzero(self.keys[at] != keys)
-        if len(wrong):
-            at[wrong] = np.minimum(np.searchsorted(self.keys, keys[wrong]), len(self.keys) - 1)
-        out = self.values[at]
+    def __call__(self, places: np.ndarray) -> np.ndarray:
+        """All places asked for must be there."""
+        at = self.guess[places >> self.shift]
+        wrong = np.flatnonzero(self.places[at] != places)
         if len(wrong):
-            lost = wrong[self.keys[at[wrong]] != keys[wrong]]
-            out[lost] = missing
-        return out
+            at[wrong] = np.searchsorted(self.places, places[wrong])
+        return self.values[at]
 
 
 def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -189,36 +264,46 @@ def _sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _need(order: int):
+def _places(texts: pa.ChunkedArray, order: int) -> np.ndarray:
+    """Sorted distinct places of all words and grams of a group's texts."""
+    own = []
+    for _, _, data, offsets in text_chunks(texts, CHUNK_BYTES):
+        own += [_distinct(word_keys(data, offsets)[0]), _distinct(grams(data, offsets, order))]
+    return np.sort(mix(_distinct(np.concatenate(own))))
+
+
+def _ask(order: int, buckets: int):
+    """A group's places by bucket, as rows of _ASKED."""
+
     def run(table: pa.Table) -> pa.Table:
-        group = table.column("g")[0]
-        words, all_grams = [], []
-        for _, _, data, offsets in text_chunks(table.column("text"), CHUNK_BYTES):
-            words.append(np.unique(word_hashes(data, offsets, lower=True)[0]))
-            all_grams.append(np.unique(grams(data, offsets, order)))
-        w, g = np.unique(np.concatenate(words)), np.unique(np.concatenate(all_grams))
-        keys = np.concatenate([w, g]).view(np.int64)
-        kinds = np.repeat(np.array([_WORD, _GRAM], np.int32), [len(w), len(g)])
-        return pa.table({"g": pa.array(np.full(len(keys), group.as_py(), np.int64)), "kind": kinds, "key": keys})
+        g, places = table.column("g")[0].as_py(), _places(table.column("text"), order)
+        cuts = _cuts(places, buckets)
+        rows = []
+        for k in np.flatnonzero(np.diff(cuts)):
+            own = places[cuts[k] : cuts[k + 1]]
+            step = own.copy()
+            step[1:] -= own[:-1]
+            rows.append((int(k), 1, g, planes(step), None))
+        return pa.Table.from_batches([_batch(rows)])
 
     return run
 
 
 def _score(order: int, n: int, v: int, train_docs: int):
-    def run(docs: pa.Table, values: pa.Table) -> pa.Table:
-        kind = np.asarray(values.column("kind"))
-        keys, found = np.asarray(values.column("key"), np.int64).view(np.uint64), np.asarray(values.column("value"), np.float64)
-        counts, probs = Lookup(keys[kind == _WORD], found[kind == _WORD]), Lookup(keys[kind == _GRAM], found[kind == _GRAM])
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        places = _places(docs.column("text"), order)
+        replies = sorted(zip(answers.column("bucket").to_pylist(), answers.column("values").to_pylist(), strict=True))
+        known_at = Lookup(places, np.frombuffer(b"".join(r[1] for r in replies), "<f4"))
         tokens, known, base, score = [], [], [], []
         bottom = math.log10(n + v + 1)
         for _, _, data, offsets in text_chunks(docs.column("text"), CHUNK_BYTES):
-            words, rows = word_hashes(data, offsets, lower=True)
-            c = counts(words, 0.0)
+            words, rows = word_keys(data, offsets)
+            logs = known_at(mix(words)).astype(np.float64)
             size = np.diff(rows) + 1
             tokens.append(size)
-            known.append(_sums((c > 0).astype(np.float64), rows).astype(np.int64) + (train_docs > 0))
-            base.append(_sums(np.log10(c + 1), rows) + math.log10(train_docs + 1) - size * bottom)
-            score.append(_sums(probs(grams(data, offsets, order), 0.0), offsets + np.arange(len(offsets))))
+            known.append(_sums((logs > 0).astype(np.float64), rows).astype(np.int64) + (train_docs > 0))
+            base.append(_sums(logs, rows) + math.log10(train_docs + 1) - size * bottom)
+            score.append(_sums(known_at(mix(grams(data, offsets, order))).astype(np.float64), offsets + np.arange(len(offsets))))
         join = lambda xs: np.concatenate(xs) if xs else np.zeros(0)
         return pa.table({"doc_id": docs.column("doc_id"), "held_out": docs.column("held_out"), "n_tokens": join(tokens), "n_known": join(known), "train_tokens": np.full(docs.num_rows, n, np.int64), "base_score": join(base), "score": join(score)})
 
@@ -232,27 +317,29 @@ def scored(docs: DataFrame, *, key: str = "doc_id", text: str = "text", order: i
     is not 2), A-Z lower-cased; `score` is the log10 probability of all bytes of the text and of its end. The counts of the longest
     contexts are summed over the corpus and hold those of the shorter ones. They are never gathered in one place: grams whose contexts end in the
     same two bytes form one of 65,536 shards, bounded by the alphabet, and only the table of byte pairs, of 256 x 256 at most, goes to
-    the driver. Documents are scored in groups of about GROUP_BYTES: a group's distinct words and grams are joined with the counts and
-    probabilities, so a frequent word is one row a group, not one a document. Null texts count as empty: one token, the end. A row with
+    the driver. Documents are scored in groups of about GROUP_BYTES: a group asks each bucket of the
+    hashed keys for what it needs of it, in one row, and gets the values back in that order; a frequent word is one entry a group. Null texts count as empty: one token, the end. A row with
     a null key is a training text. Repeated rows are scored alike. An empty table gives no rows."""
+    bounded_batches(docs.sparkSession)
     held = F.coalesce(F.pmod(F.crc32(docs[key].cast("string").cast("binary")), F.lit(FOLDS)) == HELD, F.lit(False))
     rows = docs.select(docs[key].cast("long").alias("doc_id"), held.alias("held_out"), docs[text].alias("text"))
-    sent = rows.select("held_out", "text").mapInArrow(_gather(order), "kind int, key long, n long")
-    counted = materialise(sent.groupBy("kind", "key").agg(F.sum("n").alias("n")), "ppm-counts")
-    facts = counted.where(f"kind != {_GRAM}").agg(F.sum("n"), F.sum((F.col("kind") == _WORD).cast("long")), F.sum(F.when(F.col("kind") == _DOCS, F.col("n")))).first()
+    sent = rows.select("held_out", "text").mapInArrow(_gather(order), "key long, n long")
+    counted = materialise(sent.groupBy("key").agg(F.sum("n").alias("n")), "ppm-counts")
+    facts = counted.where(f"key < 0 OR key = {_DOCS}").agg(F.sum("n"), F.sum((F.col("key") < 0).cast("long")), F.sum(F.when(F.col("key") == _DOCS, F.col("n")))).first()
     train_docs = facts[2] or 0
     n, v = facts[0] or 0, (facts[1] or 0) + (train_docs > 0)
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     pairs = np.zeros((256, 256), np.int64)
-    all_grams = counted.where(f"kind = {_GRAM}")
+    all_grams = counted.where(f"key >= 0 AND key < {_DOCS}")
     for r in all_grams.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).collect():
         pairs[r["pair"] >> 8, r["pair"] & 0xFF] = r["n"]
     sharded = all_grams.select(F.shiftright("key", 8).bitwiseAND(0xFFFF).alias("shard"), "key", "n")
-    priced = sharded.repartition("shard").sortWithinPartitions("shard").mapInArrow(_price(pairs, order), "key long, value double")
-    known = priced.select(F.lit(_GRAM).alias("kind"), "key", "value").union(counted.where(f"kind = {_WORD}").select("kind", "key", F.col("n").cast("double")))
     groups = max(1, math.ceil(size / GROUP_BYTES))
+    buckets = min(BUCKETS, max(16, groups))
+    priced = sharded.repartition("shard").sortWithinPartitions("shard").mapInArrow(_price(pairs, order, buckets), _ASKED)
+    known = priced.union(counted.where("key < 0").mapInArrow(_word_values(buckets), _ASKED))
     dealt = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups))).groupBy("g")
-    need = dealt.applyInArrow(_need(order), "g long, kind int, key long")
-    answers = need.join(known, ["kind", "key"], "left").select("g", "kind", "key", F.coalesce("value", F.lit(0.0)).alias("value"))
+    asked = dealt.applyInArrow(_ask(order, buckets), _ASKED)
+    answers = known.union(asked).repartition("bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_answer, "g long, bucket int, values binary")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return dealt.cogroup(answers.groupBy("g")).applyInArrow(_score(order, n, v, train_docs), schema)
