@@ -13,15 +13,14 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .url_filter import host_of
 
-#: Elements whose content is no text of the page.
-SKIPPED = frozenset("script style noscript template iframe object svg canvas select textarea button head title audio video math datalist".split())
+#: Elements whose content is no text of the page; they end at their own end tag only.
+SKIPPED = "script style noscript template iframe object svg canvas select textarea button title audio video math datalist".split()
 #: Elements that are never the article.
 OUTSIDE = frozenset("nav footer aside form dialog menu".split())
 #: Containers: elements that a path is made of.
 CONTAINERS = frozenset("html body main article section div table tbody tr td center fieldset details header nav footer aside form dialog menu ul ol dl blockquote".split())
 #: Elements whose begin and end end a block of text.
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre address figure figcaption caption thead tfoot th hr summary hgroup legend optgroup option".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Class or id words that mark what is around an article.
 AROUND = frozenset(
     """ad ads adv advert adverts advertisement advertising banner banners breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies
@@ -33,12 +32,16 @@ PATHS = 3
 #: A host with more than this share of all pages is hot; so at most 1 / HOT_SHARE hosts are.
 HOT_SHARE = 1 / 1000
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|object|svg|canvas|select|textarea|button|title|audio|video|math|datalist)\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*>|<(?=[a-zA-Z/!?])[^>]*\Z|([^<]+|<)", re.S | re.I)
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)"
+    rf"|<({'|'.join(SKIPPED)})\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    r"|<[!?/][^>]*>|<(?=[a-zA-Z/!?])[^>]*\Z|([^<]+|<)",
+    re.S | re.I,
+)
 _ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORD = re.compile(r"[a-z]+(?:-[a-z]+)*|[a-z]+")
 _SPACE = re.compile(r"\s+")
 _SPLIT = re.compile(r"[^a-z]+")
-#: Scripts and the like, ended by nothing but their own end tag.
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form"}
 
 

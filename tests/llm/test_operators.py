@@ -321,3 +321,47 @@ def test_empty_tables(spark, empty):
         substring_dedup.cleaned(empty), near_dedup.groups(empty), near_dedup.unique(empty), lm_ppm.scored(empty), quality_gam.scored(empty, labels),
     ):
         assert df.count() == 0
+
+
+# --- rules: distances and verdicts, by brute force ------------------------------------------------------------------
+
+CLASSES = [re.compile(c) for c in ("[a-z]", "[A-Z]", "[^\\x00-\\x7F]", "[0-9]", "[.,;:'\"()-]", "[!?]", r"[#*$%&|<>=+_~^{}\[\]\\/@`]", "[\\x20\\x09-\\x0D]")]
+
+
+def histograms(t: str) -> tuple[list[float], list[float], int]:
+    classes = [len(c.findall(t)) for c in CLASSES]
+    classes.append(len(t) - sum(classes))
+    vocab = sorted({w for ws in rules.COMMON.values() for w in ws})
+    forms = {f: w for w in vocab for f in (w, w.capitalize(), w.upper())}
+    w = split(t)
+    n = Counter(forms[x] for x in w if x in forms)
+    common = [n[v] for v in vocab] + [len(w) - sum(n.values())]
+    share = lambda xs: [x / sum(xs) for x in xs] if sum(xs) else None
+    return share(classes), share(common), len(w)
+
+
+def jensen_shannon(p: list[float], q: list[float]) -> float:
+    part = lambda x, m: x * math.log2(x / m) if x > 0 else 0.0
+    return math.sqrt(max(0.0, sum((part(x, (x + y) / 2) + part(y, (x + y) / 2)) / 2 for x, y in zip(p, q, strict=True))))
+
+
+def test_distances(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.collect()
+    own = {r.doc_id: histograms(r.text) for r in rows}
+    langs = {r.doc_id: r.lang for r in rows if r.lang in rules.COMMON and own[r.doc_id][2] >= 40}
+    refs: dict = {}
+    for bound in (None, *rules.TRIM):
+        near = {i: la for i, la in langs.items() if bound is None or all(jensen_shannon(own[i][k], refs[la][k]) <= bound[k] for k in (0, 1))}
+        groups = defaultdict(list)
+        for i, la in near.items():
+            groups[la].append(own[i])
+        refs |= {la: tuple([sum(xs) / len(xs) for xs in zip(*(h[k] for h in hs), strict=True)] for k in (0, 1)) for la, hs in groups.items()}
+    for r in rules.judge(docs).join(docs.select("doc_id", "text"), "doc_id").collect():
+        c, v, n = own[r.doc_id]
+        classes = min(jensen_shannon(c, q[0]) for q in refs.values()) if len(r.text) >= 40 else None
+        common = min(jensen_shannon(v, q[1]) for q in refs.values()) if n >= 40 else None
+        assert r.class_distance == pytest.approx(classes, abs=1e-9) and r.common_distance == pytest.approx(common, abs=1e-9)
+        a, b = classes or 0.0, common or 0.0
+        far = a > (0.27 if len(r.text) >= 300 else 0.60) or b > 0.45 or (a > 0.17 and b > 0.215)
+        assert r.kept == (not r.base_failed and not far)

@@ -52,3 +52,17 @@ def test_urls(spark):
     ]
     assert [(r.host, r.path) for r in rows][11:16] == [("", "")] * 4 + [("a.b", "/C")]
     assert U.judge(pages(spark, [])).count() == 0
+
+
+def test_articles_of_the_table(spark):
+    """On pages whose article is marked as such, the text is that of its headings and paragraphs, taken here by another way."""
+    import html
+    import re
+
+    table = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    want = {}
+    for r in table.collect():
+        article = re.search(r"<article>(.*?)(</article>|\Z)", r.html, re.S)[1]
+        parts = [re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>?", "", p.replace("<br>", " ")))).strip() for p in re.split("</?(?:p|h1)>", article)]
+        want[r.page_id] = "\n".join(p for p in parts if p)
+    assert {r.page_id: r.text for r in H.extracted(table).collect()} == want
