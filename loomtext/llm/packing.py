@@ -23,7 +23,7 @@ QUADRATIC = 1.0 / 1024
 #: Tokens that a task gathers before it packs them: the bound of its memory.
 GROUP_TOKENS = 2_000_000
 #: Distinct words whose ids a worker remembers before it starts anew.
-MEMO = 1_000_000
+MEMO = 500_000
 CHUNK_BYTES = 1 << 21
 #: Letters alone, which are one word to the vocabulary.
 _LETTERS = re.compile("[A-Za-z\u00DF-\u00F6\u00F8-\u00FF]+").fullmatch
