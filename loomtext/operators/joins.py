@@ -23,9 +23,10 @@ def _folded(c: Column, flags: Flag | int) -> Column:
 
 def named_list_join(texts: DataFrame, key: str, text: str, words: DataFrame, word: str, flags: Flag | int = 0, *, token: str = TOKEN) -> DataFrame:
     """key, word, hits: every whole-word occurrence of a vocabulary, counted: the join form of \\b\\L<words>\\b."""
-    tokens = texts.select(F.col(key), F.explode(C.findall(text, token)).alias("_t")).groupBy(key, _folded(F.col("_t"), flags).alias("_t")).agg(F.count("*").alias("hits"))
+    tokens = texts.select(F.col(key), F.explode(C.findall(text, token)).alias("_t")).withColumn("_t", _folded(F.col("_t"), flags))
     vocabulary = words.select(F.col(word)).distinct().withColumn("_t", _folded(F.col(word), flags))
-    return tokens.join(vocabulary, "_t").select(key, word, "hits")
+    # Joined before they are counted: most tokens are in no vocabulary and go no further.
+    return tokens.join(vocabulary, "_t").groupBy(key, word).agg(F.count("*").alias("hits"))
 
 
 def _grams(text: Column, size: int) -> Column:

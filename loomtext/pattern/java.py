@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import lru_cache
 
 from . import nodes as N
-from .charset import cases, java_char
+from .charset import cases, java_char, java_property
 from .engine import Pattern
 from .flags import Flag
 from .matcher import full_fold
@@ -97,7 +97,7 @@ def _java(n: N.Node, atomic: bool) -> str:
     if isinstance(n, N.At):
         if n.wide:
             raise NotJava("WORD has no Java form")
-        word = "[0-9A-Za-z_]" if n.ascii else "[\\p{IsAlphabetic}\\p{M}\\p{Nd}\\p{Pc}\\x{200C}\\x{200D}]"
+        word = f"[{java_property('word', n.ascii).strip('[]') if n.ascii else java_property('word', False)}]"
         before, after = f"(?<={word})", f"(?={word})"
         no_before, no_after = f"(?<!{word})", f"(?!{word})"
         places = {

@@ -9,7 +9,7 @@ from loomtext.operators import explode_matches, fuzzy_join, named_list_join, nex
 from loomtext.pattern.engine import compile
 
 TEXTS = ["the dog and foxbar", "Café STRASSE straße", "a1b22c333", "", "line one\nline two\r\n", "xy ıİ kKK"]
-PATTERNS = [r"\w+", r"\bo?n?\w", r"(?i)strasse", r"(?m)^\w+$", r"[^\W\d]+\d", r".+", r"\s", r"(?:fox|dog)+", r"(?a)\w+", r"\p{Lu}\w*", r"(?i)k", "[[a-z]&&[^aeiou]]{2}", r"(?<=a)\d", r"(?>a|ab)\d", "(?:foobar){e<=1}", r"(o)(\w)?", "(?i)I"]
+PATTERNS = [r"\w+", r"\bo?n?\w", r"(?i)strasse", r"(?m)^\w+$", r"[^\W\d]+\d", r".+", r"\s", r"(?:fox|dog)+", r"(?a)\w+", r"\p{Lu}\w*", r"(?i)k", "[[a-z]&&[^aeiou]]{2}", r"(?<=a)\d", r"(?>a|ab)\d", "(?:foobar){e<=1}", r"(o)(\w)?", "(?i)I", r"\W+", r"\S+", r"\D", r"[^\s\d]+", r"\b\w", r"(?a)\b\w+\b", r"\B."]
 
 
 @pytest.fixture(scope="module")
