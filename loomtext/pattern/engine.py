@@ -13,6 +13,7 @@ from .errors import PatternError
 from .flags import Flag
 from .matcher import Found, Machine
 from .parser import Parsed, parse
+from .quick import fits, quick, single_captures
 
 #: Characters that escape() puts a backslash before: fixed values.
 SPECIAL = frozenset("()[]{}?*+|^$\\.-#&~")
@@ -130,6 +131,9 @@ class Pattern:
         self.lists = {k: tuple(v) for k, v in (lists or {}).items()}
         self.parsed: Parsed = parse(pattern, self.given, self.lists)
         self.machine = Machine(self.parsed, steps, seconds)
+        # Budgets are the machine's alone; repeated captures are too.
+        self.quick = quick(self.parsed) if steps is None and seconds is None else None
+        self.quick_records = self.quick if self.quick and single_captures(self.parsed) else None
 
     def __reduce__(self):
         return compile, (self.pattern, self.given, tuple((k, v) for k, v in self.lists.items()), self.steps, self.seconds)
@@ -180,6 +184,8 @@ class Pattern:
         sieve = self.machine.sieve
         if sieve is not None and sieve.decides and beginning == 0 and length < 0:
             return sieve.near(text)
+        if self.quick is not None and beginning == 0 and length < 0 and fits(text):
+            return self.quick.search(text) is not None
         return self._find(text, beginning, length) is not None
 
     def is_match_at_start(self, text: str, beginning: int = 0, length: int = -1) -> bool:
@@ -203,6 +209,12 @@ class Pattern:
         """All matches, one after the other. After an empty match the next one may begin at the
         same place but not be empty there."""
         begin, end = self.slice(text, beginning, length)
+        if self.quick_records is not None and not overlapped and not partial and begin == 0 and end == len(text) and fits(text):
+            for m in self.quick_records.finditer(text):
+                a, b = m.span()
+                found = Found(a, b, [[s] if s[0] >= 0 else [] for s in m.regs], [], m.lastindex or -1)
+                yield Match(self, text, found, lambda a=a, b=b: next(self._from(text, begin, end, b, b if a == b else None, False, False), None))
+            return
         yield from self._from(text, begin, end, end if self.reverse else begin, None, overlapped, partial)
 
     def _from(self, text: str, begin: int, end: int, pos: int, empty_at: int | None, overlapped: bool, partial: bool) -> Iterator[Match]:
@@ -231,6 +243,8 @@ class Pattern:
         return out
 
     def count(self, text: str, beginning: int = 0, length: int = -1, *, overlapped: bool = False) -> int:
+        if self.quick is not None and not overlapped and beginning == 0 and length < 0 and fits(text):
+            return sum(1 for _ in self.quick.finditer(text))
         return sum(1 for _ in self.iterate(text, beginning, length, overlapped=overlapped))
 
     # --- rewriting --------------------------------------------------------------------------------------------------

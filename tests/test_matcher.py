@@ -157,3 +157,24 @@ def test_sieve_keeps_answers():
         slow.machine.sieve = None
         assert [(m.index, m.end, m.fuzzy_changes) for m in fast.iterate(text)] == [(m.index, m.end, m.fuzzy_changes) for m in slow.iterate(text)], pattern
         assert fast.is_match(text) == slow.is_match(text), pattern
+
+
+def test_quick_agrees():
+    """Python's matcher over Latin-1 texts gives the machine's matches, groups and order."""
+    rng = random.Random(8)
+    atoms = ["a", "b", ".", r"\w", r"\d", "[ab]", "[^a]", r"\b", "^", "$", r"(?m)^", "(?=b)", "(?<!a)", "(a)", "(a|b)", "(?:ab|a)", r"\s", "(?i)\xe9", r"\R", r"(?:(b)|c)", r"\m", r"\W"]
+    tails = ["", "", "", "*", "+", "?", "{2}", "{1,3}", "*?", "++", "??"]
+    tried = 0
+    for _ in range(1500):
+        pattern = "".join(a + ("" if a in (r"\b", "^", "$", "(?m)^", r"\m") or a[:3] in ("(?=", "(?<") else rng.choice(tails)) for a in rng.choices(atoms, k=rng.randint(1, 4)))
+        fast = Pattern(pattern)
+        if fast.quick_records is None:
+            continue
+        tried += 1
+        slow = Pattern(pattern)
+        slow.quick = slow.quick_records = None
+        text = "".join(rng.choice("aab \n\xe9\xc91c") for _ in range(15))
+        view = lambda p: [(m.span(), m.groups(), m.last_group) for m in p.iterate(text)]  # noqa: E731, B023
+        assert view(fast) == view(slow), (pattern, text)
+        assert (fast.count(text), fast.is_match(text)) == (slow.count(text), slow.is_match(text))
+    assert tried > 400
