@@ -34,7 +34,8 @@ def java(pattern: Pattern) -> str:
     numbers = [n.number for n in N.walk(parsed.root) if isinstance(n, N.Group)]
     if sorted(numbers) != list(range(1, len(numbers) + 1)):
         raise NotJava("groups that share a number")
-    return _java(parsed.root, False)
+    body = _java(parsed.root, False)
+    return f"(?U){body}" if any(e in body for e in (r"\w", r"\d", r"\s")) else body
 
 
 def _risky(n: N.Node) -> bool:
