@@ -75,7 +75,10 @@ def _filter(p: Pattern, text: Column) -> Column | None:
                 own = text.contains(piece)
                 out = own if out is None else out | own
             return out
-        return text.rlike("|".join("".join(spell(c, f) for c in piece) for piece, _, f in p.machine.sieve.pieces))
+        own = ["".join(spell(c, f) for c in piece) for piece, _, f in p.machine.sieve.pieces]
+        if p.machine.sieve.wide:
+            own.append("[" + "".join(map(java_char, p.machine.sieve.wide)) + "]")
+        return text.rlike("|".join(own))
     if p.machine.required and len(p.machine.required) > 1:
         return text.contains(p.machine.required)
     return None

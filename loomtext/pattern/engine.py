@@ -182,7 +182,7 @@ class Pattern:
 
     def is_match(self, text: str, beginning: int = 0, length: int = -1) -> bool:
         sieve = self.machine.sieve
-        if sieve is not None and sieve.decides and beginning == 0 and length < 0:
+        if sieve is not None and sieve.decides and beginning == 0 and length < 0 and sieve.fits(text):
             return sieve.near(text)
         if self.quick is not None and beginning == 0 and length < 0 and fits(text):
             return self.quick.search(text) is not None

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from functools import lru_cache
-
 from . import nodes as N
 from .charset import cases, java_char, java_property
 from .engine import Pattern
 from .flags import Flag
-from .matcher import full_fold
+from .matcher import expansions, full_fold
 
 _META = frozenset("\\^$.|?*+()[]{}-&~#<>=!:, \t\n\r\x0b\x0c")
 
@@ -116,20 +114,9 @@ def _wrapped(n: N.Node, atomic: bool) -> str:
     return f"(?:{_java(n, atomic)})"
 
 
-@lru_cache(1)
-def _expansions() -> dict[str, str]:
-    """Foldings of more than one character, each with the characters that fold to it."""
-    out: dict[str, str] = {}
-    for k in (*range(0x80, 0x2000), *range(0xFB00, 0xFB20)):
-        c = chr(k)
-        if c not in "İı" and len(f := c.casefold()) > 1:
-            out[f] = out.get(f, "") + c
-    return out
-
-
 def _folded(text: str) -> str:
     """A pattern of all spellings of a folded text, characters that fold to several included."""
-    options = {k: [f for f in _expansions() if text.startswith(f, k)] for k in range(len(text))}
+    options = {k: [f for f in expansions() if text.startswith(f, k)] for k in range(len(text))}
     one = lambda c: quote(c) if len(cases(c)) == 1 else "[" + "".join(java_char(x) for x in sorted(cases(c))) + "]"
 
     def ways(k: int, end: int) -> str:
@@ -137,7 +124,7 @@ def _folded(text: str) -> str:
         if k >= end:
             return ""
         own = [one(text[k]) + ways(k + 1, end)]
-        own += ["[" + "".join(java_char(x) for x in _expansions()[f]) + "]" + ways(k + len(f), end) for f in options[k]]
+        own += ["[" + "".join(java_char(x) for x in expansions()[f]) + "]" + ways(k + len(f), end) for f in options[k]]
         return own[0] if len(own) == 1 else "(?:" + "|".join(own) + ")"
 
     out, k = [], 0

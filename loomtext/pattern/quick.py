@@ -54,8 +54,8 @@ def _char(c: str, folded: bool) -> str:
 
 def _emit(n: N.Node) -> str:
     if isinstance(n, N.Text):
-        if n.full and "ss" in full_fold(n.chars):
-            raise _No  # one character may stand for both
+        if n.full and ("ss" in full_fold(n.chars) or len(full_fold(n.chars)) != len(n.chars)):
+            raise _No  # one character may stand for several
         return "".join(_char(c, n.folded) for c in n.chars)
     if isinstance(n, N.Cls):
         return _set(n.chars)

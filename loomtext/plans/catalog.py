@@ -136,7 +136,7 @@ def _about(spark: SparkSession, _: str) -> DataFrame:
 _add("a27_introspection", _about, r"SELECT '(?i)(?<word>\w+) (\d+)\L<w>' AS pattern, 2 AS n_groups, '0,word,2' AS names, 1 AS word, true AS ignore_case, 'a,b' AS list")
 _WRONG = {
     "(abc": "missing )", "a**": "multiple repeat", "*a": "nothing to repeat", "a[": "unterminated character set", "a[b-a]": "bad character range", "abc)": "unbalanced parenthesis",
-    r"\1": "invalid group reference", "(?P<1>a)": "bad character in group name", "(a)(?P=x)": "unknown group", "a\\": "bad escape (end of pattern)", r"(a\1)": "cannot refer to an open group",
+    r"\1": "invalid group reference", "(?P<1>a)": "bad character in group name", "(a)(?P=x)": "unknown group", "a\\": "bad escape (end of pattern)", r"(?V0)(a\1)": "cannot refer to an open group",
 }
 
 

@@ -127,7 +127,7 @@ def test_structure():
     assert compile("[[a-z]--[aeiou]]+").search("aebcd").value == "bcd"
 
 
-@pytest.mark.parametrize("pattern", ["(abc", "a**", "*a", "a[", "a[b-a]", "abc)", r"\1", "(?P<1>a)", "(a)(?P=x)", "a\\", r"(a\1)", "(?(DEFINE)a|b)", "(?b)(?:a){e<=1}(*SKIP)b", "(?<a>(?&a)x)"])
+@pytest.mark.parametrize("pattern", ["(abc", "a**", "*a", "a[", "a[b-a]", "abc)", r"\1", "(?P<1>a)", "(a)(?P=x)", "a\\", r"(?V0)(a\1)", "(?(DEFINE)a|b)", "(?b)(?:a){e<=1}(*SKIP)b", "(?<a>(?&a)x)"])
 def test_refused(pattern):
     with pytest.raises(PatternError):
         compile(pattern)
