@@ -19,6 +19,7 @@ from ..pattern import java as J
 from ..pattern import nodes as N
 from ..pattern.charset import cases, java_char
 from ..pattern.engine import SPECIAL, Match, Pattern, compile
+from ..pattern.errors import MatchTimeout
 from ..pattern.flags import Flag
 
 CAPTURE = "struct<index:int,length:int,value:string>"
@@ -43,6 +44,8 @@ def literal(p: Pattern) -> str | None:
 
 
 def java_form(p: Pattern, wrap: str = "{}") -> str | None:
+    if p.steps is not None or p.seconds is not None:
+        return None  # the JVM keeps no budgets
     try:
         return wrap.format(J.java(p)) if wrap == "{}" else wrap.replace("{}", J.java(p))
     except J.NotJava:
@@ -90,9 +93,17 @@ def _run(p: Pattern, kind: str | DataType, work: Callable[[Pattern, str], object
     sent = texts[0] if screen is None else F.when(screen, texts[0])
     arrow = _arrow_type(kind)
 
+    def within(text: str) -> object:
+        try:
+            return work(p, text)
+        except MatchTimeout:
+            if p.on_timeout == "error":
+                raise
+            return None
+
     @arrow_udf(returnType=kind)
     def run(batch: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else work(p, t) for t in batch.to_pylist()], arrow)
+        return pa.array([None if t is None else within(t) for t in batch.to_pylist()], arrow)
 
     out = run(sent)
     if screen is None:
@@ -246,9 +257,10 @@ def count(text: Text, pattern: str | Pattern, flags: Flag | int = 0, lists: List
 def replace(text: Text, pattern: str | Pattern, template: str, flags: Flag | int = 0, lists: Lists = None, *, count: int = -1, beginning: int = 0, length: int = -1) -> Column:
     """Text with matches replaced by a template (\\1, \\g<name>, ...)."""
     p, t = compile(pattern, flags, lists), _col(text)
-    if (count, beginning, length) == (-1, 0, -1) and J.scans_alike(p):
+    form = java_form(p)
+    if (count, beginning, length) == (-1, 0, -1) and form is not None and J.scans_alike(p):
         try:
-            return F.regexp_replace(t, F.lit(J.java(p)), F.lit(J.template(p, template)))
+            return F.regexp_replace(t, F.lit(form), F.lit(J.template(p, template)))
         except J.NotJava:
             pass
     p.template(template)
@@ -264,9 +276,9 @@ def replace_with(text: Text, pattern: str | Pattern, by: Callable[[Match], str],
 def replace_n(text: Text, pattern: str | Pattern, template: str, flags: Flag | int = 0, lists: Lists = None, *, count: int = -1) -> Column:
     """struct(text, n): replaced text and number of replacements."""
     p, t = compile(pattern, flags, lists), _col(text)
-    if count == -1 and J.scans_alike(p):
+    form = java_form(p)
+    if count == -1 and form is not None and J.scans_alike(p):
         try:
-            form = J.java(p)
             return F.struct(F.regexp_replace(t, F.lit(form), F.lit(J.template(p, template))).alias("text"), F.regexp_count(t, F.lit(form)).cast("int").alias("n"))
         except J.NotJava:
             pass

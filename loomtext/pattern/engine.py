@@ -126,8 +126,10 @@ class Match:
 class Pattern:
     """A pattern with its options, named lists, and budgets of steps and seconds for one call; it can be pickled and is cached by worker."""
 
-    def __init__(self, pattern: str, flags: Flag = Flag.NONE, lists: Mapping[str, Iterable[str]] | None = None, *, steps: int | None = None, seconds: float | None = None):
-        self.pattern, self.given, self.steps, self.seconds = pattern, Flag(flags), steps, seconds
+    def __init__(self, pattern: str, flags: Flag = Flag.NONE, lists: Mapping[str, Iterable[str]] | None = None, *, steps: int | None = None, seconds: float | None = None, on_timeout: str = "error"):
+        if on_timeout not in ("error", "null"):
+            raise ValueError("on_timeout is error or null")
+        self.pattern, self.given, self.steps, self.seconds, self.on_timeout = pattern, Flag(flags), steps, seconds, on_timeout
         self.lists = {k: tuple(v) for k, v in (lists or {}).items()}
         self.parsed: Parsed = parse(pattern, self.given, self.lists)
         self.machine = Machine(self.parsed, steps, seconds)
@@ -136,7 +138,7 @@ class Pattern:
         self.quick_records = self.quick if self.quick and single_captures(self.parsed) else None
 
     def __reduce__(self):
-        return compile, (self.pattern, self.given, tuple((k, v) for k, v in self.lists.items()), self.steps, self.seconds)
+        return compile, (self.pattern, self.given, tuple((k, v) for k, v in self.lists.items()), self.steps, self.seconds, self.on_timeout)
 
     # --- what the pattern is ----------------------------------------------------------------------------------------
 
@@ -412,16 +414,17 @@ class Pattern:
 
 
 @lru_cache(256)
-def _compiled(pattern: str, flags: Flag, lists: tuple, steps: int | None, seconds: float | None) -> Pattern:
-    return Pattern(pattern, flags, dict(lists), steps=steps, seconds=seconds)
+def _compiled(pattern: str, flags: Flag, lists: tuple, steps: int | None, seconds: float | None, on_timeout: str) -> Pattern:
+    return Pattern(pattern, flags, dict(lists), steps=steps, seconds=seconds, on_timeout=on_timeout)
 
 
-def compile(pattern: str | Pattern, flags: Flag | int = Flag.NONE, lists: Mapping[str, Iterable[str]] | tuple | None = None, steps: int | None = None, seconds: float | None = None) -> Pattern:  # noqa: A001
-    """A pattern from the cache of this process, compiled if it is not there."""
+def compile(pattern: str | Pattern, flags: Flag | int = Flag.NONE, lists: Mapping[str, Iterable[str]] | tuple | None = None, steps: int | None = None, seconds: float | None = None, on_timeout: str = "error") -> Pattern:  # noqa: A001
+    """A pattern from the cache of this process, compiled if it is not there. A text on which it uses up its steps or seconds raises
+    MatchTimeout or, in columns with on_timeout null, gives null."""
     if isinstance(pattern, Pattern):
         return pattern
     items = lists if isinstance(lists, tuple) else tuple(sorted((k, tuple(v)) for k, v in (lists or {}).items()))
-    return _compiled(pattern, Flag(flags), items, steps, seconds)
+    return _compiled(pattern, Flag(flags), items, steps, seconds, on_timeout)
 
 
 def escape(text: str, special_only: bool = True, literal_spaces: bool = False) -> str:

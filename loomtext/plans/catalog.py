@@ -171,6 +171,7 @@ def _timeout(spark: SparkSession, _: str) -> DataFrame:
 
 
 _add("a30_timeout", _timeout, "SELECT 'timeout' AS ended")
+_column("a30_timeout_null", "part", lambda t: fz.is_match(F.concat(F.repeat(F.lit("x"), 30), t), compile(r"(?:(x+)+\1)+y", steps=500, on_timeout="null")), "NULL::BOOLEAN")
 
 # --- pattern constructs ---------------------------------------------------------------------------------------------
 

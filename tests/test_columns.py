@@ -60,3 +60,10 @@ def test_sql(spark, texts):
     texts.createOrReplaceTempView("texts")
     assert [r[0] for r in spark.sql("SELECT fz_count(t, '[0-9]+') FROM texts ORDER BY id").collect()] == [0, 0, 3, 0, 0, 0, None]
     assert [r.value for r in spark.sql("SELECT m.value FROM texts, LATERAL fz_matches(t, '(?:dog|fox){e<=0}') m ORDER BY 1").collect()] == ["dog", "fox"]
+
+
+def test_budgets(spark):
+    df = spark.createDataFrame([("x" * 30,), ("xy",)], "t string")
+    p = compile(r"(?:(x+)+\1)+y", steps=500, on_timeout="null")
+    assert [r[0] for r in df.select(fz.is_match("t", p)).collect()] == [None, False]
+    assert [r[0] for r in df.select(fz.count("t", compile("x", steps=500))).collect()] == [30, 1]
