@@ -30,8 +30,8 @@ def named_list_join(texts: DataFrame, key: str, text: str, words: DataFrame, wor
 
 
 def _grams(text: Column, size: int) -> Column:
-    n = F.length(text) - F.lit(size)
-    return F.when(n >= 0, F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.substring(text, i + 1, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+    """Distinct runs of `size` characters, in one pass: substring() would walk from the start for each."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
 def substring_join(texts: DataFrame, key: str, text: str, words: DataFrame, word: str) -> DataFrame:
