@@ -8,6 +8,7 @@ give null. Positions are code points from 0."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Mapping
+from itertools import accumulate, pairwise
 
 import pyarrow as pa
 from pyspark.sql import Column, SparkSession
@@ -87,7 +88,7 @@ def _filter(p: Pattern, text: Column) -> Column | None:
     return None
 
 
-def _run(p: Pattern, kind: str | DataType, work: Callable[[Pattern, str], object], *texts: Column, missing: object = None, screened: bool = True) -> Column:
+def _run(p: Pattern, kind: str | DataType, work: Callable[[Pattern, str], object], *texts: Column, missing: object = None, screened: bool = True, build: Callable[[list], pa.Array] | None = None) -> Column:
     """`work` over each text in Arrow batches; texts without a chance of a match are not sent and give `missing`."""
     screen = _filter(p, texts[0]) if screened else None
     sent = texts[0] if screen is None else F.when(screen, texts[0])
@@ -103,7 +104,8 @@ def _run(p: Pattern, kind: str | DataType, work: Callable[[Pattern, str], object
 
     @arrow_udf(returnType=kind)
     def run(batch: pa.Array) -> pa.Array:
-        return pa.array([None if t is None else within(t) for t in batch.to_pylist()], arrow)
+        own = [None if t is None else within(t) for t in batch.to_pylist()]
+        return build(own).cast(arrow) if build else pa.array(own, arrow)
 
     out = run(sent)
     if screen is None:
@@ -118,24 +120,57 @@ def _arrow_type(kind: str | DataType) -> pa.DataType:
     return to_arrow_type(_parse_datatype_string(kind) if isinstance(kind, str) else kind)
 
 
-def as_row(m: Match | None) -> dict | None:
-    """A match as a row of MATCH."""
-    if m is None:
-        return None
-    s, i, d = m.fuzzy_counts
-    subs, ins, dels = m.fuzzy_changes
-    groups = []
-    for g in range(len(m.found.captures)):
-        own = m.captures(g)
-        last = own[-1] if own else None
-        groups.append({
-            "number": g, "name": m.pattern.name_of(g), "success": bool(own), "index": last.index if last else None, "length": last.length if last else None, "value": last.value if last else None,
-            "captures": [{"index": c.index, "length": c.length, "value": c.value} for c in own],
-        })
-    return {
-        "index": m.index, "length": m.length, "value": m.value, "partial": m.partial, "subs": s, "ins": i, "dels": d, "changes": {"subs": subs, "ins": ins, "dels": dels},
-        "last_group": m.last_group, "last_group_name": m.last_group_name, "groups": groups,
-    }
+_POINT = pa.struct([("index", pa.int32()), ("length", pa.int32()), ("value", pa.string())])
+
+
+def _nested(lists: list[list[int]], kind: pa.DataType) -> pa.ListArray:
+    ends = [0, *accumulate(map(len, lists))]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array([x for own in lists for x in own], kind))
+
+
+def records(ms: list[Match]) -> pa.StructArray:
+    """Matches of one pattern as a MATCH array, built by columns."""
+    text = [m.text for m in ms]
+    found = [m.found for m in ms]
+    ints = lambda xs: pa.array(xs, pa.int32())
+    strings = lambda xs: pa.array(xs, pa.string())
+    counts = [f.counts if f.edits else (0, 0, 0) for f in found]
+    changes = [f.changes() if f.edits else ((), (), ()) for f in found]
+    names = [ms[0].pattern.name_of(g) for g in range(ms[0].pattern.group_count + 1)] if ms else []
+    size = len(names)
+    captures = [own for f in found for own in f.captures]
+    texts = [t for t in text for _ in range(size)]
+    flat = [(a, b, t[a:b]) for t, own in zip(texts, captures, strict=True) for a, b in own]
+    points = pa.StructArray.from_arrays([ints([a for a, _, _ in flat]), ints([b - a for a, b, _ in flat]), strings([v for _, _, v in flat])], fields=list(_POINT))
+    ends = [0, *accumulate(map(len, captures))]
+    last = [e - 1 if e > s else None for s, e in pairwise(ends)]
+    own = points.take(pa.array(last, pa.int64()))
+    group = pa.StructArray.from_arrays(
+        [ints(list(range(size)) * len(ms)), strings(names * len(ms)), pa.array([x is not None for x in last]), *own.flatten(), pa.ListArray.from_arrays(ints(ends), points)],
+        names=["number", "name", "success", "index", "length", "value", "captures"],
+    )
+    lists = [_nested([list(c[k]) for c in changes], pa.int32()) for k in range(3)]
+    return pa.StructArray.from_arrays(
+        [
+            ints([f.start for f in found]), ints([f.end - f.start for f in found]), strings([t[f.start : f.end] for t, f in zip(text, found, strict=True)]), pa.array([f.partial for f in found], pa.bool_()),
+            *(ints([c[k] for c in counts]) for k in range(3)), pa.StructArray.from_arrays(lists, names=["subs", "ins", "dels"]),
+            ints([f.last for f in found]), strings([names[f.last] if 0 <= f.last < size else None for f in found]), pa.ListArray.from_arrays(ints(range(0, size * len(ms) + 1, size or 1)) if size else ints([0] * (len(ms) + 1)), group),
+        ],
+        names=["index", "length", "value", "partial", "subs", "ins", "dels", "changes", "last_group", "last_group_name", "groups"],
+    )
+
+
+def optional(ms: list[Match | None]) -> pa.StructArray:
+    """Matches, or null where there is none."""
+    real = [m for m in ms if m is not None]
+    number = iter(range(len(real)))
+    return records(real).take(pa.array([None if m is None else next(number) for m in ms], pa.int64()))
+
+
+def match_lists(rows: list[list[Match] | None]) -> pa.ListArray:
+    """Lists of matches; null for null."""
+    ends = [0, *accumulate(0 if r is None else len(r) for r in rows)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), records([m for r in rows if r for m in r]), mask=pa.array([r is None for r in rows]))
 
 
 # --- booleans -------------------------------------------------------------------------------------------------------
@@ -186,24 +221,24 @@ def is_full_match(text: Text, pattern: str | Pattern, flags: Flag | int = 0, lis
 def search(text: Text, pattern: str | Pattern, flags: Flag | int = 0, lists: Lists = None, *, beginning: int = 0, length: int = -1, partial: bool = False, steps: int | None = None) -> Column:
     """The first match as a MATCH struct; null if there is none."""
     p = compile(pattern, flags, lists, steps)
-    return _run(p, MATCH, lambda p, s: as_row(p.search(s, beginning, length, partial)), _col(text), screened=not partial)
+    return _run(p, MATCH, lambda p, s: p.search(s, beginning, length, partial), _col(text), screened=not partial, build=optional)
 
 
 def match_at_start(text: Text, pattern: str | Pattern, flags: Flag | int = 0, lists: Lists = None, *, beginning: int = 0, length: int = -1, partial: bool = False) -> Column:
     p = compile(pattern, flags, lists)
-    return _run(p, MATCH, lambda p, s: as_row(p.match_at_start(s, beginning, length, partial)), _col(text), screened=not partial)
+    return _run(p, MATCH, lambda p, s: p.match_at_start(s, beginning, length, partial), _col(text), screened=not partial, build=optional)
 
 
 def full_match(text: Text, pattern: str | Pattern, flags: Flag | int = 0, lists: Lists = None, *, beginning: int = 0, length: int = -1, partial: bool = False) -> Column:
     p = compile(pattern, flags, lists)
-    return _run(p, MATCH, lambda p, s: as_row(p.full_match(s, beginning, length, partial)), _col(text), screened=not partial)
+    return _run(p, MATCH, lambda p, s: p.full_match(s, beginning, length, partial), _col(text), screened=not partial, build=optional)
 
 
 def matches(text: Text, pattern: str | Pattern, flags: Flag | int = 0, lists: Lists = None, *, beginning: int = 0, length: int = -1, overlapped: bool = False, partial: bool = False, most: int | None = None) -> Column:
     """All matches as an array of MATCH; `most` stops the scan early. posexplode() gives a row for each."""
     p = compile(pattern, flags, lists)
-    return _run(p, f"array<{MATCH}>", lambda p, s: [as_row(m) for m in p.matches(s, beginning, length, overlapped=overlapped, partial=partial, most=most)], _col(text),
-                missing=F.array().cast(f"array<{MATCH}>"), screened=not partial)
+    work = lambda p, s: p.matches(s, beginning, length, overlapped=overlapped, partial=partial, most=most)
+    return _run(p, f"array<{MATCH}>", work, _col(text), missing=F.array().cast(f"array<{MATCH}>"), screened=not partial, build=match_lists)
 
 
 def spans(text: Text, pattern: str | Pattern, flags: Flag | int = 0, lists: Lists = None, *, overlapped: bool = False, most: int | None = None) -> Column:
@@ -354,7 +389,9 @@ def register(spark: SparkSession) -> None:
         arrow = _arrow_type(kind)
 
         def run(*cols: pa.Array) -> pa.Array:
-            return pa.array([None if None in row else work(compile(row[1]), row[0], *row[2:]) for row in zip(*(c.to_pylist() for c in cols), strict=True)], arrow)
+            own = [None if None in row else work(compile(row[1]), row[0], *row[2:]) for row in zip(*(c.to_pylist() for c in cols), strict=True)]
+            # Patterns differ by row, so their records are built one by one.
+            return pa.concat_arrays([optional([m]).cast(arrow) for m in own]) if kind == MATCH and own else pa.array(own, arrow)
 
         by_size = {2: lambda a, b: run(a, b), 3: lambda a, b, c: run(a, b, c)}[3 if name == "fz_replace" else 2]
         by_size.__annotations__ = {**{n: pa.Array for n in by_size.__code__.co_varnames}, "return": pa.Array}
@@ -362,7 +399,7 @@ def register(spark: SparkSession) -> None:
 
     add("fz_is_match", "boolean", lambda p, s: p.is_match(s))
     add("fz_count", "int", lambda p, s: p.count(s))
-    add("fz_search", MATCH, lambda p, s: as_row(p.search(s)))
+    add("fz_search", MATCH, lambda p, s: p.search(s))
     add("fz_split", "array<string>", lambda p, s: p.split(s))
     add("fz_replace", "string", lambda p, s, t: p.replace(s, t))
 
