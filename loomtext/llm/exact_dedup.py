@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .common import materialise, shared_dir
 
+#: A digest with more than this share of all rows is hot; so at most 1 / HOT_SHARE are.
+HOT_SHARE = 1 / 1000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -74,13 +76,22 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataF
     if rows.isEmpty():
         return rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(False).alias("kept"), "text_sha256", "locator", "row")
     state = keyed_state(spark, path, schema)
-    hits = state.where("group_size > 1").select("text_sha256")
+    # Digests with over HOT_SHARE of the rows are few, by that share, and broadcast; their rows are dealt out evenly past the other joins.
+    most = HOT_SHARE * (state.agg(F.sum("group_size")).first()[0] or 0)
+    known = state.select("text_sha256", F.struct("keeper", "group_size").alias("own"))
+    hot = F.broadcast(known.where(F.col("own.group_size") > most).withColumnRenamed("own", "hot"))
+    cold = known.where(F.col("own.group_size") <= most).select(F.col("text_sha256").alias("dealt"), F.col("own").alias("cold"))
     body = F.coalesce(docs[text], F.lit(""))
     full = docs.select(docs[key].alias("doc_id"), F.sha2(body.cast("binary"), 256).alias("text_sha256"), body.alias("text"))
-    whole = full.join(hits, "text_sha256", "left_semi").groupBy("text_sha256", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
+    met = full.join(hot.where("hot.group_size > 1"), "text_sha256", "left")
+    met = met.withColumn("dealt", F.when(F.col("hot").isNull(), F.col("text_sha256")).otherwise(F.xxhash64("doc_id").cast("string")))
+    met = met.join(cold.where("cold.group_size > 1"), "dealt", "left").where("hot IS NOT NULL OR cold IS NOT NULL")
+    whole = met.groupBy("text_sha256", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
     split = whole.groupBy("text_sha256").agg(F.count("*").alias("texts")).where("texts > 1")
     clashes = materialise(split, "clashes")
-    out = rows.join(state.select("text_sha256", "keeper", "group_size"), "text_sha256")
+    out = rows.join(hot, "text_sha256", "left")
+    out = out.withColumn("dealt", F.when(F.col("hot").isNull(), F.col("text_sha256")).otherwise(F.col("row").cast("string"))).join(cold, "dealt", "left")
+    out = out.withColumn("own", F.coalesce("hot", "cold")).select("*", "own.*")
     out = out.select("doc_id", F.col("keeper.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keeper.row")).alias("kept"), "text_sha256", "locator", "row")
     if clashes.isEmpty():
         return out
