@@ -1,7 +1,7 @@
 """Joins of texts with vocabularies and pattern tables.
 
-Every join is an equi-join on a token or a gram, so it scales with the hits and not with texts times words. Which side is broadcast is left
-to the engine, which knows their sizes. Grams are made distinct within a text before they are shuffled, so a common gram is one row a text."""
+Every join is an equi-join on a token or a gram, so it scales with the hits and not with texts times words. A
+vocabulary is broadcast only after a look at its size. Grams are made distinct within a text before they are shuffled, so a common gram is one row a text."""
 
 from __future__ import annotations
 
@@ -15,6 +15,15 @@ from ..pattern.engine import compile, escape
 from ..pattern.flags import Flag
 
 TOKEN = r"\w+"
+#: Rows and bytes of a vocabulary up to which it is broadcast. The engine cannot judge this by itself: it takes the exploded texts for small.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+
+
+def _with(many: DataFrame, few: DataFrame, words: DataFrame, word: str, times: int, on: str) -> DataFrame:
+    """Join of many rows with those of a vocabulary (up to `times` for a word): broadcast if it is known to be small, else by sort and merge."""
+    rows, size = words.select(F.length(word).alias("n")).limit(BROADCAST_ROWS // times + 1).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    small = rows * times <= BROADCAST_ROWS and 4 * size * times <= BROADCAST_BYTES
+    return many.join(F.broadcast(few) if small else few.hint("merge"), on)
 
 
 def _folded(c: Column, flags: Flag | int) -> Column:
@@ -26,7 +35,7 @@ def named_list_join(texts: DataFrame, key: str, text: str, words: DataFrame, wor
     tokens = texts.select(F.col(key), F.explode(C.findall(text, token)).alias("_t")).withColumn("_t", _folded(F.col("_t"), flags))
     vocabulary = words.select(F.col(word)).distinct().withColumn("_t", _folded(F.col(word), flags))
     # Joined before they are counted: most tokens are in no vocabulary and go no further.
-    return tokens.join(vocabulary, "_t").groupBy(key, word).agg(F.count("*").alias("hits"))
+    return _with(tokens, vocabulary, words, word, 1, "_t").groupBy(key, word).agg(F.count("*").alias("hits"))
 
 
 def _grams(text: Column, size: int) -> Column:
@@ -42,7 +51,7 @@ def substring_join(texts: DataFrame, key: str, text: str, words: DataFrame, word
     least = sizes[0]
     heads = words.select(F.col(word)).where(F.length(word) > 0).distinct().withColumn("_g", F.substring(word, 1, least))
     own = texts.select(F.col(key), F.col(text).alias("_text"))
-    found = own.withColumn("_g", F.explode(_grams(F.col("_text"), least))).join(heads, "_g").where(F.col("_text").contains(F.col(word)))
+    found = _with(own.withColumn("_g", F.explode(_grams(F.col("_text"), least))), heads, words, word, 1, "_g").where(F.col("_text").contains(F.col(word)))
     return found.select(key, word)
 
 
@@ -63,7 +72,7 @@ def fuzzy_join(texts: DataFrame, key: str, text: str, words: DataFrame, word: st
     if not sizes:
         return own.select(key).limit(0).withColumn(word, F.lit(""))
     grams = F.array_distinct(F.flatten(F.array(*[_grams(F.col("_low"), n) for n in sizes])))
-    found = own.withColumn("_g", F.explode(grams)).join(pieces, "_g").select(key, "_text", word).dropDuplicates([key, word])
+    found = _with(own.withColumn("_g", F.explode(grams)), pieces, words, word, count, "_g").select(key, "_text", word).dropDuplicates([key, word])
 
     @arrow_udf("boolean")
     def near(a: pa.Array, b: pa.Array) -> pa.Array:
