@@ -7,20 +7,28 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
+#: A node with more than this share of the edges (and over 1,000) is hot; so at most 2 / HOT_SHARE are.
+HOT_SHARE = 1 / 1000
+
 
 def _state(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)
 
 
-def _stars(edges: DataFrame, large: bool) -> DataFrame:
-    """Every node's neighbours (the larger ones, or for the small star the smaller ones and itself) are joined to its least neighbour."""
+def _stars(edges: DataFrame, large: bool, most: float) -> DataFrame:
+    """Every node's neighbours (the larger ones, or for the small star the smaller ones and itself) are joined to its least neighbour.
+
+    Nodes with over `most` edges are few, by that number, and broadcast; their edges are dealt out evenly past the join."""
     if large:
         pairs = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     else:
         pairs = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = pairs.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    joined = pairs.join(least, "u")
+    least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+    hot = F.broadcast(least.where(F.col("n") > most).select("u", F.col("m").alias("hot")))
+    cold = least.where(F.col("n") <= most).select(F.col("u").alias("dealt"), "m")
+    joined = pairs.join(hot, "u", "left").withColumn("dealt", F.when(F.col("hot").isNull(), F.col("u")).otherwise(F.xxhash64("v")))
+    joined = joined.join(cold, "dealt", "left").select("u", "v", F.coalesce("hot", "m").alias("m"))
     if large:
         out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -36,7 +44,8 @@ def components(edges: DataFrame, what: str) -> DataFrame:
     edges = materialise(edges.where("u != v").distinct(), what)
     before = _state(edges)
     while before[0]:
-        edges = materialise(_stars(_stars(edges, True), False), what)
+        most = max(1000, HOT_SHARE * before[0])
+        edges = materialise(_stars(_stars(edges, True, most), False, most), what)
         now = _state(edges)
         if now == before:
             break
