@@ -220,3 +220,15 @@ def cleaned(docs: DataFrame, width: int = WIDTH, *, key: str = "doc_id", text: s
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string, spans array<array<int>>" * with_text)
+
+
+def oracle(width: int = WIDTH) -> str:
+    return rf"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+x AS (SELECT doc_id, i, array_to_string(ws[i:i + {width - 1}], ' ') AS win FROM w, range(1, len(ws) - {width - 2}) t(i)),
+d AS (SELECT win FROM x GROUP BY win HAVING count(*) > 1),
+r AS (SELECT DISTINCT doc_id, i + k AS p FROM x JOIN d USING (win), range(0, {width}) u(k)),
+g AS (SELECT doc_id, list(p) AS ps FROM r GROUP BY doc_id)
+SELECT w.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+  sha256(array_to_string(CASE WHEN ps IS NULL THEN ws ELSE list_filter(ws, lambda x, j: NOT list_contains(ps, j)) END, ' ')) AS kept_sha256
+FROM w LEFT JOIN g ON w.doc_id = g.doc_id"""
