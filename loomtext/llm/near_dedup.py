@@ -231,3 +231,16 @@ def unique(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent:
     """The rows of `docs`, unchanged, without those that another document of their group stands for."""
     gone = groups(docs, key=key, text=text, percent=percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+
+
+def oracle() -> str:
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({low}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(ws[i:i + {SHINGLE - 1}], ' ') AS g FROM w, range(1, greatest(len(ws) - {SHINGLE - 1}, 1) + 1) t(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * k >= {PERCENT} * (a.n + b.n - k)),
+c AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT c.d, l.y FROM c JOIN l ON c.r = l.x),
+m AS (SELECT d, min(r) AS component_id FROM c GROUP BY d)
+SELECT w.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, component_id, w.doc_id = component_id AS kept FROM w JOIN m ON w.doc_id = m.d LEFT JOIN n ON w.doc_id = n.doc_id"""

@@ -64,4 +64,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": mix.oracle(), "op6_exact_dedup": exact_dedup.oracle(), "op7_substring_dedup": substring_dedup.oracle(), "op10_url_filter": url_filter.oracle()}
+    return {"op1_mix_sources": mix.oracle(), "op6_exact_dedup": exact_dedup.oracle(), "op7_substring_dedup": substring_dedup.oracle(), "op8_near_dedup": near_dedup.oracle(), "op10_url_filter": url_filter.oracle()}
