@@ -29,6 +29,8 @@ AROUND = frozenset(
 )
 #: Paths that a host's pages are tried with, most voted first.
 PATHS = 3
+#: Share of a page's text that may lie outside an elected container that is in no article or main element.
+LITTLE = 0.1
 #: A host with more than this share of all pages is hot; so at most 1 / HOT_SHARE hosts are.
 HOT_SHARE = 1 / 1000
 
@@ -69,8 +71,9 @@ def _step(tag: str, attrs: str) -> str:
     return tag
 
 
-def blocks(page: str | None) -> list[tuple[tuple[tuple[str, int], ...], str, int, bool]]:
-    """Text blocks in page order: the containers around each (path step and number in the page), text, length in links, heading or paragraph.
+def blocks(page: str | None) -> list[tuple[tuple[tuple[str, int], ...], str, int, int]]:
+    """Text blocks in page order: the containers around each (path step and number in the page), text, length in links, 1 for a paragraph and
+    2 for a heading, 3 for a heading of level 1.
 
     Skipped elements and what is around an article are left out; tags that never end, ends that never began and a page cut in the middle
     of a tag or reference are taken as far as they go."""
@@ -78,7 +81,7 @@ def blocks(page: str | None) -> list[tuple[tuple[tuple[str, int], ...], str, int
     stack: list[tuple[str, str, int, bool]] = []  # tag, step, number, around
     around, number, inside = 0, 0, 0
     pieces: list[str] = []
-    linked, link, proper = 0, False, False
+    linked, link, proper = 0, False, 0
 
     def end() -> None:
         nonlocal linked, proper
@@ -87,7 +90,7 @@ def blocks(page: str | None) -> list[tuple[tuple[tuple[str, int], ...], str, int
             if text and not around:
                 out.append((tuple((s, n) for _, s, n, _ in stack), text, linked, proper))
             pieces.clear()
-        linked, proper = 0, False
+        linked, proper = 0, 0
 
     for m in _TOKEN.finditer(page or ""):
         text = m[5]
@@ -107,7 +110,7 @@ def blocks(page: str | None) -> list[tuple[tuple[tuple[str, int], ...], str, int
             link = not m[2]
         elif tag in BLOCKS:
             end()
-            proper = not m[2] and (tag == "p" or (tag[0] == "h" and len(tag) == 2))
+            proper = 0 if m[2] else 1 if tag == "p" else 3 if tag == "h1" else 2 * (tag[0] == "h" and tag[1:].isdigit())
             if tag in CONTAINERS:
                 if not m[2]:
                     if not m[4].endswith("/"):
@@ -140,9 +143,41 @@ def votes(found: list) -> dict[str, float]:
     return out
 
 
+def climb(found: list, path: str) -> str:
+    """The container that holds the whole article of which `path` is the loudest part.
+
+    That is the outermost article or main element of the path. Where there is none, it is the nearest container around it outside which
+    LITTLE of the page's text lies, then the outermost one that adds a heading of level 1, if that has none, or, below body, that has
+    headings or paragraphs of its own; so no more than LITTLE is added by the second step."""
+    steps = path.split(">")
+    for k, step in enumerate(steps):
+        if step.split(".", 1)[0] in ("article", "main"):
+            return ">".join(steps[: k + 1])
+    text = [0] * (len(steps) + 1)  # by the number of steps that a block shares with the path
+    first = [False] * (len(steps) + 1)
+    own = [False] * (len(steps) + 1)
+    for around, t, linked, proper in found:
+        k = 0
+        while k < len(steps) and k < len(around) and around[k][0] == steps[k]:
+            k += 1
+        text[k] += max(0, len(t) - 2 * linked)
+        first[k] |= proper == 3
+        own[k] |= proper > 0 and len(around) == k
+    at, inner, total = len(steps), text[-1], sum(text)
+    while at > 1 and inner < (1 - LITTLE) * total:
+        at -= 1
+        inner += text[at]
+    titled, top = any(first[at:]), at
+    for k in range(at - 1, 0, -1):
+        if (first[k] and not titled) or (own[k] and steps[k - 1].split(".", 1)[0] not in ("html", "body")):
+            top = k
+    return ">".join(steps[:top])
+
+
 def best(found: list) -> tuple[str, float] | None:
+    """A page's vote: the path that climb() finds from the one with the highest score, and that score."""
     ranked = sorted(votes(found).items(), key=lambda kv: (-kv[1], kv[0]))
-    return ranked[0] if ranked and ranked[0][1] > 0 else None
+    return (climb(found, ranked[0][0]), ranked[0][1]) if ranked and ranked[0][1] > 0 else None
 
 
 def within(found: list, paths: list[str]) -> str:

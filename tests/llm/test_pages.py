@@ -66,3 +66,28 @@ def test_articles_of_the_table(spark):
         parts = [re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>?", "", p.replace("<br>", " ")))).strip() for p in re.split("</?(?:p|h1)>", article)]
         want[r.page_id] = "\n".join(p for p in parts if p)
     assert {r.page_id: r.text for r in H.extracted(table).collect()} == want
+
+
+def whole(page: str) -> list[str]:
+    """Blocks of a page that is alone on its host."""
+    found = H.blocks(page)
+    return H.within(found, [p[0]] if (p := H.best(found)) else []).split("\n")
+
+
+def test_nested_articles_are_whole():
+    """The title and parts of an article beside its loudest inner container are kept."""
+    long, short = "many words of a section " * 20, "few words of a part"
+    for inner in (
+        f"<h1>T</h1><p>intro</p><section><p>{long}</p></section><section><p>{long}</p></section>",
+        f"<h1>T</h1><div class=body><p>{long}</p></div>",
+        f"<h1>T</h1><p>{short}</p><ul><li>{long}</li><li>{long}</li></ul><p>{short}</p>",
+        f"<h1>T</h1><section class=a><p>{short}</p></section><section class=b><div class=c><p>{long}</p></div></section>",
+    ):
+        want = [x.strip() for x in inner.replace("</", "<").split("<") for x in [x.partition(">")[2]] if x.strip()]
+        for tag in ("article", "main", "div class=post"):
+            page = f"<body><nav>menu</nav><{tag}>{inner}</{tag.split()[0]}><footer>foot</footer></body>"
+            assert whole(page) == want, (tag, inner[:40])
+    outer = f"<main><h1>T</h1><article><p>{short}</p></article><article class=b><p>{long}</p></article></main>"
+    assert whole(f"<body>{outer}<div>x</div></body>") == ["T", short, long.strip()]
+    assert whole(f"<body><div class=post><h2>T</h2><div class=body><p>{long}</p></div></div><div class=more><p>more</p></div></body>") == ["T", long.strip()]
+    assert whole(f"<body><div class=head><h1>T</h1></div><div class=body><p>{long}</p></div></body>") == ["T", long.strip()]
