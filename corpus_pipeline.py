@@ -8,6 +8,9 @@ from loomtext.llm import exact_dedup, mix, near_dedup, packing, rules
 from loomtext.llm.common import materialise, table
 from loomtext.llm.queries import tokenizer_path
 
+#: Words of a shingle in the near-dedup stage; op8's contract has four.
+NEAR_WORDS = 5
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rules.passing(docs)
@@ -18,7 +21,7 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_dedup.unique(docs)
+    return near_dedup.unique(docs, width=NEAR_WORDS)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches, materialise, mix, text_chunks, word_hashes
 from .graph import components
 
+#: Words of a shingle by op8's contract; the pipeline's stage has its own width.
 SHINGLE = 4
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 80
@@ -28,7 +30,7 @@ CHUNK_BYTES = 1 << 21
 _K = BANDS * ROWS
 _SEED = mix(np.arange(1, 2 * _K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _XOR, _MUL = _SEED[:_K], _SEED[_K:] | np.uint64(1)
-_ODD = mix(np.arange(101, 101 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
+_ODD = mix(np.arange(101, 101 + 16, dtype=np.uint64)) | np.uint64(1)
 
 
 def shingle_sets(words: np.ndarray, rows: np.ndarray, width: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -42,7 +44,7 @@ def shingle_sets(words: np.ndarray, rows: np.ndarray, width: int = SHINGLE) -> t
     left = np.repeat(rows[1:], n) - at  # words from here to the end of the row
     hashes = np.zeros(total, np.uint64)
     for k in range(width):
-        hashes += np.where(left > k, padded[k : k + total] * _ODD[k % SHINGLE], np.uint64(k + 1))
+        hashes += np.where(left > k, padded[k : k + total] * _ODD[k % len(_ODD)], np.uint64(k + 1))
     hashes = mix(hashes)
     parts, sizes = [], np.zeros(len(n), np.int64)
     for r in range(len(n)):
@@ -82,10 +84,10 @@ def most_differing(percent: int = PERCENT, slack: float = SLACK) -> int:
     return int(expected + slack * spread)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sign(batches: Iterator[pa.RecordBatch], width: int = SHINGLE) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for first, last, data, offsets in text_chunks(b.column(1), CHUNK_BYTES):
-            sets, begins = shingle_sets(*word_hashes(data, offsets, lower=True))
+            sets, begins = shingle_sets(*word_hashes(data, offsets, lower=True), width)
             sizes = np.diff(begins)
             filled = iter(zip(*signatures(sets, begins), strict=True)) if len(sets) else iter(())
             digests, bands, sketches = [], [], []
@@ -151,7 +153,7 @@ def links_within(ids: list[int], sets: list[np.ndarray], sketches: np.ndarray, a
     return out
 
 
-def _confirm(percent: int):
+def _confirm(percent: int, width: int = SHINGLE):
     """Candidate groups, each in neighbouring rows, to confirmed links."""
 
     def solve(rows: list[tuple]) -> list[tuple[int, int]]:
@@ -159,7 +161,7 @@ def _confirm(percent: int):
         sets = []
         for r in rows:
             for _, _, data, offsets in text_chunks(pa.array([r[4]], pa.large_string())):
-                sets.append(shingle_sets(*word_hashes(data, offsets, lower=True))[0])
+                sets.append(shingle_sets(*word_hashes(data, offsets, lower=True), width)[0])
         sides = np.array([r[3] for r in rows]) if rows[0][1] != rows[0][2] and not rows[0][6] else None
         return links_within([r[5] for r in rows], sets, np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1), sides, percent)
 
@@ -189,8 +191,8 @@ def _confirm(percent: int):
     return run
 
 
-def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of `docs`.
+def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT, block: int = BLOCK, width: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each row of `docs`; shingles are of `width` words.
 
     Documents with equal shingle sets form one class, and the class stands for them from there on. Classes that share a band, directly or
     over others, form a candidate group: within one, every pair that size and odd sketch allow is confirmed on the full sets until it is
@@ -199,7 +201,7 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent:
     with a null doc_id are linked with nothing either and stay; rows that share a doc_id are one node. An empty table gives no rows."""
     bounded_batches(docs.sparkSession)
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
-    signed = materialise(rows.mapInArrow(_sign, "doc_id long, n_shingles long, digest binary, bands binary, sketch binary"), "signatures")
+    signed = materialise(rows.mapInArrow(partial(_sign, width=width), "doc_id long, n_shingles long, digest binary, bands binary, sketch binary"), "signatures")
     real = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = real.groupBy("digest").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("c"), F.count("*").alias("rows"))
     classes = materialise(classes.select("digest", F.col("c.doc_id").alias("node"), F.col("c.bands").alias("bands"), F.col("c.sketch").alias("sketch")), "classes")
@@ -219,7 +221,7 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent:
     texts = rows.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "node")
     sent = placed.join(texts, "node").select("component", "i", "j", "own", "text", "node", "within", "sketch")
     ready = sent.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    links = ready.mapInArrow(_confirm(percent), "u long, v long")
+    links = ready.mapInArrow(_confirm(percent, width), "u long, v long")
     linked = components(links, "links")
     reached = classes.select("digest", "node").join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
     full = signed.where("doc_id IS NOT NULL AND n_shingles > 0").join(reached, "digest").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
@@ -227,9 +229,9 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent:
     return full.union(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def unique(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
+def unique(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
     """The rows of `docs`, unchanged, without those that another document of their group stands for."""
-    gone = groups(docs, key=key, text=text, percent=percent).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = groups(docs, key=key, text=text, percent=percent, width=width).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
 
 

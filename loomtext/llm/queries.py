@@ -45,7 +45,7 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.groups(table(spark, sf_dir, "documents"))
+    return near_dedup.groups(table(spark, sf_dir, "documents"), width=near_dedup.SHINGLE)
 
 
 def op9_lm_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
