@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from .common import materialise
 from .url_filter import host_of
 
-#: Elements whose content is no text of the page; they end at their own end tag only.
-SKIPPED = "script style noscript template iframe object svg canvas select textarea button title audio video math datalist".split()
+#: Elements whose content is raw text and no text of the page; they end at their own end tag only, or with the page.
+RAW = "script style iframe textarea title".split()
+#: Elements whose content is no text of the page if they end in the container that they begin in; if not, only their tags are passed over.
+SKIPPED = frozenset("noscript template object svg canvas select button audio video math datalist".split())
 #: Elements that are never the article.
 OUTSIDE = frozenset("nav footer aside form dialog menu".split())
 #: Containers: elements that a path is made of.
@@ -36,11 +38,12 @@ HOT_SHARE = 1 / 1000
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<({'|'.join(SKIPPED)})\b[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)"
+    rf"|<({'|'.join(RAW)})(?=[\s/>])[^>]*(?<!/)>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
     r"|<[!?/][^>]*>|<(?=[a-zA-Z/!?])[^>]*\Z|([^<]+|<)",
     re.S | re.I,
 )
+_MAYBE = re.compile(rf"<(?:{'|'.join(sorted(SKIPPED))})[\s/>]", re.I)
 _ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _SPACE = re.compile(r"\s+")
 _SPLIT = re.compile(r"[^a-z]+")
@@ -71,11 +74,31 @@ def _step(tag: str, attrs: str) -> str:
     return tag
 
 
+def _spans(page: str) -> dict[int, int]:
+    """Where skipped elements begin and, for these, end: those with an end tag in the container that they begin in, or in one inside it."""
+    out: dict[int, int] = {}
+    stack: list[tuple[str, int]] = []
+    for m in _TOKEN.finditer(page):
+        if m[3] is None:
+            continue
+        tag = m[3].lower()
+        if tag in SKIPPED or tag in CONTAINERS:
+            if not m[2]:
+                if not m[4].endswith("/"):
+                    stack.append((tag, m.start()))
+            elif any(s[0] == tag for s in stack):
+                while (gone := stack.pop())[0] != tag:
+                    pass
+                if tag in SKIPPED:
+                    out[gone[1]] = m.end()
+    return out
+
+
 def blocks(page: str | None) -> list[tuple[tuple[tuple[str, int], ...], str, int, int]]:
     """Text blocks in page order: the containers around each (path step and number in the page), text, length in links, 1 for a paragraph and
     2 for a heading, 3 for a heading of level 1.
 
-    Skipped elements and what is around an article are left out; tags that never end, ends that never began and a page cut in the middle
+    Raw and skipped elements and what is around an article are left out; tags that never end, ends that never began and a page cut in the middle
     of a tag or reference are taken as far as they go."""
     out: list = []
     stack: list[tuple[str, str, int, bool]] = []  # tag, step, number, around
@@ -92,7 +115,16 @@ def blocks(page: str | None) -> list[tuple[tuple[tuple[str, int], ...], str, int
             pieces.clear()
         linked, proper = 0, 0
 
-    for m in _TOKEN.finditer(page or ""):
+    page = page or ""
+    spans = _spans(page) if _MAYBE.search(page) else {}
+    past = 0  # end of the skipped element
+    for m in _TOKEN.finditer(page):
+        if spans:
+            if m.start() < past:
+                continue
+            past = spans.get(m.start(), 0)
+            if past:
+                continue
         text = m[5]
         if text is not None:
             if not around:

@@ -91,3 +91,20 @@ def test_nested_articles_are_whole():
     assert whole(f"<body>{outer}<div>x</div></body>") == ["T", short, long.strip()]
     assert whole(f"<body><div class=post><h2>T</h2><div class=body><p>{long}</p></div></div><div class=more><p>more</p></div></body>") == ["T", long.strip()]
     assert whole(f"<body><div class=head><h1>T</h1></div><div class=body><p>{long}</p></div></body>") == ["T", long.strip()]
+
+
+def test_skipped_elements_do_not_cut_the_page():
+    """Names that begin like a skipped element's, and skipped elements without an end tag."""
+    long = "many words of an article " * 20
+    page = f"<body><article><h1>T</h1>%s<p>{long}</p><p>end</p></article></body>"
+    want = ["T", long.strip(), "end"]
+    for x in ("<svg-icon name=a></svg-icon>", "<video-js></video-js>", "<button-group></button-group>", "<title-bar></title-bar>", "<script-x></script-x>"):
+        assert whole(page % x) == want, x
+    for x in ("<svg><title>t</title><path d=''/></svg>", "<button>Share</button>", "<select><option>a<option>b</select>", "<noscript><div><p>no</p></div></noscript>", "<video src=x><p>no</p></video>"):
+        assert whole(page % x) == want, x
+    for x in ("button", "object", "select", "canvas", "video", "math"):
+        for at in (f"<div><{x}></div>", f"<{x}>"):
+            assert whole(page % at) == want, at
+    assert whole(page % "<div><button></div>" + "<button>x</button>")[:3] == want
+    assert whole(page.replace("many", "m<svg><text>x</text></svg>any", 1) % "") == want
+    assert whole("<body><p>a</p><script>var x = '<p>b</p>'") == ["a"]
