@@ -23,12 +23,15 @@ OUTSIDE = frozenset("nav footer aside form dialog menu".split())
 CONTAINERS = frozenset("html body main article section div table tbody tr td center fieldset details header nav footer aside form dialog menu ul ol dl blockquote".split())
 #: Elements whose begin and end end a block of text.
 BLOCKS = CONTAINERS | frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre address figure figcaption caption thead tfoot th hr summary hgroup legend optgroup option".split())
-#: Class or id words that mark what is around an article.
+#: Class or id names that mark what is around an article, also with a further part behind them or one of BEFORE in front.
 AROUND = frozenset(
     """ad ads adv advert adverts advertisement advertising banner banners breadcrumb breadcrumbs byline-share comment comments commentlist consent cookie cookies
     disclaimer disqus footer gdpr header hidden login masthead menu modal nav navbar navigation newsletter notice notices alert pager pagination popup promo promos promotion recommended
     related share sharing sidebar signup social sponsor sponsored subscribe subscription tags teaser toolbar widget widgets""".split()
 )
+BEFORE = frozenset("site page main top bottom global primary secondary left right".split())
+#: Of these, names that hold as a whole only, and names of what readers write.
+WHOLE, TALK = frozenset(["hidden"]), frozenset("comment comments commentlist disqus".split())
 #: Paths that a host's pages are tried with, most voted first.
 PATHS = 3
 #: Share of a page's text that may lie outside an elected container that is in no article or main element.
@@ -50,20 +53,47 @@ _SPLIT = re.compile(r"[^a-z]+")
 _ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "form"}
 
 
-def _around(tag: str, attrs: str, inside: bool) -> bool:
-    """Whether an element holds what is not the article; `inside`: it is in an article or main element."""
+def _named(attrs: str) -> str | None:
+    """The word of AROUND that a class or id has as its name or as the first part of it."""
+    for name, a, b, c in _ATTR.findall(attrs) if attrs else ():
+        if name.lower() != "role":
+            for value in (a or b or c).lower().split():
+                if value in AROUND:
+                    return value
+                parts = _SPLIT.split(value)
+                word = parts[1] if len(parts) > 1 and parts[0] in BEFORE else parts[0]
+                if word in AROUND and word not in WHOLE:
+                    return word
+    return None
+
+
+def _around(tag: str, attrs: str, inside: bool) -> str | None:
+    """What marks an element as not the article, by itself: 'tag' (or role), 'name' or 'talk'; `inside`: it is in an article or main element."""
     if tag in OUTSIDE or (tag == "header" and not inside):
-        return True
+        return "name" if tag == "form" else "tag"
     if not attrs or tag in ("html", "body", "article", "main"):
-        return False
-    for name, a, b, c in _ATTR.findall(attrs):
-        value = (a or b or c).lower()
-        if name.lower() == "role":
-            if value in _ROLES:
-                return True
-        elif any(w in AROUND for w in _SPLIT.split(value)):
-            return True
-    return False
+        return None
+    if any(name.lower() == "role" and (a or b or c).lower() in _ROLES for name, a, b, c in _ATTR.findall(attrs)):
+        return "tag"
+    word = _named(attrs)
+    if word is None or (word == "header" and inside):
+        return None
+    return "talk" if word in TALK else "name"
+
+
+class _Mark:
+    """A container that is marked as around an article, and what it holds: articles and main elements, headings of level 1, paragraph text."""
+
+    __slots__ = ("kind", "articles", "titles", "text")
+
+    def __init__(self, kind: str) -> None:
+        self.kind, self.articles, self.titles, self.text = kind, 0, 0, 0
+
+    def drops(self, page: _Mark) -> bool:
+        """Whether it is left out, given what the page holds."""
+        if self.articles or (self.titles and self.kind != "tag"):
+            return False
+        return 2 * self.text <= page.text or page.articles > 0 or (self.kind == "talk" and page.titles > self.titles)
 
 
 def _step(tag: str, attrs: str) -> str:
@@ -98,11 +128,16 @@ def blocks(page: str | None) -> list[tuple[tuple[tuple[str, int], ...], str, int
     """Text blocks in page order: the containers around each (path step and number in the page), text, length in links, 1 for a paragraph and
     2 for a heading, 3 for a heading of level 1.
 
-    Raw and skipped elements and what is around an article are left out; tags that never end, ends that never began and a page cut in the middle
+    Raw and skipped elements and what is around an article are left out. What is marked as such stays if it holds an article (that is not
+    marked itself) or main element, a heading of level 1 (but for elements and roles that are never the article), or, where the page has no
+    article or main element, most of its paragraph text (readers' comments do so only where no heading of level 1 is outside them). Tags that never end, ends that never began and a page cut in the middle
     of a tag or reference are taken as far as they go."""
     out: list = []
-    stack: list[tuple[str, str, int, bool]] = []  # tag, step, number, around
-    around, number, inside = 0, 0, 0
+    stack: list[tuple[str, str, int, bool]] = []  # tag, step, number, marked
+    marks: list[_Mark] = []  # of the marked containers that are open
+    around: list[tuple[_Mark, ...]] = []  # of each block
+    whole = _Mark("tag")
+    number, inside = 0, 0
     pieces: list[str] = []
     linked, link, proper = 0, False, 0
 
@@ -110,8 +145,12 @@ def blocks(page: str | None) -> list[tuple[tuple[tuple[str, int], ...], str, int
         nonlocal linked, proper
         if pieces:
             text = _SPACE.sub(" ", entities.unescape("".join(pieces))).strip()
-            if text and not around:
+            if text:
                 out.append((tuple((s, n) for _, s, n, _ in stack), text, linked, proper))
+                around.append(tuple(marks))
+                if proper == 1:
+                    for x in (whole, *marks):
+                        x.text += len(text)
             pieces.clear()
         linked, proper = 0, 0
 
@@ -127,10 +166,9 @@ def blocks(page: str | None) -> list[tuple[tuple[tuple[str, int], ...], str, int
                 continue
         text = m[5]
         if text is not None:
-            if not around:
-                pieces.append(text)
-                if link:
-                    linked += len(text)
+            pieces.append(text)
+            if link:
+                linked += len(text)
             continue
         tag = m[3]
         if tag is None:
@@ -143,23 +181,31 @@ def blocks(page: str | None) -> list[tuple[tuple[tuple[str, int], ...], str, int
         elif tag in BLOCKS:
             end()
             proper = 0 if m[2] else 1 if tag == "p" else 3 if tag == "h1" else 2 * (tag[0] == "h" and tag[1:].isdigit())
+            if proper == 3 and not any(x.kind == "tag" for x in marks):
+                for x in (whole, *marks):
+                    x.titles += 1
             if tag in CONTAINERS:
                 if not m[2]:
                     if not m[4].endswith("/"):
                         number += 1
-                        aside = _around(tag, m[4], inside > 0)
-                        stack.append((tag, _step(tag, m[4]), number, aside))
-                        around += aside
+                        kind = _around(tag, m[4], inside > 0)
+                        stack.append((tag, _step(tag, m[4]), number, kind is not None))
+                        if tag == "main" or (tag == "article" and not _named(m[4])):
+                            for x in (whole, *marks):
+                                x.articles += 1
+                        if kind:
+                            marks.append(_Mark(kind))
                         inside += tag in ("article", "main")
                 elif any(s[0] == tag for s in stack):
                     while True:
                         gone = stack.pop()
-                        around -= gone[3]
+                        if gone[3]:
+                            marks.pop()
                         inside -= gone[0] in ("article", "main")
                         if gone[0] == tag:
                             break
     end()
-    return out
+    return [b for b, held in zip(out, around, strict=True) if not any(x.drops(whole) for x in held)]
 
 
 def votes(found: list) -> dict[str, float]:

@@ -108,3 +108,24 @@ def test_skipped_elements_do_not_cut_the_page():
     assert whole(page % "<div><button></div>" + "<button>x</button>")[:3] == want
     assert whole(page.replace("many", "m<svg><text>x</text></svg>any", 1) % "") == want
     assert whole("<body><p>a</p><script>var x = '<p>b</p>'") == ["a"]
+
+
+def test_layout_names_do_not_drop_the_article():
+    """Words of a wrapper's class or id that name boilerplate in passing, and wrappers that hold the article."""
+    long = "many words of an article " * 20
+    inner = f"<h1>T</h1><p>{long}</p>"
+    want = ["T", long.strip()]
+    for wrapper in ('div class="content with-sidebar"', 'div id="page" class="no-sidebar"', 'div class="layout fixed-header"', 'div class="header-fixed"', "div class=sidebar", "form id=all", "section id=social"):
+        for held in (f"<article>{inner}</article>", inner):
+            page = f"<body><nav><p>menu</p></nav><{wrapper}>{held}<div class='ad'>Buy</div></{wrapper.split()[0]}><footer>foot</footer></body>"
+            assert whole(page) == want, (wrapper, held[:9])
+        assert whole(f"<body><{wrapper}><p>{long}</p></{wrapper.split()[0]}><div class=comments><p>short</p></div></body>") == want[1:], wrapper
+    assert whole(f"<article><header class='entry-header'><h1>T</h1></header><p>{long}</p></article>") == want
+    assert whole(f"<article><header class='header'><h2>T</h2></header><p>{long}</p></article>") == want
+    # What is around an article still goes.
+    assert whole(f"<body><div class=site-header><p>other text</p></div>{inner}</body>") == want
+    for x in ("div class=cookie-notice", "aside", "div class='box sidebar'", "div class=main-sidebar", "div id=comments-area", "div class='related-posts x'"):
+        assert whole(f"<body><main>{inner}<{x}><p>other text</p></{x.split()[0]}></main></body>") == want, x
+    talk = f"<div class=comments><article class=comment-body><p>{long}{long}</p></article></div>"
+    assert whole(f"<body><div class=post>{inner}</div>{talk}</body>") == want
+    assert whole(f"<body><article>{inner}</article><aside><p>{long}{long}</p></aside></body>") == want
