@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -57,9 +58,11 @@ def lower_ascii(col):
 
 # --- vectorised hashing over Arrow string buffers -------------------------------------------------------------------
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_INV = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _TABLES: dict[str, np.ndarray] = {}
+_KEY, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95)
+#: Pieces of more bytes than this go one by one to a keyed hash of the library.
+LONG = 1024
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -88,19 +91,55 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of a polynomial hash modulo 2**64; piece() turns two of them into the hash of what lies between."""
-    out = np.empty(len(data) + 1, np.uint64)
-    out[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers("p", _BASE, len(data)), out=out[1:])
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as a number, zeros past the end."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", buffer=padded.data, strides=(1,))
+
+
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the pieces of `data` from starts to ends.
+
+    Eight bytes after the other go through a mixing step that is no polynomial, so no input has known partners; who needs to be certain
+    compares what shares a hash (same(), distinct())."""
+    size = ends - starts
+    eights = _eights(data)
+    out = mix(eights[starts] & _MASKS[np.minimum(size, 8)] ^ (size.astype(np.uint64) + np.uint64(1)) * _KEY)
+    rest = np.flatnonzero((size > 8) & (size <= LONG))
+    at = 8
+    while len(rest):
+        out[rest] = mix((out[rest] ^ (eights[starts[rest] + at] & _MASKS[np.minimum(size[rest] - at, 8)])) * _STEP + _KEY)
+        at += 8
+        rest = rest[size[rest] > at]
+    for k in np.flatnonzero(size > LONG).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8, key=b"piece").digest(), "little")
     return out
 
 
-def piece(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    n = np.uint64(len(prefix))
-    inverse = _powers("i", _INV, len(prefix))
-    assert n
-    return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64))
+def same(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, others: np.ndarray) -> np.ndarray:
+    """Whether piece k has the same bytes as piece others[k]."""
+    size = ends - starts
+    eights, there = _eights(data), starts[others]
+    out = size == size[others]
+    at, rest = 0, np.flatnonzero(out & (others != np.arange(len(others))))
+    while len(rest):
+        mask = _MASKS[np.minimum(size[rest] - at, 8)]
+        like = (eights[starts[rest] + at] & mask) == (eights[there[rest] + at] & mask)
+        out[rest[~like]] = False
+        at += 8
+        rest = rest[like & (size[rest] > at)]
+    return out
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of each kind of pieces, and the kind of each piece: by hash, then every piece compared with the first of its kind."""
+    _, first, kind = np.unique(hashes(data, starts, ends), return_index=True, return_inverse=True)
+    if len(starts) and not same(data, starts, ends, first[kind]).all():
+        raw, known = data.tobytes(), {}
+        kind = np.array([known.setdefault(raw[a:z], len(known)) for a, z in zip(starts.tolist(), ends.tolist(), strict=True)])
+        first = np.unique(kind, return_index=True)[1]
+    return first, kind
 
 
 def text_chunks(texts: pa.Array, most: int = 1 << 22) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -147,7 +186,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, lower: bool = False) -> t
     if lower:
         data = LOWER[data]
     s, e, rows = word_spans(data, offsets)
-    return piece(prefix_hash(data), s, e), rows
+    return hashes(data, s, e), rows
 
 
 def planes(x: np.ndarray) -> bytes:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import json
 import os
 import re
 import zlib
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import LOWER, bounded_batches, piece, prefix_hash, text_chunks, word_spans
+from .common import LOWER, bounded_batches, distinct, text_chunks, word_spans
 
 LENGTH = 2048
 END_ID = 1
@@ -25,6 +26,8 @@ GROUP_TOKENS = 2_000_000
 #: Distinct words whose ids a worker remembers before it starts anew.
 MEMO = 500_000
 CHUNK_BYTES = 1 << 21
+#: Fixed value: how the vocabulary that WordTokenizer is made for cuts a text.
+_WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Letters alone, which are one word to the vocabulary.
 _LETTERS = re.compile("[A-Za-z\u00DF-\u00F6\u00F8-\u00FF]+").fullmatch
 _POINT = np.zeros(256, bool)
@@ -43,17 +46,34 @@ class WordTokenizer:
 
     The vocabulary of this kind drops white space and never merges over it, so a text's ids are its words' ids in a row: no combining
     mark composes with a blank. Points after an ASCII letter or digit are a word of their own to it, and it is lower case, so A-Z are
-    lowered first where no special token or combining mark is near. What is known is kept by 64-bit hashes of the words' bytes."""
+    lowered first where no special token or combining mark is near. What is known is kept by the words' bytes.
+
+    A tokenizer whose parts are not those that this rests on is asked for the ids of whole texts."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.by_word = self._splits_words()
         self._forget()
 
+    def _splits_words(self) -> bool:
+        """Whether a text's ids are those of its words, points apart, A-Z lowered."""
+        parts = json.loads(self.tokenizer.to_str())
+        norm = (parts["normalizer"] or {}).get("normalizers", [])
+        cut = (parts["pre_tokenizer"] or {}).get("pretokenizers", [])
+        return (
+            [n["type"] for n in norm] == ["NFC", "Replace", "Lowercase"]
+            and (norm[1]["pattern"], norm[1]["content"]) == ({"Regex": "\\s+"}, " ")
+            and [c["type"] for c in cut] == ["Split", "ByteLevel"]
+            and (cut[0]["pattern"], cut[0]["behavior"], cut[0]["invert"]) == ({"Regex": _WORDS}, "Removed", True)
+            and not (cut[1]["add_prefix_space"] or cut[1]["use_regex"] or parts["truncation"] or parts["padding"])
+            and all(a["content"].startswith("<|") and not (a["single_word"] or a["lstrip"] or a["rstrip"] or a["normalized"]) for a in parts["added_tokens"])
+        )
+
     def _forget(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.slot: dict[bytes, int] = {}
         self.ids = np.zeros(1 << 16, "<u4")
         self.begin, self.size = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.used = 0
@@ -61,6 +81,10 @@ class WordTokenizer:
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all rows of a chunk, one row after the other, and where each row's begin."""
         raw = data.tobytes()
+        if not self.by_word:
+            texts = [raw[a:z].decode() for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            each = [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            return np.concatenate([np.zeros(0, "<u4"), *each]), np.append(0, np.cumsum([len(e) for e in each], dtype=np.int64))
         if b"<|" not in raw and b"\xcc" not in raw and b"\xcd" not in raw:
             data = LOWER[data]
         starts, ends, rows = word_spans(data, offsets)
@@ -80,22 +104,21 @@ class WordTokenizer:
         a, z = np.empty(total, np.int64), np.empty(total, np.int64)
         a[place], z[place] = starts, core
         a[place[tails] + 1], z[place[tails] + 1] = core[tails], ends[tails]
-        hashes, first, back = np.unique(piece(prefix_hash(data), a, z), return_index=True, return_inverse=True)
-        slots = self._slots(hashes.tolist(), first, data, a, z)[back]
+        first, kind = distinct(data, a, z)
+        whole = data.tobytes()
+        slots = self._slots([whole[x:y] for x, y in zip(a[first].tolist(), z[first].tolist(), strict=True)])[kind]
         sizes = self.size[slots]
         out = np.append(0, np.cumsum(sizes))
         ids = self.ids[np.repeat(self.begin[slots] - out[:-1], sizes) + np.arange(out[-1])]
         return ids, out[np.append(place, total)[rows]]
 
-    def _slots(self, keys: list[int], first: np.ndarray, data: np.ndarray, a: np.ndarray, z: np.ndarray) -> np.ndarray:
+    def _slots(self, keys: list[bytes]) -> np.ndarray:
         if self.used + len(keys) > MEMO:
             self._forget()
         known = list(map(self.slot.get, keys))
         if None in known:
             new = [k for k, s in enumerate(known) if s is None]
-            whole = data.tobytes()
-            at = first[new]
-            words = [whole[x:y].decode() for x, y in zip(a[at].tolist(), z[at].tolist(), strict=True)]
+            words = [keys[k].decode() for k in new]
             plain = [k for k, w in enumerate(words) if _LETTERS(w)]
             rest = [k for k, w in enumerate(words) if not _LETTERS(w)]
             for k in range(0, len(plain), 4096):
@@ -114,7 +137,7 @@ class WordTokenizer:
             known = list(map(self.slot.get, keys))
         return np.array(known)
 
-    def _keep(self, keys: list[int], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _keep(self, keys: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> None:
         n, filled = self.used, int(self.begin[self.used - 1] + self.size[self.used - 1]) if self.used else 0
         while filled + len(ids) > len(self.ids):
             self.ids = np.append(self.ids, np.zeros_like(self.ids))

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, piece, prefix_hash, text_chunks, word_hashes
+from .common import hashes, mix, text_chunks, word_hashes
 from .rules import COMMON
 
 #: Labelled rows that the model is fitted on at most: the bound of what comes to the driver.
@@ -33,7 +33,7 @@ _START[0xC0:] = True
 def _word_hash(words: list[str]) -> np.ndarray:
     data = np.frombuffer("".join(words).encode(), np.uint8)
     ends = np.cumsum([len(w.encode()) for w in words])
-    return np.sort(piece(prefix_hash(data), np.append(0, ends[:-1]), ends))
+    return np.sort(hashes(data, np.append(0, ends[:-1]), ends))
 
 
 _COMMON = _word_hash(sorted({w for ws in COMMON.values() for w in ws}))
@@ -73,7 +73,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     own = owner[starts] if len(starts) else np.zeros(0, np.int64)
     full = ends > starts
     lines = np.bincount(own[full], minlength=rows)
-    single, _ = _per_row(piece(prefix_hash(data), starts[full], ends[full]), own[full], rows)
+    single, _ = _per_row(hashes(data, starts[full], ends[full]), own[full], rows)
     w, c, li = np.maximum(n, 1), np.maximum(chars, 1), np.maximum(lines, 1)
     solid = kinds[:, 1] + kinds[:, 2] + wide
     return np.stack([
@@ -184,17 +184,24 @@ def fit(x: np.ndarray, y: np.ndarray, *, bins: int = 32, rounds: int = 150, pair
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for first, last, data, offsets in text_chunks(b.column(1), CHUNK_BYTES):
+        for first, last, data, offsets in text_chunks(b.column(2), CHUNK_BYTES):
             x = features(data, offsets)
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), pa.array(list(x), pa.list_(pa.float64()))], names=["y", "x"])
+            yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), b.column(1).slice(first, last - first), pa.array(list(x), pa.list_(pa.float64()))], names=["_key", "y", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS) -> Gam:
-    """Fit on at most `rows` labelled documents outside the held-out fold, those of the smallest hashes of their keys."""
+    """Fit on at most `rows` labelled documents outside the held-out fold, those of the smallest hashes of their keys.
+
+    One row a key (of repeated keys the one with the smallest hash of its text), and the limit comes after the join, so `rows` is the
+    bound of what reaches the driver, whatever is repeated, and labels without a document use up nothing of it. Texts stay out of the
+    join's top-k: keys are chosen first."""
     named = labels.select(labels[key].alias("_key"), labels[label].alias("_y")).where(f"_y IS NOT NULL AND pmod(crc32(CAST(CAST(_key AS STRING) AS BINARY)), {FOLDS}) != {HELD}")
-    named = named.groupBy("_key").agg(F.max("_y").alias("_y")).orderBy(F.xxhash64("_key"), "_key").limit(rows)
-    known = docs.select(docs[key].alias("_key"), docs[text].alias("_text")).join(F.broadcast(named), "_key")  # at most `rows` narrow rows
-    got = known.select(F.col("_y").cast("double"), "_text").mapInArrow(_featured, "y double, x array<double>").toArrow()
+    named = named.groupBy("_key").agg(F.max("_y").alias("_y"))
+    there = docs.select(docs[key].alias("_key"), F.xxhash64(docs[text]).alias("_sum"))
+    chosen = there.join(named, "_key").groupBy("_key", "_y").agg(F.min("_sum").alias("_sum")).orderBy(F.xxhash64("_key"), "_key").limit(rows)
+    known = docs.select(docs[key].alias("_key"), docs[text].alias("_text")).withColumn("_sum", F.xxhash64("_text")).join(F.broadcast(chosen), ["_key", "_sum"])  # at most `rows` narrow rows
+    featured = known.select("_key", F.col("_y").cast("double"), "_text").mapInArrow(_featured, f"_key {known.schema['_key'].dataType.simpleString()}, y double, x array<double>")
+    got = featured.groupBy("_key").agg(F.first("y").alias("y"), F.first("x").alias("x")).toArrow()
     x = np.array(got.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES))
     y = np.asarray(got.column("y"), np.float64)
     order = np.lexsort((*x.T, y))  # the sums do not depend on the order in which rows arrive
