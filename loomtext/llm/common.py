@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -51,6 +51,35 @@ def materialise(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def grouped(batches: Iterable[pa.RecordBatch], keys: int, at_once: int = 512) -> Iterator[list[tuple]]:
+    """Lists of neighbouring rows that share the values of the first `keys` columns."""
+    held: list[tuple] = []
+    for b in batches:
+        for at in range(0, b.num_rows, at_once):
+            for row in zip(*(c.to_pylist() for c in b.slice(at, at_once).columns), strict=True):
+                if held and held[0][:keys] != row[:keys]:
+                    yield held
+                    held = []
+                held.append(row)
+    if held:
+        yield held
+
+
+def spread_join(many: DataFrame, few: DataFrame, key: str, rows: str, salt, share: float = 1 / 1000) -> DataFrame:
+    """Left join of `many` with `few` (one row a key; its column `rows` says how many of `many` have the key), whose columns come as struct `own`.
+
+    Keys with over `share` of all rows are few, 1 / share at most, and broadcast; their rows are dealt out by `salt` past the join of the
+    others, so no task gets a hot key whole. A null key joins nothing."""
+    kind = few.schema[key].dataType
+    most = share * (few.agg(F.sum(rows)).first()[0] or 0)
+    known = few.select(key, F.col(rows).alias("_rows"), F.struct(*[c for c in few.columns if c != key]).alias("own"))
+    hot = F.broadcast(known.where(F.col("_rows") > most).select(key, F.col("own").alias("_hot")))
+    cold = known.where(F.col("_rows") <= most).select(F.col(key).alias("_dealt"), "own")
+    dealt = F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(salt).cast("string").cast(kind))
+    joined = many.join(hot, key, "left").withColumn("_dealt", dealt).join(cold, "_dealt", "left")
+    return joined.withColumn("own", F.coalesce("_hot", "own")).drop("_hot", "_dealt")
+
+
 def lower_ascii(col):
     """A-Z to a-z and nothing else, unlike lower()."""
     return F.translate(col, _UP, _LOW)

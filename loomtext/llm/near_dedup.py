@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, materialise, mix, text_chunks, word_hashes
+from .common import LOWER, bounded_batches, distinct, grouped, materialise, mix, spread_join, text_chunks, word_hashes, word_spans
 from .graph import components
 
 #: Words of a shingle by op8's contract; the pipeline's stage has its own width.
@@ -20,16 +21,17 @@ SHINGLE = 4
 PERCENT = 80
 #: A pair of similarity 0.8 shares none of 30 bands of 4 samples once in 7 million times.
 BANDS, ROWS = 30, 4
-SKETCH_BITS = 1024
+#: Samples that are folded into a sketch, those of the bands among them, and its bits.
+SAMPLES, SKETCH_BITS = 256, 2048
 #: Standard errors below the bound at which a sketch still lets a pair through to the confirmation.
 SLACK = 5.0
-#: Texts of one candidate group that a task holds at once, times two.
-BLOCK = 1024
+#: Sketches of one band, and texts of one candidate group, that a task holds at once, times two.
+BUCKET, BLOCK = 512, 256
 CHUNK_BYTES = 1 << 21
 
 _K = BANDS * ROWS
-_SEED = mix(np.arange(1, 2 * _K + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_XOR, _MUL = _SEED[:_K], _SEED[_K:] | np.uint64(1)
+_SEED = mix(np.arange(1, 2 * SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_XOR, _MUL = (_SEED[:SAMPLES] >> np.uint64(32)).astype(np.uint32), (_SEED[SAMPLES:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _ODD = mix(np.arange(101, 101 + 16, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -55,32 +57,53 @@ def shingle_sets(words: np.ndarray, rows: np.ndarray, width: int = SHINGLE) -> t
     return (np.concatenate(parts) if parts else np.zeros(0, np.uint64)), np.append(0, np.cumsum(sizes))
 
 
-def signatures(sets: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each non-empty set in turn: a 128-bit digest, the band keys, and the odd sketch of its MinHash samples."""
+def exact_sets(data: np.ndarray, offsets: np.ndarray, width: int = SHINGLE) -> list[np.ndarray]:
+    """Each row's shingles as sorted distinct numbers that are equal if and only if the shingles' words are, within one call."""
+    data = LOWER[data]
+    starts, ends, rows = word_spans(data, offsets)
+    first, kind = distinct(data, starts, ends)
+    n, kinds = np.diff(rows), len(first) + 1
+    at = np.arange(len(kind))
+    left = np.repeat(rows[1:], n) - at
+    use = (left >= width) | (at == np.repeat(rows[:-1], n))
+    at, left = at[use], left[use]
+    padded = np.concatenate([kind + 1, np.zeros(width, np.int64)])
+    code, below = padded[at], kinds
+    for k in range(1, width):
+        if below * kinds >= 1 << 62:
+            some, code = np.unique(code, return_inverse=True)
+            below = len(some)
+        code, below = code * kinds + np.where(left > k, padded[at + k], 0), below * kinds
+    cuts = np.append(0, np.cumsum(np.maximum(n - width + 1, (n > 0).astype(np.int64))))
+    return [np.unique(code[a:z]) for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
+
+
+def signatures(sets: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each non-empty set in turn: the band keys, and the odd sketch of its MinHash samples."""
     at = begins[:-1][np.diff(begins) > 0]
-    digest = np.stack([np.add.reduceat(mix(sets), at), np.add.reduceat(mix(sets ^ np.uint64(0x5851F42D4C957F2D)), at)], 1)
     bands = np.zeros((len(at), BANDS), np.uint64)
     flips = np.zeros((len(at), SKETCH_BITS), np.uint8)
-    every = np.arange(len(at))
-    for k in range(_K):
-        least = np.minimum.reduceat((sets ^ _XOR[k]) * _MUL[k], at)
-        bands[:, k // ROWS] += least * _MUL[(k * 7 + 3) % _K]
-        flips[every, (mix(least ^ _XOR[(k + 1) % _K]) % np.uint64(SKETCH_BITS)).astype(np.int64)] ^= 1
+    every, narrow = np.arange(len(at)), (sets >> np.uint64(32)).astype(np.uint32)
+    for k in range(SAMPLES):
+        least = np.minimum.reduceat((narrow ^ _XOR[k]) * _MUL[k], at).astype(np.uint64)
+        if k < _K:
+            bands[:, k // ROWS] += least * _SEED[(k * 7 + 3) % SAMPLES]
+        flips[every, (mix(least ^ _SEED[k]) % np.uint64(SKETCH_BITS)).astype(np.int64)] ^= 1
     bands = mix(bands + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return digest, bands, np.packbits(flips, axis=1)
+    return bands, np.packbits(flips, axis=1)
 
 
 def estimate(differing: np.ndarray) -> np.ndarray:
     """Similarity from the bits in which two odd sketches differ: the share of equal samples is 1 + bits / (4 k) * ln(1 - 2 d / bits)."""
-    return 1 + SKETCH_BITS / (4 * _K) * np.log(np.maximum(1e-9, 1 - 2 * differing / SKETCH_BITS))
+    return 1 + SKETCH_BITS / (4 * SAMPLES) * np.log(np.maximum(1e-9, 1 - 2 * differing / SKETCH_BITS))
 
 
 def most_differing(percent: int = PERCENT, slack: float = SLACK) -> int:
     """Sketch bits in which a pair at the bound may differ, with `slack` standard errors of samples and folding on top."""
     j = percent / 100
-    unlike = 2 * _K * (1 - j)
+    unlike = 2 * SAMPLES * (1 - j)
     expected = SKETCH_BITS / 2 * (1 - math.exp(-2 * unlike / SKETCH_BITS))
-    spread = math.sqrt(4 * _K * j * (1 - j) + expected)
+    spread = math.sqrt(4 * SAMPLES * j * (1 - j) + expected)
     return int(expected + slack * spread)
 
 
@@ -90,13 +113,15 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int = SHINGLE) -> Iterator[p
             sets, begins = shingle_sets(*word_hashes(data, offsets, lower=True), width)
             sizes = np.diff(begins)
             filled = iter(zip(*signatures(sets, begins), strict=True)) if len(sets) else iter(())
+            raw = LOWER[data].tobytes()
             digests, bands, sketches = [], [], []
-            for n in sizes:
-                d, k, s = next(filled) if n else (None, None, None)
-                digests.append(None if d is None else d.tobytes())
+            for n, a, z in zip(sizes.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                k, s = next(filled) if n else (None, None)
+                digests.append(hashlib.sha256(b" ".join(raw[a:z].split())).digest() if n else None)
                 bands.append(None if k is None else k.tobytes())
                 sketches.append(None if s is None else s.tobytes())
-            yield pa.RecordBatch.from_arrays([b.column(0).slice(first, last - first), pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, bands, sketches))], names=["doc_id", "n_shingles", "digest", "bands", "sketch"])
+            own = [b.column(k).slice(first, last - first) for k in (0, 2)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, bands, sketches))], names=["doc_id", "pick", "n_shingles", "digest", "bands", "sketch"])
 
 
 def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,132 +132,221 @@ def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.asarray(b.column(0), np.int64), BANDS))], names=["band", "node"])
 
 
-def links_within(ids: list[int], sets: list[np.ndarray], sketches: np.ndarray, across: np.ndarray | None, percent: int = PERCENT) -> list[tuple[int, int]]:
-    """A spanning forest of the links among some sets, by exact comparison; `across`: only pairs of different sides are compared.
-
-    Pairs whose sizes or sketches rule a link out are passed over, and so are pairs that are connected already. The likeliest come first."""
-    m = len(ids)
-    sizes = np.array([len(s) for s in sets])
-    words = sketches.view(np.uint64)
-    limit = most_differing(percent)
+def near_pairs(sizes: np.ndarray, sketches: list[bytes], root: np.ndarray, percent: int, sides: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs whose sizes and sketches do not rule a link out, the likeliest first; of different roots only, and of different `sides` if given."""
+    limit, words = most_differing(percent), np.frombuffer(b"".join(sketches), np.uint64).reshape(len(sketches), -1)
     firsts, seconds, bits = [], [], []
-    for x in range(m - 1):
-        differ = np.bitwise_count(words[x + 1 :] ^ words[x]).sum(1, dtype=np.int64)
-        ok = (differ <= limit) & (100 * np.minimum(sizes[x + 1 :], sizes[x]) >= percent * np.maximum(sizes[x + 1 :], sizes[x]))
-        if across is not None:
-            ok &= across[x + 1 :] != across[x]
-        y = np.flatnonzero(ok)
+    for x in range(len(sizes) - 1):
+        ok = (100 * np.minimum(sizes[x + 1 :], sizes[x]) >= percent * np.maximum(sizes[x + 1 :], sizes[x])) & (root[x + 1 :] != root[x])
+        if sides is not None:
+            ok &= sides[x + 1 :] != sides[x]
+        y = np.flatnonzero(ok) + x + 1
+        differ = np.bitwise_count(words[y] ^ words[x]).sum(1, dtype=np.int64)
+        y, differ = y[differ <= limit], differ[differ <= limit]
         if len(y):
             firsts.append(np.full(len(y), x, np.int32))
-            seconds.append((y + x + 1).astype(np.int32))
-            bits.append(differ[y].astype(np.int16))
+            seconds.append(y.astype(np.int32))
+            bits.append(differ.astype(np.int16))
     if not firsts:
-        return []
-    first, second, bit = np.concatenate(firsts), np.concatenate(seconds), np.concatenate(bits)
-    order = np.argsort(bit, kind="stable")
-    first, second = first[order], second[order]
-    root = np.arange(m)
-    out = []
+        return np.zeros(0, np.int32), np.zeros(0, np.int32)
+    order = np.argsort(np.concatenate(bits), kind="stable")
+    return np.concatenate(firsts)[order], np.concatenate(seconds)[order]
+
+
+def spanning(first: np.ndarray, second: np.ndarray, root: np.ndarray, linked: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the pairs (those that are `linked`, if given), in their order; pairs that are connected already are passed over."""
+    root, out = root.copy(), []
     at, step = 0, 256
     while at < len(first):
         a, b = first[at : at + step], second[at : at + step]
         apart = root[a] != root[b]
         for x, y in zip(a[apart].tolist(), b[apart].tolist(), strict=True):
-            if root[x] == root[y]:
-                continue
-            p, q = (sets[x], sets[y]) if len(sets[x]) <= len(sets[y]) else (sets[y], sets[x])
-            spot = np.searchsorted(q, p)
-            spot[spot == len(q)] = 0
-            both = int((q[spot] == p).sum())
-            if 100 * both >= percent * (len(p) + len(q) - both):
-                out.append((ids[x], ids[y]))
+            if root[x] != root[y] and (linked is None or linked(x, y)):
+                out.append((x, y))
                 root[root == root[y]] = root[x]
         at += step
-        if at < len(first) and step < 1 << 16:
-            step *= 2
+        step = min(2 * step, 1 << 16)
     return out
 
 
-def _confirm(percent: int, width: int = SHINGLE):
-    """Candidate groups, each in neighbouring rows, to confirmed links."""
+def _pairs(found: list[tuple[int, ...]], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=names)
 
-    def solve(rows: list[tuple]) -> list[tuple[int, int]]:
-        # A text that is longer than the rest goes alone through the shingling; sets are held, texts are not.
-        sets = []
-        for r in rows:
-            for _, _, data, offsets in text_chunks(pa.array([r[4]], pa.large_string())):
-                sets.append(shingle_sets(*word_hashes(data, offsets, lower=True), width)[0])
-        sides = np.array([r[3] for r in rows]) if rows[0][1] != rows[0][2] and not rows[0][6] else None
-        return links_within([r[5] for r in rows], sets, np.frombuffer(b"".join(r[7] for r in rows), np.uint8).reshape(len(rows), -1), sides, percent)
+
+def _likely(percent: int):
+    """Bands, dealt as pairs of blocks, to a spanning forest of the pairs that the sketches let through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
         found: list[tuple[int, int]] = []
-
-        def end() -> None:
-            if len(held) > 1:
-                found.extend(solve(held))
-            held.clear()
-
-        for b in batches:
-            for at in range(0, b.num_rows, 512):
-                part = b.slice(at, 512)
-                for row in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                    if held and held[0][:3] != row[:3]:
-                        end()
-                    held.append(row)
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["u", "v"])
+        for rows in grouped(batches, 3):
+            rows.sort(key=lambda r: r[5])
+            root = np.arange(len(rows))
+            sides = np.array([r[4] for r in rows]) if rows[0][1] != rows[0][2] and not rows[0][3] else None
+            pairs = near_pairs(np.array([r[6] for r in rows]), [r[7] for r in rows], root, percent, sides)
+            found += [(rows[x][5], rows[y][5]) for x, y in spanning(*pairs, root)]
+            if len(found) > 10_000:
+                yield _pairs(found, ["u", "v"])
                 found = []
-        end()
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=["u", "v"])
+            yield _pairs(found, ["u", "v"])
 
     return run
 
 
-def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT, block: int = BLOCK, width: int = SHINGLE) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row for each row of `docs`; shingles are of `width` words.
+def _doubtful(percent: int):
+    """Bands, dealt as pairs of blocks, to where each node has a partner that the sketches let through but that is not known to be connected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple[int, int, int, int]] = set()
+        for rows in grouped(batches, 3):
+            rows.sort(key=lambda r: r[5])
+            sides = np.array([r[4] for r in rows]) if rows[0][1] != rows[0][2] and not rows[0][3] else None
+            label, spot = np.array([r[9] for r in rows]), np.array([r[10] for r in rows])
+            first, second = near_pairs(np.array([r[6] for r in rows]), [r[7] for r in rows], label, percent, sides)
+            i, j = np.minimum(spot[first], spot[second]), np.maximum(spot[first], spot[second])
+            for end in (first, second):
+                for x, a, z in np.unique(np.stack([end, i, j], 1), axis=0).tolist():
+                    found.add((rows[x][8], a, z, rows[x][5]))
+            if len(found) > 10_000:
+                yield _pairs(list(found), ["component", "i", "j", "node"])
+                found = set()
+        if found:
+            yield _pairs(list(found), ["component", "i", "j", "node"])
+
+    return run
+
+
+def _confirm(percent: int, width: int = SHINGLE):
+    """Candidate groups, each in neighbouring rows, to a spanning forest of their links by exact comparison of the shingle sets."""
+
+    def solve(held: list[list[tuple]]) -> Iterator[tuple[int, int]]:
+        texts = pa.array([r[6] for rows in held for r in rows], pa.large_string())
+        sets = [s for _, _, data, offsets in text_chunks(texts, 1 << 62) for s in exact_sets(data, offsets, width)]
+        at = 0
+        for rows in held:
+            own = sets[at : at + len(rows)]
+            at += len(rows)
+
+            def linked(x: int, y: int, own: list = own) -> bool:
+                p, q = (own[x], own[y]) if len(own[x]) <= len(own[y]) else (own[y], own[x])
+                spot = np.searchsorted(q, p)
+                spot[spot == len(q)] = 0
+                both = int((q[spot] == p).sum())
+                return 100 * both >= percent * (len(p) + len(q) - both)
+
+            label = np.array([r[5] for r in rows])
+            pairs = near_pairs(np.array([len(s) for s in own]), [r[4] for r in rows], label, percent)
+            for x, y in spanning(*pairs, label, linked):
+                yield rows[x][3], rows[y][3]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[tuple]] = []
+        size = 0
+        for rows in grouped(batches, 3):
+            if len(rows) > 1:
+                held.append(sorted(rows, key=lambda r: r[3]))
+                size += sum(len(r[6]) for r in rows)
+            if size > CHUNK_BYTES:
+                if found := list(solve(held)):
+                    yield _pairs(found, ["u", "v"])
+                held, size = [], 0
+        if held and (found := list(solve(held))):
+            yield _pairs(found, ["u", "v"])
+
+    return run
+
+
+def _by_band(members: DataFrame, most: int, *more: str) -> DataFrame:
+    """Members of bands, each as often as it is needed for its band's pairs of blocks (i, j), with `own`, its block, in order of the pairs.
+
+    A band of up to `most` is one block. Pair (i, j) also compares within i and within j (`within`) if j follows i; others only across."""
+    rows = members.withColumn("blocks", F.ceil(F.col("n") / most).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")))
+    i, j = F.least("own", "other"), F.greatest("own", "other")
+    follows = (j == i + 1) | ((i == 0) & (j == F.col("blocks") - 1)) | (F.col("blocks") == 1)
+    rows = rows.withColumn("other", F.explode(other))
+    rows = rows.select("band", i.alias("i"), j.alias("j"), follows.alias("within"), "own", "node", "size", "sketch", *more)
+    return rows.repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
 
-    Documents with equal shingle sets form one class, and the class stands for them from there on. Classes that share a band, directly or
-    over others, form a candidate group: within one, every pair that size and odd sketch allow is confirmed on the full sets until it is
-    known to be connected, and only a spanning forest of the links leaves a task. A group of more than `block` classes is dealt out as
-    pairs of blocks, so a task never holds more than two blocks. Null and empty texts have no shingles and are linked with nothing; rows
-    with a null doc_id are linked with nothing either and stay; rows that share a doc_id are one node. An empty table gives no rows."""
+
+def _groups(docs: DataFrame, key: str, text: str, percent: int, block: int, bucket: int, width: int) -> DataFrame:
+    """What groups() says, and `pick`, which tells rows of one key apart by their texts."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
-    signed = materialise(rows.mapInArrow(partial(_sign, width=width), "doc_id long, n_shingles long, digest binary, bands binary, sketch binary"), "signatures")
+    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).withColumn("pick", F.xxhash64("doc_id", "text"))
+    signed = rows.mapInArrow(partial(_sign, width=width), "doc_id long, pick long, n_shingles long, digest binary, bands binary, sketch binary")
+    signed = materialise(signed, "signatures")
     real = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    classes = real.groupBy("digest").agg(F.min(F.struct("doc_id", "bands", "sketch")).alias("c"), F.count("*").alias("rows"))
-    classes = materialise(classes.select("digest", F.col("c.doc_id").alias("node"), F.col("c.bands").alias("bands"), F.col("c.sketch").alias("sketch")), "classes")
+    classes = real.groupBy("digest").agg(F.min(F.struct("doc_id", "pick", "n_shingles", "bands", "sketch")).alias("c"), F.count("*").alias("rows"))
+    classes = materialise(classes.select("digest", "rows", F.monotonically_increasing_id().alias("node"), "c.doc_id", "c.pick", F.col("c.n_shingles").alias("size"), "c.bands", "c.sketch"), "classes")
     banded = classes.select("node", "bands").mapInArrow(_band_rows, "band long, node long")
-    least = banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least < most").select("band", "least")
-    stars = banded.join(least, "band").where("node != least").select(F.col("least").alias("u"), F.col("node").alias("v")).distinct()
-    coarse = components(stars, "candidates")
-    count = coarse.groupBy("component").agg(F.count("*").alias("n")).withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    placed = coarse.join(count, "component").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.join(classes.select("node", "sketch"), "node")
-    # Block pair (i, j) also compares within i and within j if j follows i; other pairs compare only across.
-    other = F.explode(F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own"))))
-    placed = placed.withColumn("other", other)
-    i, j = F.least("own", "other"), F.greatest("own", "other")
-    follows = (j == i + 1) | ((i == 0) & (j == F.col("blocks") - 1)) | (F.col("blocks") == 1)
-    placed = placed.select("component", i.alias("i"), j.alias("j"), "own", "node", follows.alias("within"), "sketch")
-    texts = rows.where("doc_id IS NOT NULL").withColumnRenamed("doc_id", "node")
-    sent = placed.join(texts, "node").select("component", "i", "j", "own", "text", "node", "within", "sketch")
-    ready = sent.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j")
-    links = ready.mapInArrow(_confirm(percent, width), "u long, v long")
+    shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")).where("n > 1")
+    # Bands with the same nodes say the same: one of them is enough.
+    buckets = materialise(shared.groupBy("n", "lo", "hi", "sum").agg(F.min("band").alias("band")).select("band", "n"), "buckets")
+    members = spread_join(banded, buckets, "band", "n", F.col("node")).where("own IS NOT NULL").select("band", F.col("own.n").alias("n"), "node")
+    members = materialise(members.join(classes.select("node", "size", "sketch"), "node"), "members")
+    likely = materialise(_by_band(members, bucket).mapInArrow(_likely(percent), "u long, v long").distinct(), "likely")
+    coarse = components(likely, "candidates")
+    count = coarse.groupBy("component").agg(F.count("*").alias("n"))
+    placed = spread_join(coarse, count, "component", "n", F.col("node")).select("node", "component", F.ceil(F.col("own.n") / block).cast("int").alias("blocks"))
+    placed = materialise(placed.withColumn("spot", F.pmod(F.xxhash64("node"), F.col("blocks"))), "placed")
+    zero = F.lit(0).cast("long")
+    small = placed.where("blocks = 1").select("component", zero.alias("i"), zero.alias("j"), "node", F.col("node").alias("label"))
+    large = placed.where("blocks > 1")
+
+    def confirmed(where: DataFrame) -> DataFrame:
+        need = where.select("node").distinct().join(classes, "node").select("node", "pick", "sketch", F.struct("doc_id").alias("k"))
+        copies = real.groupBy("pick").agg(F.count("*").alias("rows"))
+        need = need.join(copies, "pick").dropDuplicates(["pick"])
+        met = spread_join(rows.where("doc_id IS NOT NULL"), need, "pick", "rows", F.monotonically_increasing_id()).where("own.k.doc_id = doc_id")
+        own = met.groupBy(F.col("own.node").alias("node")).agg(F.first("own.sketch").alias("sketch"), F.first("text").alias("text"))
+        ready = where.join(own, "node").select("component", "i", "j", "node", "sketch", "label", "text")
+        return ready.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_confirm(percent, width), "u long, v long")
+
+    if large.isEmpty():
+        links = confirmed(small)
+    else:
+        ends = likely.join(large.select(F.col("node").alias("u"), "component", F.col("spot").alias("a")), "u").join(large.select(F.col("node").alias("v"), F.col("spot").alias("b")), "v")
+        ends = ends.select("component", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), F.explode(F.array("u", "v")).alias("node")).distinct()
+        first = materialise(confirmed(small.union(ends.withColumn("label", F.col("node")))), "links")
+        label = components(first, "labels").select("node", F.col("component").alias("label"))
+        apart = members.join(large.select("node", "component", "spot"), "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        # Bands whose nodes are all connected by now have nothing more to tell.
+        mixed = apart.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("band", "rows")
+        open_ = spread_join(apart, mixed, "band", "rows", F.col("node")).where("own IS NOT NULL").drop("own")
+        doubt = _by_band(open_, bucket, "component", "label", "spot").mapInArrow(_doubtful(percent), "component long, i long, j long, node long").distinct()
+        doubt = materialise(doubt.join(label, "node", "left").select("component", "i", "j", "node", F.coalesce("label", "node").alias("label")), "doubtful")
+        links = first.union(confirmed(doubt))
     linked = components(links, "links")
-    reached = classes.select("digest", "node").join(linked, "node", "left").select("digest", F.coalesce("component", "node").alias("component"))
-    full = signed.where("doc_id IS NOT NULL AND n_shingles > 0").join(reached, "digest").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
-    rest = signed.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    named = classes.select("digest", "rows", "node", "doc_id").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
+    reached = spread_join(named, least, "component", "n", F.col("node")).select("digest", "rows", "own.component_id")
+    full = spread_join(real.select("doc_id", "pick", "n_shingles", "digest"), reached, "digest", "rows", F.col("pick")).select("doc_id", "n_shingles", "own.component_id", "pick")
+    rest = signed.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "pick")
     return full.union(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT, block: int = BLOCK, bucket: int = BUCKET, width: int = SHINGLE) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row for each row of `docs`; shingles are of `width` words.
+
+    Documents with equal words form one class, and the class stands for them from there on. Classes that share a band are compared by size
+    and odd sketch, on narrow rows; a band of more than `bucket` classes is dealt out as pairs of blocks. Of the pairs that are let
+    through, a spanning forest a band makes candidate groups. The texts of a group of up to `block` classes come together once, and every
+    pair that the sketches let through is confirmed on the full sets, words and all, until it is known to be connected. A larger group is
+    confirmed in two steps, in pairs of blocks: a text goes where it has a partner in the forest; then, where it shares a band with a
+    class that the sketches let through and that is not connected to it by then. So texts travel in proportion to their number, but for
+    large groups of which many pairs are near the bound and not linked: these all have to be looked at.
+
+    A link is missed if its pair shares no band (1.4e-7 at the bound, by (1 - 0.8^4)^30) or if its sketch is off by over SLACK standard
+    errors (3e-7); none is invented. Null and empty texts have no shingles and are linked with nothing; very long texts are taken whole;
+    rows with a null key are linked with nothing either and stay; repeated rows are of one class; rows that share a key but not their
+    words are documents of their own. An empty table gives no rows. The key is a number, or text that spells one."""
+    return _groups(docs, key, text, percent, block, bucket, width).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def unique(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
     """The rows of `docs`, unchanged, without those that another document of their group stands for."""
-    gone = groups(docs, key=key, text=text, percent=percent, width=width).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[key] == gone["_gone"], "left_anti")
+    gone = _groups(docs, key, text, percent, BLOCK, BUCKET, width).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("pick").alias("_pick")).distinct()
+    return docs.join(gone, (docs[key].cast("long") == gone["_gone"]) & (F.xxhash64(docs[key].cast("long"), docs[text]) == gone["_pick"]), "left_anti")
 
 
 def oracle() -> str:
