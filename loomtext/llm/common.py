@@ -99,7 +99,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 
-def _powers(name: str, step: np.uint64, n: int) -> np.ndarray:
+def powers(name: str, step: np.uint64, n: int) -> np.ndarray:
     """step to the powers 0 to n - 1, modulo 2**64."""
     have = _TABLES.get(name)
     if have is None or len(have) < n:
