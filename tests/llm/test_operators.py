@@ -276,11 +276,12 @@ def held(i, folds: int) -> bool:
     return i is not None and zlib.crc32(str(i).encode()) % folds == 2
 
 
-def test_scores(odd, odd_rows):
-    rows = lm_ppm.scored(odd, order=3).collect()
+@pytest.mark.parametrize("order", [5, 3, 2])
+def test_scores(odd, odd_rows, order):
+    rows = lm_ppm.scored(odd, order=order).collect()
     training = [t or "" for i, t, _, _ in odd_rows if not held(i, 7)]
     tokens = Counter(w for t in training for w in [*split(t.translate(LOW)), None])
-    n, v, k = sum(tokens.values()), len(tokens), 3
+    n, v, k = sum(tokens.values()), len(tokens), order
     counts = defaultdict(Counter)
     raw = lambda t: b"\xff" * k + (t or "").translate(LOW).encode() + b"\xfe"
     for t in training:
@@ -302,11 +303,11 @@ def test_scores(odd, odd_rows):
         return out - math.log10(256 - len(gone))
 
     want = sorted((str(i), held(i, 7), len(split(t)) + 1, sum(tokens[w] > 0 for w in [*split((t or "").translate(LOW)), None]), n,
-                   round(sum(math.log10((tokens[w] + 1) / (n + v + 1)) for w in [*split((t or "").translate(LOW)), None]), 4), round(sum(log10(raw(t), p) for p in range(k, len(raw(t)))), 4))
+                   round(sum(math.log10((tokens[w] + 1) / (n + v + 1)) for w in [*split((t or "").translate(LOW)), None]), 9), round(sum(log10(raw(t), p) for p in range(k, len(raw(t)))), 9))
                   for i, t, _, _ in odd_rows)
-    got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4), round(r.score, 4)) for r in rows)
+    got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 9), round(r.score, 9)) for r in rows)
     for a, b in zip(got, want, strict=True):
-        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-3)
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-11, abs=1e-8)
 
 
 def test_probabilities_sum_to_one():
