@@ -2,111 +2,144 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, shared_dir
+from .common import materialise, shared_dir, spread_join
 
-#: A digest with more than this share of all rows is hot; so at most 1 / HOT_SHARE are.
-HOT_SHARE = 1 / 1000
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def digests(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, text_sha256, bytes, locator (file of the row, if any), row (a number for each row)."""
-    body = F.coalesce(docs[text], F.lit("")).cast("binary")
-    return docs.select(docs[key].alias("doc_id"), F.sha2(body, 256).alias("text_sha256"), F.octet_length(body).alias("bytes"), F.input_file_name().alias("locator"), F.monotonically_increasing_id().alias("row"))
-
-
-def keyed_state(spark: SparkSession, path: str, schema) -> DataFrame:
-    """Streams the digest rows at `path` into keyed state and returns what the state holds of each digest.
-
-    The state is a streaming aggregate in RocksDB under the shared folder, without a watermark and so without expiry. A digest keeps the
-    identifier of the row that stays, the locator of its content, and the number of rows. Map-side partial aggregation sends one row a
-    digest and task, so a hot group is no hot task. A stream that failed or stopped goes on from its checkpoint."""
-    own = {
-        "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
-        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
-        # Else every partition of the state reserves some MB of disk before it holds a row.
-        "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
-    }
-    before = {n: spark.conf.get(n, None) for n in own}
-    out = shared_dir(spark, "dedup-state")
-    try:
-        for n, v in own.items():
-            spark.conf.set(n, v)
-        stays = F.max(F.struct(F.col("doc_id"), F.col("row"), F.col("locator"))).alias("keeper")
-        state = spark.readStream.schema(schema).parquet(path).groupBy("text_sha256").agg(stays, F.count("*").alias("group_size"), F.max("bytes").alias("bytes"))
-        query = state.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{out}/checkpoint").foreachBatch(
-            lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{out}/batch={number}")
-        ).start()
-        query.awaitTermination()
-    finally:
-        for n, v in before.items():
-            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
-    updates = sorted(_children(spark, out))
-    if not updates:
-        return spark.createDataFrame([], "text_sha256 string, keeper struct<doc_id:long,row:long,locator:string>, group_size long, bytes long")
-    rows = spark.read.parquet(*updates)
-    if len(updates) > 1:  # a later batch's row of a digest replaces the earlier ones
-        rows = rows.groupBy("text_sha256").agg(F.max_by(F.struct(*[c for c in rows.columns if c != "text_sha256"]), "batch").alias("s")).select("text_sha256", "s.*")
-    return rows.drop("batch")
+def sha256(body: Column) -> Column:
+    return F.sha2(body, 256)
 
 
 def _children(spark: SparkSession, path: str) -> list[str]:
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [str(s.getPath()) for s in fs.listStatus(folder) if "batch=" in str(s.getPath())]
+    return sorted(str(s.getPath()) for s in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def _written(spark: SparkSession, path: str) -> bool:
+    return any(p.endswith("/_SUCCESS") for p in _children(spark, path))
+
+
+class State:
+    """Keyed state in a folder that all executors share, for one stream of documents that comes in named batches.
+
+    The state is a streaming aggregate in RocksDB without a watermark and so without expiry. A digest keeps the identifier of the row that
+    stays, the number of rows, and the locator (batch and row) of the content that it was first met with. A batch is taken once,
+    whatever the number of calls: one that failed or was stopped goes on from the stream's checkpoint. Map-side partial aggregation sends one
+    row a digest and task, so a hot group is no hot task. `contents`: also keep the texts, so that later batches can be compared with them
+    by locator."""
+
+    def __init__(self, spark: SparkSession, path: str, contents: bool = True):
+        self.spark, self.path, self.contents = spark, path.rstrip("/"), contents
+
+    def add(self, name: str, docs: DataFrame) -> DataFrame:
+        """Takes a batch (doc_id, digest, text, row) into the stream's source; returns its narrow rows."""
+        source = f"{self.path}/in/{name}"
+        if not _written(self.spark, source):
+            narrow = docs.select("doc_id", "digest", F.octet_length("text").alias("bytes"), F.struct(F.lit(name).alias("batch"), "row").alias("locator"))
+            if self.contents:
+                docs.select("row", "text", "digest", "doc_id").write.mode("overwrite").parquet(f"{self.path}/content/{name}")
+            narrow.write.mode("overwrite").parquet(source)
+        rows = self.spark.read.parquet(source)
+        self.schema = rows.schema
+        return rows
+
+    def run(self) -> None:
+        """Streams what is new in the source into the state."""
+        own = {
+            "spark.sql.streaming.stateStore.providerClass": ROCKSDB,
+            "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+            # Else every partition of the state reserves some MB of disk before it holds a row.
+            "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+        }
+        conf, out = self.spark.conf, f"{self.path}/updates"
+        before = {n: conf.get(n, None) for n in own}
+        try:
+            for n, v in own.items():
+                conf.set(n, v)
+            stays = F.max(F.struct("doc_id", "locator")).alias("keeper")
+            rows = self.spark.readStream.schema(self.schema).parquet(f"{self.path}/in/*")
+            state = rows.groupBy("digest").agg(stays, F.min("locator").alias("first"), F.count("*").alias("group_size"))
+            query = state.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{self.path}/checkpoint").foreachBatch(
+                lambda batch, number: batch.withColumn("number", F.lit(number)).write.mode("overwrite").parquet(f"{out}/number-{number}")
+            ).start()
+            query.awaitTermination()
+        finally:
+            for n, v in before.items():
+                conf.unset(n) if v is None else conf.set(n, v)
+
+    def table(self) -> DataFrame:
+        """digest, keeper, first, group_size: what the state holds now. A later update of a digest replaces the earlier ones."""
+        updates = _children(self.spark, f"{self.path}/updates")
+        rows = self.spark.read.parquet(*updates)
+        if len(updates) > 1:
+            rows = rows.groupBy("digest").agg(F.max_by(F.struct("keeper", "first", "group_size"), "number").alias("s")).select("digest", "s.*")
+        return rows.select("digest", "keeper", "first", "group_size")
+
+    def content(self, name: str) -> DataFrame | None:
+        """locator, text, digest, doc_id of all batches but `name`."""
+        names = [p.rsplit("/", 1)[1] for p in _children(self.spark, f"{self.path}/in")]
+        out = None
+        for other in names:
+            if other != name and _children(self.spark, f"{self.path}/content/{other}"):
+                own = self.spark.read.parquet(f"{self.path}/content/{other}").select(F.struct(F.lit(other).alias("batch"), "row").alias("locator"), "text", "digest", "doc_id")
+                out = own if out is None else out.union(own)
+        return out
+
 
+def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", state: str | None = None, batch: str = "batch", digest: Callable[[Column], Column] = sha256) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256, locator: one row for each row of `docs`.
 
-def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256, locator, row: one row for each row of `docs`.
+    Null texts count as empty; nothing is normalised; very long texts are taken whole. The row with the largest key stays (nulls are
+    smallest; of rows with the same key and text one, the last read). Keys may be of any ordered type. With a folder as `state`, documents
+    are a further batch of what it has seen: group_size counts all batches, keep_id is the largest key so far, and a row is kept if it is
+    that one. A batch has a name and is taken once; without `state`, a new state is made for this call.
 
-    Null texts count as empty; nothing is normalised. The row with the largest key stays (nulls are smallest; of rows with the same key
-    and text the last read). A digest met twice is a hit, and on hits the full bytes are compared: the rows of those digests are grouped
-    by digest and whole text, with map-side partial aggregation, so that copies travel once a task. Should two texts share a digest,
-    their groups are split by that comparison. An empty table gives no rows."""
+    A digest met twice is a hit, and on hits the full bytes are compared: the rows of those digests are grouped by digest and whole text,
+    with map-side partial aggregation, so that copies travel once a task, and with the content that the locator of an earlier batch leads
+    to. Should two texts share a digest, their groups are split by that comparison. An empty table gives no rows."""
     spark = docs.sparkSession
-    path = shared_dir(spark, "digests")
-    narrow = digests(docs, key, text)
-    schema = narrow.schema
-    narrow.write.parquet(path)
-    rows = spark.read.schema(schema).parquet(path)
-    if rows.isEmpty():
-        return rows.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(0).cast("long").alias("group_size"), F.lit(False).alias("kept"), "text_sha256", "locator", "row")
-    state = keyed_state(spark, path, schema)
-    # Digests with over HOT_SHARE of the rows are few, by that share, and broadcast; their rows are dealt out evenly past the other joins.
-    most = HOT_SHARE * (state.agg(F.sum("group_size")).first()[0] or 0)
-    known = state.select("text_sha256", F.struct("keeper", "group_size").alias("own"))
-    hot = F.broadcast(known.where(F.col("own.group_size") > most).withColumnRenamed("own", "hot"))
-    cold = known.where(F.col("own.group_size") <= most).select(F.col("text_sha256").alias("dealt"), F.col("own").alias("cold"))
     body = F.coalesce(docs[text], F.lit(""))
-    full = docs.select(docs[key].alias("doc_id"), F.sha2(body.cast("binary"), 256).alias("text_sha256"), body.alias("text"))
-    met = full.join(hot.where("hot.group_size > 1"), "text_sha256", "left")
-    met = met.withColumn("dealt", F.when(F.col("hot").isNull(), F.col("text_sha256")).otherwise(F.xxhash64("doc_id").cast("string")))
-    met = met.join(cold.where("cold.group_size > 1"), "dealt", "left").where("hot IS NOT NULL OR cold IS NOT NULL")
-    whole = met.groupBy("text_sha256", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
-    split = whole.groupBy("text_sha256").agg(F.count("*").alias("texts")).where("texts > 1")
-    clashes = materialise(split, "clashes")
-    out = rows.join(hot, "text_sha256", "left")
-    out = out.withColumn("dealt", F.when(F.col("hot").isNull(), F.col("text_sha256")).otherwise(F.col("row").cast("string"))).join(cold, "dealt", "left")
-    out = out.withColumn("own", F.coalesce("hot", "cold")).select("*", "own.*")
-    out = out.select("doc_id", F.col("keeper.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("keeper.row")).alias("kept"), "text_sha256", "locator", "row")
+    full = docs.select(docs[key].alias("doc_id"), body.alias("text"), digest(body.cast("binary")).alias("digest"), F.monotonically_increasing_id().alias("row"))
+    kept = State(spark, state or shared_dir(spark, "dedup-state"), contents=state is not None)
+    rows = kept.add(batch, full)
+    columns = ["doc_id", "keep_id", "group_size", "kept", F.col("digest").alias("text_sha256"), "locator"]
+    if rows.isEmpty():
+        return rows.withColumn("keep_id", F.col("doc_id")).withColumn("group_size", F.lit(0).cast("long")).withColumn("kept", F.lit(False)).select(*columns)
+    kept.run()
+    table = kept.table()
+    hits = table.where("group_size > 1")
+    met = spread_join(full, hits, "digest", "group_size", F.col("row")).where("own IS NOT NULL")
+    whole = met.groupBy("digest", "text").agg(F.count("*").alias("n")).select("digest", "text")
+    earlier = kept.content(batch)
+    if earlier is not None:
+        there = earlier.join(hits.where(F.col("first.batch") != batch).select(F.col("first").alias("locator")), "locator", "left_semi")
+        whole = whole.union(there.select("digest", "text")).distinct()
+    clashes = materialise(whole.groupBy("digest").agg(F.count("*").alias("texts")).where("texts > 1"), "clashes")
+    out = spread_join(rows, table, "digest", "group_size", F.col("locator.row"))
+    out = out.select("doc_id", F.col("own.keeper.doc_id").alias("keep_id"), "own.group_size", F.col("own.keeper.locator").eqNullSafe(F.col("locator")).alias("kept"), "digest", "locator")
     if clashes.isEmpty():
-        return out
-    own = full.join(clashes, "text_sha256", "left_semi")
-    truth = own.groupBy("text_sha256", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    clear = out.join(clashes, "text_sha256", "left_anti")
-    apart = own.join(truth, ["text_sha256", "text"]).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256", F.lit("").alias("locator"), F.lit(-1).cast("long").alias("row"))
-    return clear.unionByName(apart)
+        return out.select(*columns)
+    own = full.select(F.struct(F.lit(batch).alias("batch"), "row").alias("locator"), "text", "digest", "doc_id")
+    every = (own if earlier is None else own.union(earlier)).join(clashes, "digest", "left_semi")
+    truth = every.groupBy("digest", "text").agg(F.max(F.struct("doc_id", "locator")).alias("keeper"), F.count("*").alias("group_size"))
+    apart = own.join(clashes, "digest", "left_semi").join(truth, ["digest", "text"])
+    apart = apart.select("doc_id", F.col("keeper.doc_id").alias("keep_id"), "group_size", F.col("keeper.locator").eqNullSafe(F.col("locator")).alias("kept"), "digest", "locator")
+    return out.join(clashes, "digest", "left_anti").unionByName(apart).select(*columns)
 
 
-def unique(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+def unique(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of `docs`, unchanged, that stay: one for each text. Of rows that share key and text any one stays."""
-    out = groups(docs, key=key, text=text)
+    out = groups(docs, key=key, text=text, **options)
     kept = out.where("kept").select(F.col("doc_id").alias("keep"), F.col("text_sha256").alias("sha"))
-    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), docs[key].alias("key"), F.sha2(F.coalesce(docs[text], F.lit("")).cast("binary"), 256).alias("own"))
+    digest = options.get("digest", sha256)
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), docs[key].alias("key"), digest(F.coalesce(docs[text], F.lit("")).cast("binary")).alias("own"))
     rows = packed.join(kept, (F.col("own") == F.col("sha")) & F.col("key").eqNullSafe(F.col("keep")), "left_semi")
     if not out.where("NOT kept AND doc_id <=> keep_id").isEmpty():  # only then is there more than one row of a kept key and text
         number = F.row_number().over(Window.partitionBy("own", "key").orderBy(F.lit(0)))

@@ -8,18 +8,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, materialise
 
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 CAP = 2.0
-SALTS = 256
+#: Rows that a salt should stand for, and the least number of salts.
+SALT_ROWS, SALTS = 100_000, 64
 
 
 def size_of(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def salt_of(key: Column, salts: int) -> Column:
+    """A number below `salts` from the key's digest: keys in sequence, in steps or of equal remainders are spread alike."""
+    head = F.substring(F.md5(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), 1, 8)
+    return (F.conv(head, 16, 10).cast("long") % salts).cast("int")
+
+
 def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """Target words of each source. `sizes`: source, source_size (one row a source).
 
@@ -40,18 +47,22 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = S
     return leveled.select("source", "source_size", F.coalesce(target, F.lit(cap) * F.col("source_size")).cast("double").alias("target"))
 
 
-def copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source", weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 17, salts: int = SALTS, keep: Sequence[str] | None = None) -> DataFrame:
+def copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source", weights: Sequence[int] = WEIGHTS, share: float = SHARE, cap: float = CAP, seed: int = 17, salts: int | None = None, keep: Sequence[str] | None = None) -> DataFrame:
     """Rows of `docs` (columns `keep`, all by default) with _size, _source_size, _target and _copies, how often the mix takes each.
 
     Every document of a source expects target / size copies. Documents stand in a fixed order within their source (size class, salt,
     size, key), the prefix sum of the expectations is shifted by one random offset, and a document is emitted once for each integer
     boundary that its own stretch crosses. A prefix sum over a hot source is two-level: within buckets of one size class and salt, plus
-    the sum of the buckets before, so no task sees a whole source. Null texts have size 0; a null source is a source; a null key counts
-    as 0 for the order. An empty table gives an empty result. Repeated rows are separate documents."""
+    the sum of the buckets before, so no task sees a whole source. Salts are digests of the keys, as many as the rows need. Null texts have
+    size 0; a null source is a source; null keys come first. An empty table gives an empty result. Repeated rows are separate documents
+    (they share a salt). Keys may be of any ordered type; very long texts are counted whole."""
+    salts = salts or max(SALTS, -(-docs.count() // SALT_ROWS))
     kept = [docs[c].alias(f"k_{c}") for c in (keep if keep is not None else docs.columns)]
     rows = docs.select(*kept, docs[source].alias("source"), docs[key].alias("_key"), size_of(docs[text]).alias("_size"))
-    rows = rows.withColumn("_class", F.length(F.bin("_size")).cast("int")).withColumn("_salt", F.pmod(F.coalesce(F.col("_key"), F.lit(0)), F.lit(salts)).cast("int"))
-    buckets = rows.groupBy("source", "_class", "_salt").agg(F.count("*").alias("_n"), F.sum("_size").alias("_words"))
+    rows = rows.withColumn("_class", F.length(F.bin("_size")).cast("int")).withColumn("_salt", salt_of(F.col("_key"), salts))
+    if keep is not None:
+        rows = materialise(rows, "sizes")  # narrow: the texts are measured once
+    buckets = materialise(rows.groupBy("source", "_class", "_salt").agg(F.count("*").alias("_n"), F.sum("_size").alias("_words")), "buckets")
     plan = targets(buckets.groupBy("source").agg(F.sum("_words").alias("source_size")), weights, share, cap)
     ahead = Window.partitionBy("source").orderBy("_class", "_salt").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("_before", F.coalesce(F.sum("_n").over(ahead), F.lit(0)))
@@ -71,20 +82,21 @@ def copies(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source:
 def mix(docs: DataFrame, *, text: str = "text", key: str = "doc_id", source: str = "source", **options) -> DataFrame:
     """The mixed documents themselves: each row of `docs`, unchanged, as often as the mix takes it."""
     packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc"), docs[text].alias("text"), docs[key].alias("key"), docs[source].alias("source"))
-    taken = copies(packed, text="text", key="key", source="source", keep=["doc"], **options).where("_copies > 0")
+    taken = copies(packed.select("doc", "text", "key", "source"), text="text", key="key", source="source", **options).where("_copies > 0")
     return taken.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("doc.*")
 
 
-def report(docs: DataFrame, **options) -> DataFrame:
+def report(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
     """doc_id, size, source_size, target, taken and copies of every document."""
-    out = copies(docs, keep=["doc_id"], **options)
-    return out.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"), F.col("_copies").alias("copies"))
+    out = copies(docs, key=key, keep=[key], **options)
+    return out.select(F.col(key).alias("doc_id"), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"), F.col("_copies").alias("copies"))
 
 
-def oracle(seed: int = 17, salts: int = SALTS) -> str:
+def oracle(seed: int = 17) -> str:
+    salts = f"greatest({SALTS}, (count(*) OVER () + {SALT_ROWS - 1}) // {SALT_ROWS})"
     offset = repr(random.Random(seed).random())
     return rf"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH d AS (SELECT doc_id, source, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % {salts} AS salt, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS w FROM s),
 l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()::DOUBLE - 2.0::DOUBLE * coalesce(sum(source_size) OVER (ORDER BY source_size::DOUBLE / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::DOUBLE)
@@ -93,7 +105,7 @@ l AS (SELECT *, (1.5::DOUBLE * sum(source_size) OVER ()::DOUBLE - 2.0::DOUBLE *
 g AS (SELECT lev AS level FROM l WHERE lev * w <= 2.0::DOUBLE * source_size ORDER BY i LIMIT 1),
 f AS (SELECT l.*, level FROM l LEFT JOIN g ON true),
 t AS (SELECT source, source_size, coalesce(least(level * w, 2.0::DOUBLE * source_size), 2.0::DOUBLE * source_size) AS target FROM f),
-r AS (SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY length(bin(size)), ((coalesce(doc_id, 0) % {salts}) + {salts}) % {salts}, size, doc_id NULLS FIRST) - 1 AS place FROM d),
+r AS (SELECT doc_id, source, size, row_number() OVER (PARTITION BY source ORDER BY length(bin(size)), salt, size, doc_id NULLS FIRST) - 1 AS place FROM d),
 j AS (SELECT r.doc_id, r.size, t.source_size, t.target, r.place, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS e FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
 c AS (SELECT *, (floor((place + 1) * e + {offset}::DOUBLE) - floor(place * e + {offset}::DOUBLE))::BIGINT AS copies FROM j)
 SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM c"""

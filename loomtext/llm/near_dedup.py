@@ -272,8 +272,8 @@ def _by_band(members: DataFrame, most: int, *more: str) -> DataFrame:
 def _groups(docs: DataFrame, key: str, text: str, percent: int, block: int, bucket: int, width: int) -> DataFrame:
     """What groups() says, and `pick`, which tells rows of one key apart by their texts."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text")).withColumn("pick", F.xxhash64("doc_id", "text"))
-    signed = rows.mapInArrow(partial(_sign, width=width), "doc_id long, pick long, n_shingles long, digest binary, bands binary, sketch binary")
+    rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text")).withColumn("pick", F.xxhash64("doc_id", "text"))
+    signed = rows.mapInArrow(partial(_sign, width=width), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, pick long, n_shingles long, digest binary, bands binary, sketch binary")
     signed = materialise(signed, "signatures")
     real = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = real.groupBy("digest").agg(F.min(F.struct("doc_id", "pick", "n_shingles", "bands", "sketch")).alias("c"), F.count("*").alias("rows"))
@@ -339,14 +339,14 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent:
     A link is missed if its pair shares no band (1.4e-7 at the bound, by (1 - 0.8^4)^30) or if its sketch is off by over SLACK standard
     errors (3e-7); none is invented. Null and empty texts have no shingles and are linked with nothing; very long texts are taken whole;
     rows with a null key are linked with nothing either and stay; repeated rows are of one class; rows that share a key but not their
-    words are documents of their own. An empty table gives no rows. The key is a number, or text that spells one."""
+    words are documents of their own. An empty table gives no rows. Keys may be of any ordered type."""
     return _groups(docs, key, text, percent, block, bucket, width).select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def unique(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT, width: int = SHINGLE) -> DataFrame:
     """The rows of `docs`, unchanged, without those that another document of their group stands for."""
     gone = _groups(docs, key, text, percent, BLOCK, BUCKET, width).where("NOT kept").select(F.col("doc_id").alias("_gone"), F.col("pick").alias("_pick")).distinct()
-    return docs.join(gone, (docs[key].cast("long") == gone["_gone"]) & (F.xxhash64(docs[key].cast("long"), docs[text]) == gone["_pick"]), "left_anti")
+    return docs.join(gone, (docs[key] == gone["_gone"]) & (F.xxhash64(docs[key], docs[text]) == gone["_pick"]), "left_anti")
 
 
 def oracle() -> str:

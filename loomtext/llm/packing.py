@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import LOWER, bounded_batches, distinct, text_chunks, word_spans
 
@@ -34,7 +35,7 @@ _POINT = np.zeros(256, bool)
 _POINT[list(b".,")] = True
 _PLAIN_END = np.zeros(256, bool)
 _PLAIN_END[list(b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")] = True
-SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
+SCHEMA = "start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 def cost(n: int) -> float:
@@ -213,12 +214,12 @@ def packed(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str =
     """Pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the piece's ids if `with_ids`.
 
     A document is its ids and one end id; a null or empty text is the end id alone, a null key stays null, repeated rows are packed as
-    often as they come, an empty table gives no rows. Each task packs its own rows, about `group_tokens` at a time (a longer document is
+    often as they come, an empty table gives no rows, keys may be of any type. Each task packs its own rows, about `group_tokens` at a time (a longer document is
     a group of its own), so there is no shuffle, memory is bounded, and a source of any size is just more tasks. sequence_id is made of
     the task's number, the group's and the sequence's, and does not change when a task is run again."""
     bounded_batches(docs.sparkSession)
-    rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
-    end = np.asarray([end_id], "<u4")
+    rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"))
+    end, kind = np.asarray([end_id], "<u4"), to_arrow_type(rows.schema["doc_id"].dataType)
 
     def flush(names: list, held: list[np.ndarray], group: int) -> pa.RecordBatch:
         part = TaskContext.get().partitionId()
@@ -230,7 +231,7 @@ def packed(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str =
                 rows.append((names[doc], start, n, zlib.crc32(own), len(held[doc]), number, offset) + ((own.astype(np.int32),) if with_ids else ()))
         fields = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
         cols = list(zip(*rows, strict=True))
-        arrays = [pa.array(c, pa.int64()) for c in cols[:7]] + [pa.array(c, pa.list_(pa.int32())) for c in cols[7:]]
+        arrays = [pa.array(cols[0], kind)] + [pa.array(c, pa.int64()) for c in cols[1:7]] + [pa.array(c, pa.list_(pa.int32())) for c in cols[7:]]
         return pa.RecordBatch.from_arrays(arrays, names=fields + ["ids"] * with_ids)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,4 +249,4 @@ def packed(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str =
         if held:
             yield flush(names, held, group)
 
-    return rows.mapInArrow(pack, SCHEMA + ", ids array<int>" * with_ids)
+    return rows.mapInArrow(pack, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + SCHEMA + ", ids array<int>" * with_ids)

@@ -212,11 +212,11 @@ def scored(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     """doc_id, held_out, score, predicted of every row.
 
     Scores come from the whole text alone: features, bins, and sums of table entries. Null and empty texts have all-zero features and the
-    score of those; a row with a null key is not held out; repeated rows are scored alike; an empty table gives no rows. One pass, no
+    score of those; a row with a null key is not held out; repeated rows are scored alike; very long texts are taken whole; an empty table gives no rows. Keys may be of any type. One pass, no
     shuffle; the tables travel with the code and their size is fixed by the numbers of bins and pairs."""
     model = train(docs, labels, key=key, text=text, **options)
     held = F.coalesce(F.pmod(F.crc32(docs[key].cast("string").cast("binary")), F.lit(FOLDS)) == HELD, F.lit(False))
-    rows = docs.select(docs[key].cast("long").alias("doc_id"), held.alias("held_out"), docs[text].alias("text"))
+    rows = docs.select(docs[key].alias("doc_id"), held.alias("held_out"), docs[text].alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,4 +225,4 @@ def scored(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
                 own = [b.column(i).slice(first, last - first) for i in range(2)]
                 yield pa.RecordBatch.from_arrays([*own, pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, held_out boolean, score double, predicted int")

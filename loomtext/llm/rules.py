@@ -178,7 +178,7 @@ def verdict(m: Column, refs: Reference) -> Column:
     return bound(F.struct(classes.alias("classes"), words.alias("words")), decide)
 
 
-def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", common: Mapping[str, Sequence[str]] = COMMON) -> DataFrame:
+def judge(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", common: Mapping[str, Sequence[str]] = COMMON) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, common_distance, kept.
 
     A document's histograms of character classes and of common words are compared with those of each language, taken from all documents
@@ -186,7 +186,7 @@ def judge(docs: DataFrame, *, text: str = "text", lang: str = "lang", common: Ma
     distance is null and rejects nothing. Null texts count as empty and fail the base rules; with no reference (an empty table, only
     unknown languages) the distances are 0. Rows are judged alone: repeated rows each get a row. Texts are read once: their counts are
     written to the shared folder, and references and verdicts come from there."""
-    counts = materialise(docs.select(docs["doc_id"].alias("doc_id"), docs[lang].alias("lang"), measures(docs[text], common).alias("m")), "rule-counts")
+    counts = materialise(docs.select(docs[key].alias("doc_id"), docs[lang].alias("lang"), measures(docs[text], common).alias("m")), "rule-counts")
     refs = references(counts, common)
     out = counts.select("doc_id", "m", verdict(F.col("m"), refs).alias("r"))
     return out.select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "r.base_failed", "r.class_distance", "r.common_distance", "r.kept")

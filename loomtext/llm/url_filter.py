@@ -68,7 +68,8 @@ def judge(pages: DataFrame, *, key: str = "page_id", url: str = "url", rules: Se
     """key, host, path, rule, verdict, strict_hits, soft_hits, soft_terms of every row.
 
     Terms are counted in host and path together, A-Z lower-cased. A URL is blocked by one strict hit or by `distinct_soft` different soft
-    terms, unless a rule decides. Null, empty and malformed URLs have empty host and path, no hits, and are allowed. One pass, no shuffle."""
+    terms, unless a rule decides. Null, empty and malformed URLs have empty host and path, no hits, and are allowed; very long ones are searched whole; repeated rows are
+    judged alike; an empty table gives no rows. One pass, no shuffle."""
     parts = pages.select(pages[key].alias(key), host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"))
     kind = parts.schema[key].dataType.simpleString()
     terms = (tuple(strict), tuple(soft))

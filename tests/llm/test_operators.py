@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomtext.llm import exact_dedup, lm_ppm, mix, near_dedup, packing, quality_gam, rules, substring_dedup
 from loomtext.llm.queries import tokenizer_path
@@ -167,6 +168,30 @@ def test_exact(odd, odd_rows):
     assert left.columns == odd.columns and sorted(r.text or "" for r in left.collect()) == sorted(by_text)
 
 
+def test_exact_in_batches(spark, odd, odd_rows, tmp_path):
+    """Two batches and a third that is asked for twice meet in one state; a digest that says little is seen through by the bytes."""
+    one, two = odd.where("doc_id IS NULL OR doc_id % 2 = 0"), odd.where("doc_id % 2 != 0")
+    full = {(r.doc_id, r.text_sha256): (r.keep_id, r.group_size) for r in exact_dedup.groups(odd).collect()}
+    first = exact_dedup.groups(one, state=f"{tmp_path}/state", batch="a").collect()
+    assert {(r.doc_id, r.text_sha256): (r.keep_id, r.group_size) for r in exact_dedup.groups(one).collect()} == {(r.doc_id, r.text_sha256): (r.keep_id, r.group_size) for r in first}
+    for _ in range(2):  # the second time as after a restart: nothing is counted twice
+        again = exact_dedup.groups(two, state=f"{tmp_path}/state", batch="b").collect()
+        assert len(again) == two.count()
+        for r in again:
+            assert (r.keep_id, r.group_size) == full[r.doc_id, r.text_sha256]
+    poor = lambda body: F.substring(F.sha2(body, 256), 1, 1)
+    by_text = defaultdict(list)
+    for i, t, _, _ in odd_rows:
+        by_text[t or ""].append(i)
+    top = lambda ids: max((i for i in ids if i is not None), default=None)
+    want = sorted((str(i), str(top(ids)), len(ids)) for ids in by_text.values() for i in ids)
+    rows = exact_dedup.groups(odd, digest=poor).collect()
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in rows) == want and sum(r.kept for r in rows) == len(by_text)
+    exact_dedup.groups(one, state=f"{tmp_path}/poor", batch="a", digest=poor).count()
+    late = exact_dedup.groups(two, state=f"{tmp_path}/poor", batch="b", digest=poor).collect()
+    assert sorted((str(r.doc_id), str(r.keep_id), r.group_size) for r in late) == sorted(w for w in want if w[0] != "None" and int(w[0]) % 2)
+
+
 # --- substring dedup ------------------------------------------------------------------------------------------------
 
 
@@ -343,6 +368,90 @@ def test_gam_learns_an_interaction():
     assert (0, 2) in model.pairs and ((model.score(x) > 0.5) == y).mean() > 0.95
 
 
+# --- keys and words that are made to trouble ------------------------------------------------------------------------
+
+
+def twins() -> tuple[str, str]:
+    """Two words of 1,024 letters that every polynomial hash modulo 2**64 takes for one: Thue-Morse and its complement."""
+    bits = [k.bit_count() & 1 for k in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_that_polynomials_mistake(spark):
+    x, y = twins()
+    tail = " ".join(f"t{k}" for k in range(3))
+    rows = [(1, f"{x} {tail}"), (2, f"{y} {tail}"), (3, f"{tail} {x} {tail}"), (4, f"{tail} {y} {tail}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.groups(docs).collect()} == brute_groups(rows)
+    assert [r.n_removed for r in substring_dedup.cleaned(docs, 4).orderBy("doc_id").collect()] == [4, 4, 4, 4]
+    apart = docs.where("doc_id < 3")
+    assert [r.n_removed for r in substring_dedup.cleaned(apart, 4).collect()] == [0, 0]
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(tokenizer_path())
+    for r in packing.packed(docs, tokenizer_path(), with_ids=True, capacity=10**6).collect():
+        assert list(r.ids) == [*tokenizer.encode(dict(rows)[r.doc_id], add_special_tokens=False).ids, 1]
+    tokens = Counter(w for i, t in rows if not held(i, 7) for w in [*split(t), None])
+    known = {i: sum(tokens[w] > 0 for w in [*split(t), None]) for i, t in rows}
+    assert {r.doc_id: r.n_known for r in lm_ppm.scored(docs, order=3).collect()} == known
+
+
+def test_words_whose_hashes_clash(monkeypatch):
+    """What shares a hash is compared: with a hash of three values, words, sets and ids come out the same."""
+    import pyarrow as pa
+
+    from loomtext.llm import common
+
+    texts = pa.array([f"w{k} x{k % 7} longer-than-eight-{k % 11} longer-than-eight-{k % 13}" for k in range(60)])
+    plain = lambda: [s.tolist() for _, _, d, o in common.text_chunks(texts) for s in near_dedup.exact_sets(d, o, 2)]
+    sizes = [len(s) for s in plain()]
+    ids = [packing.WordTokenizer(tokenizer_path()).encode(d, o)[0].tolist() for _, _, d, o in common.text_chunks(texts)]
+    whole = common.hashes
+    monkeypatch.setattr(common, "hashes", lambda *a: whole(*a) % np.uint64(3))
+    assert [len(s) for s in plain()] == sizes
+    assert [packing.WordTokenizer(tokenizer_path()).encode(d, o)[0].tolist() for _, _, d, o in common.text_chunks(texts)] == ids
+
+
+def test_window_digests_see_through_hashes(spark, odd, odd_rows, monkeypatch):
+    """Rolling hashes that mistake many windows for repeated ones change nothing: the digests of the words decide."""
+    import pyarrow as pa
+
+    table = pa.table({"chunk": [0] * 3, "doc_id": [1, 2, 3], "text": ["a b c d", "e f g h", "a b c x"]})
+    whole = substring_dedup.window_hashes
+    monkeypatch.setattr(substring_dedup, "window_hashes", lambda *a: (whole(*a)[0] % np.uint64(2), whole(*a)[1]))
+    none = pa.table({"chunk": pa.array([], pa.int64()), "kind": pa.array([], pa.int32()), "bucket": pa.array([], pa.int32()), "bits": pa.array([], pa.binary())})
+    assert substring_dedup._cut(3, 1, False)(table, none).column("n_removed").to_pylist() == [3, 0, 3]
+
+
+@pytest.mark.parametrize("kind", ["string", "int"])
+def test_keys_of_other_types(spark, kind):
+    docs = spark.createDataFrame([(k, f"some words of document {k % 2} " * 12) for k in range(4)], "k long, text string").selectExpr(f"CAST(k AS {kind}) AS name", "text", "'s' AS source", "'en' AS lang")
+    labels = spark.createDataFrame([(1, 1)], "name long, quality int").selectExpr(f"CAST(name AS {kind}) AS name", "quality")
+    for df in (
+        mix.report(docs, key="name"), packing.packed(docs, tokenizer_path(), key="name"), rules.judge(docs, key="name"), exact_dedup.groups(docs, key="name"), substring_dedup.cleaned(docs, key="name"),
+        near_dedup.groups(docs, key="name"), lm_ppm.scored(docs, key="name"), quality_gam.scored(docs, labels, key="name"),
+    ):
+        assert df.schema["doc_id"].dataType.simpleString() == kind and {str(r.doc_id) for r in df.collect()} == set("0123")
+
+
+def test_labels_of_repeated_keys_are_bounded(spark):
+    docs = spark.createDataFrame([(k % 5, f"text {k}") for k in range(3000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(50)], "doc_id long, quality int")
+    rows = []
+    fit = quality_gam.fit
+    try:
+        quality_gam.fit = lambda x, y: rows.append(len(y)) or fit(x, y)
+        quality_gam.train(docs, labels, rows=4)
+    finally:
+        quality_gam.fit = fit
+    assert rows and 0 < rows[0] <= 4
+
+
+def test_mix_spreads_keys_in_steps(spark):
+    docs = spark.range(2000).selectExpr("id * 256 AS doc_id", "'w' AS text", "'a' AS source")
+    assert docs.select(mix.salt_of(docs.doc_id, 64).alias("s")).distinct().count() > 60
+
+
 # --- empty tables ---------------------------------------------------------------------------------------------------
 
 
