@@ -6,6 +6,7 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -80,18 +81,31 @@ def grouped(batches: Iterable[pa.RecordBatch], keys: int, at_once: int = 512) ->
         yield held
 
 
-def spread_join(many: DataFrame, few: DataFrame, key: str, rows: str, salt, share: float = 1 / 1000) -> DataFrame:
+@contextmanager
+def partitions(spark: SparkSession, rows: int, each: int = 250_000) -> Iterator[None]:
+    """Shuffles of what is run inside get a partition for `each` rows, 8 at least, whatever the session has for its large tables."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(8, -(-rows // each))))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def spread_join(many: DataFrame, few: DataFrame, key: str, rows: str, salt, share: float = 1 / 1000, merge: bool = False) -> DataFrame:
     """Left join of `many` with `few` (one row a key; its column `rows` says how many of `many` have the key), whose columns come as struct `own`.
 
     Keys with over `share` of all rows are few, 1 / share at most, and broadcast; their rows are dealt out by `salt` past the join of the
-    others, so no task gets a hot key whole. A null key joins nothing."""
+    others, so no task gets a hot key whole. A null key joins nothing. `few` is read three times: write it first if it is dear. `merge`:
+    the others are joined by sort and merge at every size."""
     kind = few.schema[key].dataType
     most = share * (few.agg(F.sum(rows)).first()[0] or 0)
     known = few.select(key, F.col(rows).alias("_rows"), F.struct(*[c for c in few.columns if c != key]).alias("own"))
     hot = F.broadcast(known.where(F.col("_rows") > most).select(key, F.col("own").alias("_hot")))
     cold = known.where(F.col("_rows") <= most).select(F.col(key).alias("_dealt"), "own")
     dealt = F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.xxhash64(salt).cast("string").cast(kind))
-    joined = many.join(hot, key, "left").withColumn("_dealt", dealt).join(cold, "_dealt", "left")
+    joined = many.join(hot, key, "left").withColumn("_dealt", dealt).join(cold.hint("merge") if merge else cold, "_dealt", "left")
     return joined.withColumn("own", F.coalesce("_hot", "own")).drop("_hot", "_dealt")
 
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, partitions
 
 #: A node with more than this share of the edges (and over 1,000) is hot; so at most 2 / HOT_SHARE are.
 HOT_SHARE = 1 / 1000
@@ -36,19 +40,41 @@ def _stars(edges: DataFrame, large: bool, most: float) -> DataFrame:
     return out.where("u != v").distinct()
 
 
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges of a task, some at a time, to stars around the least node of each of their components."""
+    for b in batches:
+        u, v = np.asarray(b.column(0), np.int64), np.asarray(b.column(1), np.int64)
+        nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+        root = np.arange(len(nodes))
+        a, z = ends[: len(u)], ends[len(u) :]
+        while True:
+            low = np.minimum(root[a], root[z])
+            before = root.copy()
+            np.minimum.at(root, root[a], low)
+            np.minimum.at(root, root[z], low)
+            root = root[root]
+            if (root == before).all():
+                break
+        far = np.flatnonzero(root != np.arange(len(root)))
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[root[far]])], names=["u", "v"])
+
+
 def components(edges: DataFrame, what: str) -> DataFrame:
-    """node, component (its least node) of each node of `edges` (columns u, v). Nodes without an edge are not listed.
+    """node, component (its least node) of each node of `edges` (columns u, v, long). Nodes without an edge are not listed.
 
-    Each round is two exchanges of narrow rows and is written to the shared folder, so the plan stays short and a lost executor costs one
-    round; the number of rounds grows with the logarithm of the longest path."""
-    edges = materialise(edges.where("u != v").distinct(), what)
+    Tasks first contract what they have. Then each round is two exchanges of narrow rows and is written to the shared folder, so the plan
+    stays short and a lost executor costs one round; the number of rounds grows with the logarithm of the longest path. Shuffles are sized
+    by the number of edges."""
+    spark = edges.sparkSession
+    edges = materialise(edges.where("u != v").mapInArrow(_contracted, "u long, v long"), what)
     before = _state(edges)
     while before[0]:
         most = max(1000, HOT_SHARE * before[0])
-        edges = materialise(_stars(_stars(edges, True, most), False, most), what)
-        now = _state(edges)
+        with partitions(spark, before[0]):
+            edges = materialise(_stars(_stars(edges, True, most), False, most), what)
+            now = _state(edges)
         if now == before:
             break
         before = now
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
+    return nodes.union(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

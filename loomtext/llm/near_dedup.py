@@ -23,6 +23,8 @@ PERCENT = 80
 BANDS, ROWS = 30, 4
 #: Samples that are folded into a sketch, those of the bands among them, and its bits.
 SAMPLES, SKETCH_BITS = 256, 2048
+#: Bands by which large groups are first joined.
+FIRST = 6
 #: Standard errors below the bound at which a sketch still lets a pair through to the confirmation.
 SLACK = 5.0
 #: Sketches of one band, and texts of one candidate group, that a task holds at once, times two.
@@ -124,12 +126,15 @@ def _sign(batches: Iterator[pa.RecordBatch], width: int = SHINGLE) -> Iterator[p
             yield pa.RecordBatch.from_arrays([*own, pa.array(sizes, pa.int64()), *(pa.array(x, pa.binary()) for x in (digests, bands, sketches))], names=["doc_id", "pick", "n_shingles", "digest", "bands", "sketch"])
 
 
-def _band_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _band_rows(batches: Iterator[pa.RecordBatch], first: int = 0, last: int = BANDS) -> Iterator[pa.RecordBatch]:
+    """A row for each of some bands (the second column) with the other columns."""
     for b in batches:
         keys = b.column(1).to_pylist()
         if keys:
-            flat = np.frombuffer(b"".join(keys), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(flat), pa.array(np.repeat(np.asarray(b.column(0), np.int64), BANDS))], names=["band", "node"])
+            flat = np.frombuffer(b"".join(keys), np.int64).reshape(-1, BANDS)[:, first:last].ravel()
+            times = pa.array(np.repeat(np.arange(len(keys)), last - first))
+            names = b.schema.names
+            yield pa.RecordBatch.from_arrays([pa.array(flat), *(b.column(k).take(times) for k in range(len(names)) if k != 1)], names=["band", *(n for k, n in enumerate(names) if k != 1)])
 
 
 def near_pairs(sizes: np.ndarray, sketches: list[bytes], root: np.ndarray, percent: int, sides: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -279,47 +284,52 @@ def _groups(docs: DataFrame, key: str, text: str, percent: int, block: int, buck
     classes = real.groupBy("digest").agg(F.min(F.struct("doc_id", "pick", "n_shingles", "bands", "sketch")).alias("c"), F.count("*").alias("rows"))
     classes = materialise(classes.select("digest", "rows", F.monotonically_increasing_id().alias("node"), "c.doc_id", "c.pick", F.col("c.n_shingles").alias("size"), "c.bands", "c.sketch"), "classes")
     banded = classes.select("node", "bands").mapInArrow(_band_rows, "band long, node long")
-    shared = banded.groupBy("band").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum")).where("n > 1")
-    # Bands with the same nodes say the same: one of them is enough.
-    buckets = materialise(shared.groupBy("n", "lo", "hi", "sum").agg(F.min("band").alias("band")).select("band", "n"), "buckets")
-    members = spread_join(banded, buckets, "band", "n", F.col("node")).where("own IS NOT NULL").select("band", F.col("own.n").alias("n"), "node")
-    members = materialise(members.join(classes.select("node", "size", "sketch"), "node"), "members")
-    likely = materialise(_by_band(members, bucket).mapInArrow(_likely(percent), "u long, v long").distinct(), "likely")
-    coarse = components(likely, "candidates")
-    count = coarse.groupBy("component").agg(F.count("*").alias("n"))
+    shared = materialise(banded.groupBy("band").agg(F.min("node").alias("least"), F.max("node").alias("last"), F.count("*").alias("n")).where("least < last").select("band", "least", "n"), "bands")
+    stars = spread_join(banded, shared, "band", "n", F.col("node")).where("own.least != node").select(F.col("own.least").alias("u"), F.col("node").alias("v"))
+    coarse = materialise(components(stars, "candidates"), "candidates")
+    count = materialise(coarse.groupBy("component").agg(F.count("*").alias("n")), "counts")
     placed = spread_join(coarse, count, "component", "n", F.col("node")).select("node", "component", F.ceil(F.col("own.n") / block).cast("int").alias("blocks"))
     placed = materialise(placed.withColumn("spot", F.pmod(F.xxhash64("node"), F.col("blocks"))), "placed")
     zero = F.lit(0).cast("long")
     small = placed.where("blocks = 1").select("component", zero.alias("i"), zero.alias("j"), "node", F.col("node").alias("label"))
-    large = placed.where("blocks > 1")
+    large = placed.where("blocks > 1").join(classes.select("node", "bands", "size", "sketch"), "node")
 
     def confirmed(where: DataFrame) -> DataFrame:
-        need = where.select("node").distinct().join(classes, "node").select("node", "pick", "sketch", F.struct("doc_id").alias("k"))
-        copies = real.groupBy("pick").agg(F.count("*").alias("rows"))
-        need = need.join(copies, "pick").dropDuplicates(["pick"])
-        met = spread_join(rows.where("doc_id IS NOT NULL"), need, "pick", "rows", F.monotonically_increasing_id()).where("own.k.doc_id = doc_id")
+        """Links among nodes that are placed in pairs of blocks. Their texts are fetched once."""
+        need = materialise(where.select("node").distinct().join(classes.select("node", "doc_id", "pick", "rows", "sketch"), "node"), "needed")
+        met = spread_join(rows.where("doc_id IS NOT NULL"), need, "pick", "rows", F.monotonically_increasing_id(), merge=True).where("own.doc_id = doc_id")
         own = met.groupBy(F.col("own.node").alias("node")).agg(F.first("own.sketch").alias("sketch"), F.first("text").alias("text"))
         ready = where.join(own, "node").select("component", "i", "j", "node", "sketch", "label", "text")
         return ready.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_confirm(percent, width), "u long, v long")
 
-    if large.isEmpty():
+    def by_band(nodes: DataFrame, first: int, last: int, *more: str) -> DataFrame:
+        """Some bands of nodes that come with their bands and sketches, in order, dealt out where they are large."""
+        types = {f.name: f.dataType.simpleString() for f in nodes.schema}
+        own = nodes.select("node", "bands", "size", "sketch", *more)
+        spread = own.mapInArrow(partial(_band_rows, first=first, last=last), f"band long, node long, size long, sketch binary{''.join(f', {m} {types[m]}' for m in more)}")
+        return _by_band(spread_join(spread, shared, "band", "n", F.col("node")).where("own IS NOT NULL").withColumn("n", F.col("own.n")), bucket, *more)
+
+    if placed.where("blocks > 1").isEmpty():
         links = confirmed(small)
     else:
+        # The first bands join nearly all of a group of near copies. Where they do, the others have nothing to tell.
+        large = materialise(large, "large")
+        likely = materialise(by_band(large, 0, FIRST).mapInArrow(_likely(percent), "u long, v long").distinct(), "likely")
         ends = likely.join(large.select(F.col("node").alias("u"), "component", F.col("spot").alias("a")), "u").join(large.select(F.col("node").alias("v"), F.col("spot").alias("b")), "v")
         ends = ends.select("component", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), F.explode(F.array("u", "v")).alias("node")).distinct()
         first = materialise(confirmed(small.union(ends.withColumn("label", F.col("node")))), "links")
-        label = components(first, "labels").select("node", F.col("component").alias("label"))
-        apart = members.join(large.select("node", "component", "spot"), "node").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        # Bands whose nodes are all connected by now have nothing more to tell.
-        mixed = apart.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).where("lo < hi").select("band", "rows")
-        open_ = spread_join(apart, mixed, "band", "rows", F.col("node")).where("own IS NOT NULL").drop("own")
-        doubt = _by_band(open_, bucket, "component", "label", "spot").mapInArrow(_doubtful(percent), "component long, i long, j long, node long").distinct()
+        label = materialise(components(first, "labels").withColumnRenamed("component", "label"), "labels")
+        labelled = materialise(large.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+        apart = labelled.groupBy("component").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
+        open_ = spread_join(labelled, apart, "component", "rows", F.col("node")).where("own IS NOT NULL").drop("own")
+        doubt = by_band(open_, 0, BANDS, "component", "label", "spot").mapInArrow(_doubtful(percent), "component long, i long, j long, node long").distinct()
         doubt = materialise(doubt.join(label, "node", "left").select("component", "i", "j", "node", F.coalesce("label", "node").alias("label")), "doubtful")
-        links = first.union(confirmed(doubt))
+        links = first if doubt.isEmpty() else first.union(confirmed(doubt))
     linked = components(links, "links")
     named = classes.select("digest", "rows", "node", "doc_id").join(linked, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    named = materialise(named, "named")
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n"))
-    reached = spread_join(named, least, "component", "n", F.col("node")).select("digest", "rows", "own.component_id")
+    reached = materialise(spread_join(named, materialise(least, "least"), "component", "n", F.col("node")).select("digest", "rows", "own.component_id"), "reached")
     full = spread_join(real.select("doc_id", "pick", "n_shingles", "digest"), reached, "digest", "rows", F.col("pick")).select("doc_id", "n_shingles", "own.component_id", "pick")
     rest = signed.where("doc_id IS NULL OR n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "pick")
     return full.union(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
@@ -328,12 +338,12 @@ def _groups(docs: DataFrame, key: str, text: str, percent: int, block: int, buck
 def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT, block: int = BLOCK, bucket: int = BUCKET, width: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of `docs`; shingles are of `width` words.
 
-    Documents with equal words form one class, and the class stands for them from there on. Classes that share a band are compared by size
-    and odd sketch, on narrow rows; a band of more than `bucket` classes is dealt out as pairs of blocks. Of the pairs that are let
-    through, a spanning forest a band makes candidate groups. The texts of a group of up to `block` classes come together once, and every
-    pair that the sketches let through is confirmed on the full sets, words and all, until it is known to be connected. A larger group is
-    confirmed in two steps, in pairs of blocks: a text goes where it has a partner in the forest; then, where it shares a band with a
-    class that the sketches let through and that is not connected to it by then. So texts travel in proportion to their number, but for
+    Documents with equal words form one class, and the class stands for them from there on. Classes that share a band, directly or over
+    others, form a candidate group. The texts of a group of up to `block` classes come together once; size and odd sketch rule out most
+    pairs, the others are confirmed on the full sets, words and all, until they are known to be connected. In a larger group classes are compared by size and
+    sketch within each band only, on narrow rows; a band of more than `bucket` classes is dealt out as pairs of blocks. The group is confirmed in two
+    steps, in pairs of blocks: a text goes where it has a partner in a spanning forest of the pairs that FIRST bands let through; then, where it has a
+    class in a band that is let through and is not connected to it by then. So texts travel in proportion to their number, but for
     large groups of which many pairs are near the bound and not linked: these all have to be looked at.
 
     A link is missed if its pair shares no band (1.4e-7 at the bound, by (1 - 0.8^4)^30) or if its sketch is off by over SLACK standard
