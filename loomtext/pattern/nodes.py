@@ -189,3 +189,12 @@ def width(n: Node, groups: dict[int, Node] | None = None) -> tuple[int, int | No
     if isinstance(n, (Back, Call)):
         return 0, None
     return 0, 0
+
+
+def reach(n: Node) -> int | None:
+    """Most characters before a place that the lookbehinds of a node look at; None for no bound."""
+    if isinstance(n, Look) and n.behind:
+        parts = [width(n.body)[1], *(reach(c) for c in children(n))]
+        return None if None in parts else sum(parts)
+    parts = [reach(c) for c in children(n)]
+    return None if None in parts else max(parts, default=0)

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -15,11 +16,21 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..pattern.engine import Pattern, compile
 from ..pattern.flags import Flag
 from ..pattern.matcher import Found
+from ..pattern.nodes import reach
 
-#: Characters before the open start that are kept for what looks back.
+#: Characters before the open start that are kept for boundaries, on top of what the pattern's lookbehinds reach.
 BEHIND = 64
 
 
+@lru_cache(256)
+def behind(pattern: Pattern) -> int:
+    """Characters before the open start that decide about matches to come; ValueError if a lookbehind of the pattern has no bound."""
+    most = reach(pattern.parsed.root)
+    if most is None:
+        raise ValueError("a lookbehind without a bound would need the whole stream; give its repeats an upper bound")
+    return BEHIND + most
+
+
 @dataclass
 class Feed:
     """The state of one stream: kept text, the offset of its first character in the stream, where the next search begins in it, and where
@@ -53,7 +64,7 @@ class Feed:
             out.append((self.offset + found.start, self.text[found.start : found.end]))
             self.pos = found.end
             self.empty_at = found.end if found.start == found.end else -1
-        drop = max(0, min(self.pos, len(self.text)) - BEHIND)
+        drop = max(0, min(self.pos, len(self.text)) - behind(self.pattern))
         if drop:
             self.text, self.offset, self.pos = self.text[drop:], self.offset + drop, self.pos - drop
             self.empty_at = self.empty_at - drop if self.empty_at >= drop else -1
@@ -64,8 +75,10 @@ def scan_chunks(chunks: DataFrame, pattern: str, flags: Flag | int = 0, *, key:
     """stream_id, index, value of every match in a streaming DataFrame of chunks (key, order, text, last).
 
     State is kept by stream: the open tail of its text and the number of the next chunk. Chunks of one micro-batch are put in order;
-    `last` marks a stream's end, at which its state goes. Chunks must come in order over micro-batches. Null chunks are empty."""
+    `last` marks a stream's end, at which its state goes. Chunks must come in order over micro-batches. Null chunks are empty. A pattern
+    with a lookbehind of no bound is refused."""
     flags = int(flags)
+    behind(compile(pattern, flags))
 
     def work(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         feed = Feed(compile(pattern, flags), *(state.get if state.exists else ()))

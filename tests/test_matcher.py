@@ -9,6 +9,7 @@ import pytest
 from loomtext.pattern.engine import Pattern, compile, escape
 from loomtext.pattern.errors import MatchTimeout, PatternError
 
+#: Subjects of published answers; so are the patterns and spans that go with them.
 FARM = "molasses anaconda foo bar baz smith anderson "
 SNAKE = "anaconda foo bar baz smith anderson"
 SCATTERED = "3oifaowefbaoraofuiebofasebfaobfaorfeoaro"
