@@ -50,7 +50,7 @@ def test_columns_under_a_stream(spark, tmp_path):
     """Operators without state run on a stream of files as they do on a table."""
     texts = ["one 12 two 345", None, "no digits", "7"]
     spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "id long, text string").write.parquet(f"{tmp_path}/in")
-    view = lambda df: df.where(fz.is_match("text", r"\d")).select("id", fz.count("text", r"\d+").alias("n"), fz.replace("text", "(?:two){e<=1}", "2").alias("t"), fz.search("text", r"(\d)(?=\d)")["start"].alias("s"))
+    view = lambda df: df.where(fz.is_match("text", r"\d")).select("id", fz.count("text", r"\d+").alias("n"), fz.replace("text", "(?:two){e<=1}", "2").alias("t"), fz.search("text", r"(\d)(?=\d)")["index"].alias("s"))
     stream = view(spark.readStream.schema("id long, text string").parquet(f"{tmp_path}/in"))
     query = stream.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start(f"{tmp_path}/out")
     query.awaitTermination()
