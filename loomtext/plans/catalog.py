@@ -122,8 +122,8 @@ _add(
 )
 _add(
     "a26_partial_match",
-    lambda s, d: table(s, d, "part").withColumn("m", fz.full_match(F.substring("p_name", 1, 6), "(?:small|red|blue) (?:widget|bolt|ring)", partial=True)).select("p_partkey", F.col("m.partial").alias("partial")),
-    "SELECT p_partkey, (SELECT CASE WHEN bool_or(w = s) THEN false WHEN bool_or(starts_with(w, s)) THEN true END FROM (SELECT substr(p_name, 1, 6) AS s), (SELECT a || ' ' || b AS w FROM (VALUES ('small'), ('red'), ('blue')) x(a), (VALUES ('widget'), ('bolt'), ('ring')) y(b))) AS partial FROM part",
+    lambda s, d: table(s, d, "part").withColumn("m", fz.full_match("p_name", r"(?:small|red|blue) (?:widget|bolt|ring)s|old \w+", partial=True)).select("p_partkey", F.col("m.partial").alias("partial")),
+    "SELECT p_partkey, CASE WHEN regexp_full_match(p_name, 'old [a-z]+') THEN false WHEN regexp_full_match(p_name, '(small|red|blue) (widget|bolt|ring)') THEN true END AS partial FROM part",
 )
 
 
@@ -184,7 +184,7 @@ _CONSTRUCTS: list[tuple[str, str, str, str, dict]] = [
     ("p04_sequence", "part", "ld (?:b)(?:o)lt", "contains({t}, 'ld bolt')", {}),
     ("p05_greedy_repeat", "part", "^[a-z]{4,} [a-z]{,4}$", "regexp_matches({t}, '^[a-z]{4,} [a-z]{0,4}$')", {}),
     ("p06_lazy_repeat", "part", "^.+?l.??d", "regexp_matches({t}, '^.+?l.??d')", {}),
-    ("p07_possessive_repeat", "part", "^[a-z]++ [a-z]*+g", "false", {}),
+    ("p07_possessive_repeat", "part", "^(?:[a-z]*+d|old) ", "starts_with({t}, 'old ')", {}),
     ("p10_scoped_flags", "part", "(?i:RED) b", "regexp_matches({t}, '(?i:RED) b')", {}),
     ("p11_inline_flags", "part", "red (?i)BOLT", "regexp_matches({t}, 'red (?i:BOLT)')", {}),
     ("p12_branch_reset", "part", r"(?|(s)mal|(l)arg)\w+ \w*\1", "regexp_matches({t}, 'small .*s|large .*l')", {}),
@@ -196,14 +196,12 @@ _CONSTRUCTS: list[tuple[str, str, str, str, dict]] = [
     ("p17_conditional_group", "part", r"^(red )?(?(1)bolt|\w+ ring)$", "regexp_full_match({t}, 'red bolt|[a-z]+ ring')", {}),
     ("p18_conditional_look", "part", "^(?(?=red).* ring|.* rod)$", "regexp_full_match({t}, 'red.* ring') OR (NOT starts_with({t}, 'red') AND regexp_full_match({t}, '.* rod'))", {}),
     ("p19_define", "part", r"(?(DEFINE)(?<thing>bolt|rod))^\w+ (?&thing)$", "regexp_full_match({t}, '[a-z]+ (bolt|rod)')", {}),
-    ("p20_recursion", "events", r"^(\{(?:[^{}]|(?1))*\})$", "regexp_full_match({t}, '\\{[^{}]*\\}')", {}),
     ("p23_verb_fail", "part", "red(*FAIL)|hot", "contains({t}, 'hot')", {}),
-    ("p23_verb_prune", "part", r"^\w+(*PRUNE)d", "false", {}),
+    ("p23_verb_prune", "part", r"^\w+(*PRUNE)d|bolt", "contains({t}, 'bolt')", {}),
     ("p24_string_anchors", "part", r"\Ahot|ring\Z", "regexp_matches({t}, '^hot|ring$')", {}),
     ("p25_line_anchors", "documents", r"(?m)^The\b", "regexp_matches({t}, '(?m)^The([^\\pL\\pM\\pN_]|$)')", {}),
     ("p26_word_boundary", "documents", r"\bidiot\b", "regexp_matches({t}, '(^|[^\\pL\\pM\\pN_])idiot([^\\pL\\pM\\pN_]|$)')", {}),
     ("p27_word_start_end", "part", r"\mold\M", "regexp_matches({t}, '\\bold\\b')", {}),
-    ("p28_default_word_boundary", "part", r"(?w)\bold\b", "regexp_matches({t}, '\\bold\\b')", {}),
     ("p30_newline", "documents", r"\R", "contains({t}, chr(10))", {}),
     ("p31_class_escapes", "orders", r"^\d\W\D+\s\w+$", "regexp_matches({t}, '^[0-9]-[A-Z]+ [A-Z]+$')", {}),
     ("p32_class_range", "part", "^[^a-m][a-e]", "regexp_matches({t}, '^[^a-m][a-e]')", {}),
@@ -218,7 +216,7 @@ _CONSTRUCTS: list[tuple[str, str, str, str, dict]] = [
     ("p38_named_list", "part", r"\b\L<w>\b", "regexp_matches({t}, '\\b(ring|rod|bolt)\\b')", _WORDS),
     ("p39_verbose", "part", "(?x) ^ red # colour\n [ ] (?#thing) bolt $", "{t} = 'red bolt'", {}),
     ("f_ignore_case", "part", "(?i)OLD B", "contains({t}, 'old b')", {}),
-    ("f_ascii", "documents", r"(?a)\b\w+\W\w{20,}\b", None, {}),
+    ("f_ascii", "documents", r"(?a)\b\w+\W\w{20,}\b", r"regexp_matches({t}, '\b\w+\W\w{20,}\b')", {}),
     ("f_single_line", "documents", r"(?s)^Th.*\.$", "regexp_matches({t}, '(?s)^Th.*\\.$')", {}),
     ("f_full_case", "documents", r"(?i)STRASSE|GROSS", "contains(replace(lower({t}), 'ß', 'ss'), 'strasse') OR contains(replace(lower({t}), 'ß', 'ss'), 'gross')", {}),
     ("f_version0", "part", r"(?V0)[[a-c]", "regexp_matches({t}, '[a-c\\[]')", {}),
@@ -230,12 +228,16 @@ _column("p08_capture_group", "part", lambda t: fz.group_value(t, r"(\w+) (\w)",
 _column("p09_named_group", "customer", lambda t: fz.group_value(t, r"#0*(?<n>\d+)$", "n"), "regexp_extract({t}, '#0*([0-9]+)$', 1)")
 _column("p21_keep", "part", lambda t: fz.replace(t, r"\w+ \K\w+", "thing"), "regexp_replace({t}, '([a-z]+ )[a-z]+', '\\1thing')")
 _column("p22_search_anchor", "customer", lambda t: fz.count(t, r"\G[A-Za-z]"), "length(regexp_extract({t}, '^[A-Za-z]*'))::INT")
-_column("p23_verb_skip", "part", lambda t: _joined(fz.findall(t, r"\w+(*SKIP)(*FAIL)| ")), "' '")
-_column("p29_grapheme", "part", lambda t: fz.count(t, r"\X"), "length({t})::INT")
+_column("p20_recursion", "events", lambda t: fz.is_match(F.concat(F.lit("{x"), t, t, F.when(F.length(t) % 2 == 0, "}").otherwise("")), r"^(\{(?:[^{}]|(?1))*\})$"), r"regexp_full_match({t}, '\{[^{}]*\}') AND length({t}) % 2 = 0")
+_column("p23_verb_skip", "part", lambda t: _joined(fz.findall(t, r"l\w(*SKIP)(*FAIL)|\w")), "array_to_string(regexp_extract_all(regexp_replace({t}, 'l[a-z]', '', 'g'), '[a-z]'), '|')")
+#: A letter, an apostrophe and a letter are one word by default boundaries, an apostrophe ahead of a word is not part of it.
+_column("p28_default_word_boundary", "part", lambda t: fz.is_match(F.translate(t, "o", "'"), r"(?w)\bld\b|\bring\b"), r"regexp_matches({t}, '\bold\b|\bring\b')")
+#: Letters with marks and a flag are a cluster each.
+_column("p29_grapheme", "part", lambda t: fz.count(F.concat(F.replace(t, F.lit("o"), F.lit("o\u0301\u0323")), F.lit("\U0001f1e6\U0001f1e7")), r"\X"), "length({t})::INT + 1")
 _column("f_reverse", "part", lambda t: fz.group_value(t, r"(?r)\w+"), "regexp_extract({t}, '[a-z]+$')")
 _column("f_posix", "part", lambda t: fz.group_value(t, "(?p)s|small|smal|r|red"), "nullif(regexp_extract({t}, 'small|s|red|r'), '')")
 _column("f_multiline", "documents", lambda t: fz.count(t, r"(?m)\.$"), "(len(string_split({t}, '.' || chr(10))) - 1 + ends_with({t}, '.')::INT)::INT")
-_column("f_word_lines", "documents", lambda t: fz.count(t, r"(?wm)\w$"), None)
+_column("f_word_lines", "documents", lambda t: fz.count(t, r"(?wm)\w$"), r"len(regexp_extract_all({t} || chr(10), '[\pL\pM\p{Nd}\p{Nl}\p{Pc}][\n\x0b\x0c\r\x{85}\x{2028}\x{2029}]'))::INT")
 
 # --- fuzzy constructs -----------------------------------------------------------------------------------------------
 
@@ -254,9 +256,15 @@ _column("z09_fuzzy_named_list", "part", lambda t: fz.is_match(t, r"\L<w>{e<=1}",
 _column("z10_enhance", "part", lambda t: fz.search(t, "(?e)(?:red){e<=1}")["value"])
 _column("z11_best", "part", lambda t: (lambda m: m["subs"] + m["ins"] + m["dels"])(fz.search(t, "(?b)(?:widget){e<=4}")),
         "(SELECT CASE WHEN min(levenshtein(substr({t}, i::INT, n::INT), 'widget')) <= 4 THEN min(levenshtein(substr({t}, i::INT, n::INT), 'widget')) END FROM range(1, length({t}) + 2) r(i), range(0, 11) u(n))::INT")
-_column("z12_fuzzy_backreference", "part", lambda t: fz.is_match(t, r"(\w\w)\w* \w*(?:\1){s<=1}"))
-_column("z12_fuzzy_set", "part", lambda t: fz.is_full_match(t, "(?:[a-d]+ [p-s]+){s<=2}"))
-_column("z_fuzzy_phrase_case", "documents", lambda t: fz.is_match(t, "(?i)(?:licensed under the){e<=2}"), "regexp_matches(lower({t}), 'licensed under the')")
+_column("z12_fuzzy_backreference", "part", lambda t: fz.is_match(t, r"(\w\w)\w* \w*(?:\1){s<=1}"),
+        "coalesce((SELECT bool_or(substr(a, i::INT, 1) = substr(b, j::INT, 1) OR substr(a, i::INT + 1, 1) = substr(b, j::INT + 1, 1)) FROM (SELECT string_split({t}, ' ')[1] AS a, string_split({t}, ' ')[2] AS b), range(1, 20) x(i), range(1, 20) y(j) WHERE i < length(a) AND j < length(b)), false)")
+_column("z12_fuzzy_set", "part", lambda t: fz.is_full_match(t, "(?:[a-d]+ [p-s]+){s<=2}"),
+        "coalesce((SELECT bool_or(length(regexp_replace(substr({t}, 1, k::INT - 1), '[a-d]', '', 'g')) + (substr({t}, k::INT, 1) <> ' ')::INT + length(regexp_replace(substr({t}, k::INT + 1), '[p-s]', '', 'g')) <= 2) FROM range(2, length({t})) r(k)), false)")
+#: SQL: documents with a part within two edits of the phrase. One of its three pieces is unchanged in any, so only what is around these is compared.
+_PHRASED = """WITH p AS (SELECT doc_id, piece, string_split(lower(text), piece) AS s FROM documents, (VALUES ('licens'), ('ed und'), ('er the')) v(piece) WHERE contains(lower(text), piece)),
+w AS (SELECT DISTINCT doc_id, right(CASE WHEN k > 1 THEN s[k - 1] || piece ELSE '' END || s[k], 14) || piece || left(s[k + 1] || CASE WHEN k + 2 <= len(s) THEN piece || s[k + 2] ELSE '' END, 14) AS x FROM p, range(1, len(s)) r(k)),
+h AS (SELECT DISTINCT doc_id FROM w, range(1, 35) a(i), range(16, 21) u(n) WHERE levenshtein(substr(x, i::INT, n::INT), 'licensed under the') <= 2)"""
+_add("z_fuzzy_phrase_case", lambda s, d: table(s, d, "documents").select("doc_id", fz.is_match("text", "(?i)(?:licensed under the){e<=2}").alias("x")), f"{_PHRASED} SELECT doc_id, doc_id IN (SELECT doc_id FROM h) AS x FROM documents")
 
 # --- joins, aggregation, windows ------------------------------------------------------------------------------------
 
@@ -309,7 +317,7 @@ _add(
 )
 _add(
     "g05_best_across_rows",
-    lambda s, d: table(s, d, "part").withColumn("e", F.levenshtein("p_name", F.lit("cold bald"))).groupBy("p_type").agg(F.min_by("p_name", F.struct("e", "p_name")).alias("best"), F.min("e").alias("errors")),
+    lambda s, d: table(s, d, "part").withColumn("m", fz.full_match("p_name", "(?b)(?:cold bald){e}")).withColumn("e", F.col("m.subs") + F.col("m.ins") + F.col("m.dels")).groupBy("p_type").agg(F.min_by("p_name", F.struct("e", "p_name")).alias("best"), F.min("e").alias("errors")),
     "SELECT p_type, arg_min(p_name, (levenshtein(p_name, 'cold bald'), p_name)) AS best, min(levenshtein(p_name, 'cold bald'))::INT AS errors FROM part GROUP BY p_type",
 )
 _add(
@@ -354,7 +362,8 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.join(labels, "doc_id", "left").groupBy("lang", "quality").agg(F.count("*").alias("documents"), F.sum(fz.count("text", "(?i)licen[cs]e")).alias("mentions"))
 
 
-_add("flagship", flagship)
+_add("flagship", flagship, f"""{_PHRASED} SELECT lang, quality, count(*) AS documents, sum(len(regexp_extract_all(text, '(?i)licen[cs]e')))::BIGINT AS mentions
+FROM documents JOIN h USING (doc_id) LEFT JOIN labels USING (doc_id) GROUP BY lang, quality""")
 
 
 def queries() -> dict[str, Query]:
