@@ -159,8 +159,10 @@ def references(counts: DataFrame, common: Mapping[str, Sequence[str]] = COMMON)
     return found
 
 
-def verdict(m: Column, refs: Reference) -> Column:
+def verdict(m: Column, refs: Reference, lang: Column) -> Column:
     """struct(base_failed, class_distance, common_distance, kept) of measured text. See judge()."""
+    comparable = lang.isNull() | lang.isin(list(refs)) if refs else F.lit(True)
+
     def least(counts: Column, which: int) -> Column:
         if not refs:
             return F.lit(0.0)
@@ -173,8 +175,8 @@ def verdict(m: Column, refs: Reference) -> Column:
         both = (classes > MAX_BOTH_DISTANCES[0]) & (words > MAX_BOTH_DISTANCES[1])
         return F.struct(failed.alias("base_failed"), d["classes"].alias("class_distance"), d["words"].alias("common_distance"), (~failed & ~alone & ~both).alias("kept"))
 
-    classes = F.when(m["chars"] >= MIN_CHARS_FOR_CLASSES, least(m["c"], 0))
-    words = F.when(m["n_words"] >= MIN_WORDS_FOR_COMMON, least(m["v"], 1))
+    classes = F.when(comparable & (m["chars"] >= MIN_CHARS_FOR_CLASSES), least(m["c"], 0))
+    words = F.when(comparable & (m["n_words"] >= MIN_WORDS_FOR_COMMON), least(m["v"], 1))
     return bound(F.struct(classes.alias("classes"), words.alias("words")), decide)
 
 
@@ -182,17 +184,20 @@ def judge(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, class_distance, common_distance, kept.
 
     A document's histograms of character classes and of common words are compared with those of each language, taken from all documents
-    of the corpus; it is kept if it passes the base rules and its least distances are within the bounds. Below the length guards a
-    distance is null and rejects nothing. Null texts count as empty and fail the base rules; with no reference (an empty table, only
+    of the corpus; it is kept if it passes the base rules and its least distances are within the bounds. Below the length guards, and for
+    a named language that there is no reference of, a distance is null and rejects nothing. Null texts count as empty and fail the base rules; with no reference (an empty table, only
     unknown languages) the distances are 0. Rows are judged alone: repeated rows each get a row. Texts are read once: their counts are
     written to the shared folder, and references and verdicts come from there."""
     counts = materialise(docs.select(docs[key].alias("doc_id"), docs[lang].alias("lang"), measures(docs[text], common).alias("m")), "rule-counts")
     refs = references(counts, common)
-    out = counts.select("doc_id", "m", verdict(F.col("m"), refs).alias("r"))
+    out = counts.select("doc_id", "m", verdict(F.col("m"), refs, F.col("lang")).alias("r"))
     return out.select("doc_id", "m.n_words", "m.word_chars", "m.n_symbols", "m.n_dup_lines", "m.n_repeat_words", "r.base_failed", "r.class_distance", "r.common_distance", "r.kept")
 
 
 def passing(docs: DataFrame, *, text: str = "text", lang: str = "lang", common: Mapping[str, Sequence[str]] = COMMON) -> DataFrame:
-    """The rows of `docs`, unchanged, that judge() keeps. Texts are read twice, once for the references, instead of being shuffled."""
-    refs = references(materialise(docs.select(docs[lang].alias("lang"), measures(docs[text], common, base=False).alias("m")), "rule-counts"), common)
-    return docs.where(bound(measures(docs[text], common), lambda m: verdict(m, refs)["kept"]))
+    """The rows of `docs`, unchanged, that judge() keeps. Texts are measured once and written beside their counts, from which references
+    and verdicts come."""
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("doc")
+    counted = materialise(docs.select(whole, docs[lang].alias("lang"), measures(docs[text], common).alias("m")), "rule-counts")
+    refs = references(counted.select("lang", "m"), common)
+    return counted.where(verdict(F.col("m"), refs, F.col("lang"))["kept"]).select("doc.*")

@@ -11,8 +11,17 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii
 
-STRICT = ("casino", "porn", "xxx", "viagra", "cialis", "escort", "hentai", "warez", "malware", "phishing")
-SOFT = ("ads", "bets", "bonus", "cheap", "clickbait", "free", "jackpot", "loans", "pills", "poker", "replica", "slots", "spam", "track", "win")
+#: Terms of which one hit rejects, and terms of which several different ones do.
+STRICT = tuple(
+    """adultfilm bestiality camgirl camgirls casino casinos cialis cracked-apk crackz cumshot escort escorts fakeid footfetish gambling-site hentai hardcore-sex incest-porn keygen keygens livesex
+    malware milf milfs nudes onlinecasino payday-loan phishing porn porno pornhub pornos pornstar pornstars putlocker ransomware redtube sexcam sexcams sexshop sexvideo sexvideos spyware tramadol
+    upskirt viagra warez webcamsex xhamster xnxx xvideos xxx youporn""".split()
+)
+SOFT = tuple(
+    """adult ads affiliate baccarat bet bets betting binary-options bingo blackjack bonus bonuses cheap clickbait cracked dating deals debt discount discounts download-now forex free fuck
+    gambling giveaway gossip hacks hot-girls jackpot keno loan loans lottery naked nude odds payday pharmacy pills poker popups prizes promo-code replica replicas roulette seo sexy sex slot slots spam
+    sportsbook sweepstakes torrent torrents track tracker tracking wager weightloss win winner""".split()
+)
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 DISTINCT_SOFT = 2
 

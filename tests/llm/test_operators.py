@@ -360,6 +360,57 @@ def test_quality(spark, odd, odd_rows):
     assert quality_gam.scored(odd, marks.where("false")).select("score").distinct().count() == 1
 
 
+def test_gam_by_brute_force(spark):
+    """Scores by another way: features counted in plain Python, bins and tables looked up one by one."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    model = quality_gam.train(docs, labels)
+    vocabulary = {w for ws in rules.COMMON.values() for w in ws}
+
+    def features(t: str) -> list[float]:
+        w = [x.translate(LOW) for x in split(t)]
+        kinds = Counter("low" if "a" <= c <= "z" else "up" if "A" <= c <= "Z" else "digit" if "0" <= c <= "9" else "exclaim" if c in "!?" else "bar" if c == "|" else "symbol" if c in "#*$%&<>=+_~^{}[]\\/@`" else "point" if c in ".,;:'\"()-" else "rest" for c in t)
+        wide = sum(c > "\x7f" for c in t)
+        lines = t.split("\n")
+        lines = [x for x in lines if x]
+        counts = Counter(w)
+        # A byte of white space or of a character beyond ASCII is of no kind; such bytes are taken off a word's length, and its characters added.
+        none = sum(len(c.encode()) for c in t if not (c.isascii() and not re.match(r"[\x00-\x20\x7f]", c)))
+        nw, nc, nl = max(len(w), 1), max(len(t), 1), max(len(lines), 1)
+        solid = kinds["low"] + kinds["up"] + wide
+        return [math.log1p(len(w)), (len(t) - none) / nw * (len(w) > 0) + wide / nw, kinds["up"] / max(solid, 1), wide / nc, kinds["digit"] / nc, kinds["exclaim"] / nw, kinds["bar"] / nw, kinds["symbol"] / nw,
+                kinds["point"] / nw, len(counts) / nw, sum(a == b for a, b in zip(w, w[1:])) / nw, max(counts.values(), default=0) / nw, sum(x in vocabulary for x in w) / nw, (len(lines) - len(set(lines))) / nl, math.log1p(len(w) / nl)]
+
+    own = {r.doc_id: r.score for r in quality_gam.scored(docs, labels).collect()}
+    for r in docs.collect():
+        x = features(r.text or "")
+        at = [sum(v >= e for e in edges) for v, edges in zip(x, model.edges, strict=True)]
+        raw = model.bias + sum(t[k] for t, k in zip(model.main, at, strict=True)) + sum(t[at[i], at[j]] for (i, j), t in model.pairs.items())
+        assert own[r.doc_id] == pytest.approx(1 / (1 + math.exp(-raw)), abs=1e-9), r.doc_id
+
+
+def test_components(spark):
+    """A long path, a star with a hot node, a ring and pairs."""
+    from loomtext.llm.graph import components
+
+    rng = np.random.default_rng(3)
+    path = rng.permutation(3000)
+    edges = [(int(a), int(b)) for a, b in zip(path, path[1:])]
+    edges += [(5000 + k, 4999) for k in range(4000)] + [(10_000 + k, 10_000 + (k + 1) % 500) for k in range(500)] + [(20_000 + 2 * k, 20_001 + 2 * k) for k in range(300)] + [(7, 7), (30_000, 30_000)]
+    rng.shuffle(edges)
+    got = {r.node: r.component for r in components(spark.createDataFrame([tuple(map(int, e)) for e in edges], "u long, v long").repartition(7), "test").collect()}
+    want = {k: 0 for k in range(3000)} | {4999 + k: 4999 for k in range(4001)} | {10_000 + k: 10_000 for k in range(500)} | {20_000 + k: 20_000 + k - k % 2 for k in range(600)}
+    assert got == want
+    assert components(spark.createDataFrame([], "u long, v long"), "test").count() == 0
+
+
+def test_languages_without_a_reference_are_left_alone(spark):
+    text = "\u0441\u043b\u043e\u0432\u0430 \u0438 \u0435\u0449\u0435 %d. "
+    docs = spark.createDataFrame([(k, " ".join(text % (k * 50 + j) for j in range(30)), "ru") for k in range(3)], "doc_id long, text string, lang string")
+    docs = docs.union(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").where("doc_id > 2"))
+    rows = rules.judge(docs).where("doc_id <= 2").collect()
+    assert len(rows) == 3 and all(r.kept and r.class_distance is None for r in rows)
+
+
 def test_gam_learns_an_interaction():
     rng = np.random.default_rng(4)
     x = rng.random((4000, 4))
