@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Callable, Iterable, Iterator, Mapping
 from dataclasses import dataclass
@@ -12,6 +13,7 @@ from . import nodes as N
 from .errors import PatternError
 from .flags import Flag
 from .matcher import Found, Machine
+from .nodes import weight
 from .parser import Parsed, parse
 from .quick import fits, quick, single_captures
 
@@ -123,22 +125,39 @@ class Match:
         return "".join(out)
 
 
+#: Nodes that a pattern may have unless the caller allows more.
+MAX_NODES = 1_000_000
+
+
 class Pattern:
     """A pattern with its options, named lists, and budgets of steps and seconds for one call; it can be pickled and is cached by worker."""
 
-    def __init__(self, pattern: str, flags: Flag = Flag.NONE, lists: Mapping[str, Iterable[str]] | None = None, *, steps: int | None = None, seconds: float | None = None, on_timeout: str = "error"):
+    def __init__(self, pattern: str, flags: Flag = Flag.NONE, lists: Mapping[str, Iterable[str]] | None = None, *, steps: int | None = None, seconds: float | None = None, on_timeout: str = "error", max_nodes: int = MAX_NODES):
+        if max_nodes < 1:
+            raise ValueError("max_nodes is positive")
         if on_timeout not in ("error", "null"):
             raise ValueError("on_timeout is error or null")
         self.pattern, self.given, self.steps, self.seconds, self.on_timeout = pattern, Flag(flags), steps, seconds, on_timeout
         self.lists = {k: tuple(v) for k, v in (lists or {}).items()}
-        self.parsed: Parsed = parse(pattern, self.given, self.lists)
+        self.max_nodes = max_nodes
+        deep = sys.getrecursionlimit()
+        sys.setrecursionlimit(max(deep, 50_000))  # some frames for each of the nested groups that the parser allows
+        try:
+            self.parsed: Parsed = parse(pattern, self.given, self.lists)
+            heavy = weight(self.parsed.root) > max_nodes
+        except RecursionError:
+            raise PatternError("pattern nested too deeply", pattern) from None
+        finally:
+            sys.setrecursionlimit(deep)
+        if heavy:
+            raise PatternError(f"the pattern needs more than {max_nodes} nodes, with counted repeats written out; allow more by max_nodes or reduce the counts", pattern)
         self.machine = Machine(self.parsed, steps, seconds)
         # Budgets are the machine's alone; repeated captures are too.
         self.quick = quick(self.parsed) if steps is None and seconds is None else None
         self.quick_records = self.quick if self.quick and single_captures(self.parsed) else None
 
     def __reduce__(self):
-        return compile, (self.pattern, self.given, tuple((k, v) for k, v in self.lists.items()), self.steps, self.seconds, self.on_timeout)
+        return compile, (self.pattern, self.given, tuple((k, v) for k, v in self.lists.items()), self.steps, self.seconds, self.on_timeout, self.max_nodes)
 
     # --- what the pattern is ----------------------------------------------------------------------------------------
 
@@ -414,17 +433,17 @@ class Pattern:
 
 
 @lru_cache(256)
-def _compiled(pattern: str, flags: Flag, lists: tuple, steps: int | None, seconds: float | None, on_timeout: str) -> Pattern:
-    return Pattern(pattern, flags, dict(lists), steps=steps, seconds=seconds, on_timeout=on_timeout)
+def _compiled(pattern: str, flags: Flag, lists: tuple, steps: int | None, seconds: float | None, on_timeout: str, max_nodes: int) -> Pattern:
+    return Pattern(pattern, flags, dict(lists), steps=steps, seconds=seconds, on_timeout=on_timeout, max_nodes=max_nodes)
 
 
-def compile(pattern: str | Pattern, flags: Flag | int = Flag.NONE, lists: Mapping[str, Iterable[str]] | tuple | None = None, steps: int | None = None, seconds: float | None = None, on_timeout: str = "error") -> Pattern:  # noqa: A001
+def compile(pattern: str | Pattern, flags: Flag | int = Flag.NONE, lists: Mapping[str, Iterable[str]] | tuple | None = None, steps: int | None = None, seconds: float | None = None, on_timeout: str = "error", max_nodes: int = MAX_NODES) -> Pattern:  # noqa: A001
     """A pattern from the cache of this process, compiled if it is not there. A text on which it uses up its steps or seconds raises
-    MatchTimeout or, in columns with on_timeout null, gives null."""
+    MatchTimeout or, in columns with on_timeout null, gives null. A pattern of more than `max_nodes` nodes is refused."""
     if isinstance(pattern, Pattern):
         return pattern
     items = lists if isinstance(lists, tuple) else tuple(sorted((k, tuple(v)) for k, v in (lists or {}).items()))
-    return _compiled(pattern, Flag(flags), items, steps, seconds, on_timeout)
+    return _compiled(pattern, Flag(flags), items, steps, seconds, on_timeout, max_nodes)
 
 
 def escape(text: str, special_only: bool = True, literal_spaces: bool = False) -> str:

@@ -198,3 +198,10 @@ def reach(n: Node) -> int | None:
         return None if None in parts else sum(parts)
     parts = [reach(c) for c in children(n)]
     return None if None in parts else max(parts, default=0)
+
+
+def weight(n: Node) -> int:
+    """Nodes of a pattern whose counted repeats are written out, one copy of the body and a link for each repetition."""
+    if isinstance(n, Repeat):
+        return 3 + (n.high if n.high is not None else n.low + 1) * (weight(n.body) + 1)
+    return 1 + sum(weight(c) for c in children(n))

@@ -179,3 +179,15 @@ def test_quick_agrees():
         assert view(fast) == view(slow), (pattern, text)
         assert (fast.count(text), fast.is_match(text)) == (slow.count(text), slow.is_match(text))
     assert tried > 400
+
+
+def test_node_budget():
+    assert compile("a{50}", max_nodes=200).is_match("a" * 50)
+    for pattern, most in (("a{200}", 200), ("(a{100}){100}", 500), ("((a{1000}){1000}){1000}", 1_000_000)):
+        with pytest.raises(PatternError, match=str(most)):
+            compile(pattern, max_nodes=most)
+    with pytest.raises(ValueError, match="positive"):
+        compile("a", max_nodes=0)
+    with pytest.raises(PatternError, match="too deeply"):
+        compile("(" * 600 + "a" + ")" * 600)
+    assert compile("(" * 300 + "a" + ")" * 300).is_full_match("a")
