@@ -13,6 +13,8 @@ from .common import materialise, partitions
 
 #: A node with more than this share of the edges (and over 1,000) is hot; so at most 2 / HOT_SHARE are.
 HOT_SHARE = 1 / 1000
+#: Edges, of 16 bytes, that one task solves.
+FEW = 1_000_000
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -40,34 +42,47 @@ def _stars(edges: DataFrame, large: bool, most: float) -> DataFrame:
     return out.where("u != v").distinct()
 
 
+def _stars_of(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    """Stars around the least node of each component of some edges."""
+    nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
+    root = np.arange(len(nodes))
+    a, z = ends[: len(u)], ends[len(u) :]
+    while True:
+        low, before = np.minimum(root[a], root[z]), root.copy()
+        np.minimum.at(root, root[a], low)
+        np.minimum.at(root, root[z], low)
+        root = root[root]
+        if (root == before).all():
+            break
+    far = np.flatnonzero(root != np.arange(len(root)))
+    return pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[root[far]])], names=["u", "v"])
+
+
 def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges of a task, some at a time, to stars around the least node of each of their components."""
+    """Edges of a task, a batch at a time, to stars."""
     for b in batches:
-        u, v = np.asarray(b.column(0), np.int64), np.asarray(b.column(1), np.int64)
-        nodes, ends = np.unique(np.concatenate([u, v]), return_inverse=True)
-        root = np.arange(len(nodes))
-        a, z = ends[: len(u)], ends[len(u) :]
-        while True:
-            low = np.minimum(root[a], root[z])
-            before = root.copy()
-            np.minimum.at(root, root[a], low)
-            np.minimum.at(root, root[z], low)
-            root = root[root]
-            if (root == before).all():
-                break
-        far = np.flatnonzero(root != np.arange(len(root)))
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[far]), pa.array(nodes[root[far]])], names=["u", "v"])
-
-
-def components(edges: DataFrame, what: str) -> DataFrame:
+        yield _stars_of(np.asarray(b.column(0), np.int64), np.asarray(b.column(1), np.int64))
+
+
+def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All edges of a task at once to stars."""
+    parts = [(np.asarray(b.column(0), np.int64), np.asarray(b.column(1), np.int64)) for b in batches]
+    if parts:
+        yield _stars_of(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+
+
+def components(edges: DataFrame, what: str, few: int = FEW) -> DataFrame:
     """node, component (its least node) of each node of `edges` (columns u, v, long). Nodes without an edge are not listed.
 
-    Tasks first contract what they have. Then each round is two exchanges of narrow rows and is written to the shared folder, so the plan
-    stays short and a lost executor costs one round; the number of rounds grows with the logarithm of the longest path. Shuffles are sized
-    by the number of edges."""
+    Tasks first contract what they have. Up to `few` edges that are left, by count, one task solves the rest. Beyond, each round is two
+    exchanges of narrow rows and is written to the shared folder, so the plan stays short and a lost executor costs one round; the number
+    of rounds grows with the logarithm of the longest path. Shuffles are sized by the number of edges."""
     spark = edges.sparkSession
     edges = materialise(edges.where("u != v").mapInArrow(_contracted, "u long, v long"), what)
     before = _state(edges)
+    if before[0] <= few:
+        edges = materialise(edges.coalesce(1).mapInArrow(_solved, "u long, v long"), what)
+        before = (0,)
     while before[0]:
         most = max(1000, HOT_SHARE * before[0])
         with partitions(spark, before[0]):

@@ -388,7 +388,8 @@ def test_gam_by_brute_force(spark):
         assert own[r.doc_id] == pytest.approx(1 / (1 + math.exp(-raw)), abs=1e-9), r.doc_id
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [10**6, 0])
+def test_components(spark, few):
     """A long path, a star with a hot node, a ring and pairs."""
     from loomtext.llm.graph import components
 
@@ -397,10 +398,10 @@ def test_components(spark):
     edges = [(int(a), int(b)) for a, b in zip(path, path[1:])]
     edges += [(5000 + k, 4999) for k in range(4000)] + [(10_000 + k, 10_000 + (k + 1) % 500) for k in range(500)] + [(20_000 + 2 * k, 20_001 + 2 * k) for k in range(300)] + [(7, 7), (30_000, 30_000)]
     rng.shuffle(edges)
-    got = {r.node: r.component for r in components(spark.createDataFrame([tuple(map(int, e)) for e in edges], "u long, v long").repartition(7), "test").collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame([tuple(map(int, e)) for e in edges], "u long, v long").repartition(7), "test", few).collect()}
     want = {k: 0 for k in range(3000)} | {4999 + k: 4999 for k in range(4001)} | {10_000 + k: 10_000 for k in range(500)} | {20_000 + k: 20_000 + k - k % 2 for k in range(600)}
     assert got == want
-    assert components(spark.createDataFrame([], "u long, v long"), "test").count() == 0
+    assert components(spark.createDataFrame([], "u long, v long"), "test", few).count() == 0
 
 
 def test_languages_without_a_reference_are_left_alone(spark):
