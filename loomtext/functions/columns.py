@@ -53,8 +53,19 @@ def java_form(p: Pattern, wrap: str = "{}") -> str | None:
         return None
 
 
+def near_form(p: Pattern, text: Column) -> Column | None:
+    """A JVM test whether a fuzzy text is near, if the distance alone decides."""
+    try:
+        pieces, wide, whole = J.near(p)
+    except J.NotJava:
+        return None
+    ascii_ = F.octet_length(text) == F.length(text)
+    return F.when(ascii_ | ~text.rlike(wide), text.rlike(pieces)).otherwise(text.rlike(whole))
+
+
 def tier(pattern: str | Pattern, flags: Flag | int = 0, lists: Lists = None, what: str = "is_match") -> str:
-    """Where a call of `what` runs: literal, java, filtered (pieces in the JVM, matcher in Python) or matcher."""
+    """Where a call of `what` runs: literal, java, near (a fuzzy text's distance in the JVM), filtered (pieces in the JVM, matcher in Python) or
+    matcher."""
     p = compile(pattern, flags, lists)
     if literal(p) and what in ("is_match", "count"):
         return "literal"
@@ -66,6 +77,11 @@ def tier(pattern: str | Pattern, flags: Flag | int = 0, lists: Lists = None, wha
         fits = False
     if fits and java_form(p) is not None:
         return "java"
+    if what == "is_match":
+        try:
+            return "near" if J.near(p) else ""
+        except J.NotJava:
+            pass
     return "filtered" if p.machine.sieve else "matcher"
 
 
@@ -186,6 +202,9 @@ def is_match(text: Text, pattern: str | Pattern, flags: Flag | int = 0, lists: L
         form = java_form(p)
         if form is not None:
             return t.rlike(form)
+        form = near_form(p, t)
+        if form is not None:
+            return form
     return _run(p, "boolean", lambda p, s: p.is_match(s, beginning, length), t, missing=False)
 
 

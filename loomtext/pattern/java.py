@@ -6,7 +6,7 @@ from . import nodes as N
 from .charset import cases, java_char, java_property
 from .engine import Pattern
 from .flags import Flag
-from .matcher import expansions, full_fold
+from .matcher import expansions, full_fold, fuzzy_words, may_expand
 
 _META = frozenset("\\^$.|?*+()[]{}-&~#<>=!:, \t\n\r\x0b\x0c")
 
@@ -144,6 +144,72 @@ def _folded(text: str) -> str:
     return "".join(out)
 
 
+#: Characters of a Java pattern beyond which a fuzzy text is left to the matcher.
+MOST_NEAR = 400_000
+
+
+class _Near:
+    """Java patterns of a text with up to some errors, written out: at each character it is as it should be, another, missing, or behind one more."""
+
+    def __init__(self, chars: str, folded: bool):
+        self.chars, self.folded = chars, folded
+        self.size: dict[tuple[int, int, int], int] = {}
+
+    def one(self, k: int) -> str:
+        c = self.chars[k]
+        return "[" + "".join(java_char(x) for x in sorted(cases(c))) + "]" if self.folded and len(cases(c)) > 1 else quote(c)
+
+    def several(self, k: int, end: int) -> list[tuple[str, int]]:
+        """Characters that stand for several from place k on, with the place behind these."""
+        own = [f for f in expansions() if self.chars.startswith(f, k) and k + len(f) <= end] if self.folded else []
+        return [("[" + "".join(java_char(x) for x in expansions()[f]) + "]", k + len(f)) for f in own]
+
+    def length(self, k: int, end: int, errors: int) -> int:
+        """About how long within() is."""
+        if k >= end:
+            return 0
+        if (k, end, errors) not in self.size:
+            own = 8 + self.length(k + 1, end, errors) + sum(12 + self.length(z, end, errors) for _, z in self.several(k, end))
+            if errors:
+                own += 10 + self.length(k + 1, end, errors - 1) + self.length(k, end, errors - 1)
+            self.size[k, end, errors] = own
+        return self.size[k, end, errors]
+
+    def within(self, k: int, end: int, errors: int) -> str:
+        if k >= end:
+            return ""
+        own = [self.one(k) + self.within(k + 1, end, errors), *(c + self.within(z, end, errors) for c, z in self.several(k, end))]
+        if errors:
+            own += [".?" + self.within(k + 1, end, errors - 1), "." + self.within(k, end, errors - 1)]
+        return own[0] if len(own) == 1 else "(?:" + "|".join(own) + ")"
+
+
+def near(p: Pattern) -> tuple[str, str, str]:
+    """For a pattern of fuzzy texts that match by their distance alone: a Java pattern that finds them, one for the texts that it cannot be
+    used on, and one that finds them there.
+
+    With e errors one of e + 1 pieces of a text is unchanged. A piece is looked for, and only where it is the rest is compared, to
+    the left by a lookbehind. A character that stands for two letters may lie over the border of two pieces, and a lookbehind counts one
+    above U+FFFF for two: texts with such characters are compared from every place on. Raises NotJava."""
+    words = fuzzy_words(p.parsed.root)
+    if not words or not all(w[3] for w in words) or p.steps is not None or p.seconds is not None:
+        raise NotJava("more than the distance decides")
+    anchored, whole, room = [], [], MOST_NEAR
+    for chars, folded, most, _ in words:
+        own, n = _Near(chars, folded), len(chars)
+        room -= own.length(0, n, most) * (most + 2)
+        if room < 0 or most > 4:
+            raise NotJava("a fuzzy text that is too long to be written out")
+        cuts = [n * k // (most + 1) for k in range(most + 2)]
+        for a, z in zip(cuts[:-1], cuts[1:], strict=True):
+            piece = "".join(own.one(k) for k in range(a, z))
+            splits = [0] if a == 0 else [most] if z == n else range(most + 1)
+            anchored.append(piece + "(?:" + "|".join((f"(?<={own.within(0, a, e)}{piece})" if a else "") + own.within(z, n, most - e) for e in splits) + ")")
+        whole.append(own.within(0, n, most))
+    wide = "".join(sorted(set("".join(may_expand(w[0]) for w in words if w[1]))))
+    return f"(?s)(?:{'|'.join(anchored)})", f"[{''.join(map(java_char, wide))}\\x{{10000}}-\\x{{10FFFF}}]", f"(?s)(?:{'|'.join(whole)})"
+
+
 def template(pattern: Pattern, text: str) -> str:
     """A replacement template in Java's spelling."""
     out = []

@@ -38,7 +38,7 @@ def test_records(texts):
 
 
 def test_tier_choice():
-    assert [fz.tier(p) for p in ("abc", r"\d+", "(?:hello){e<=1}", "(a|b)*", "(?r)a", r"(?|(a)|(b))\1")] == ["literal", "java", "filtered", "matcher", "matcher", "matcher"]
+    assert [fz.tier(p) for p in ("abc", r"\d+", "(?:hello){e<=1}", "(?:hello){s<=1}", "(a|b)*", "(?r)a", r"(?|(a)|(b))\1")] == ["literal", "java", "near", "filtered", "matcher", "matcher", "matcher"]
 
 
 def test_rows(texts):
