@@ -9,7 +9,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import LOWER, bounded_batches, distinct, grouped, materialise, mix, spread_join, text_chunks, word_hashes, word_spans
@@ -29,6 +29,8 @@ FIRST = 6
 SLACK = 5.0
 #: Sketches of one band, and texts of one candidate group, that a task holds at once, times two.
 BUCKET, BLOCK = 512, 256
+#: Classes of a candidate group up to which all its sketches are compared, and not only those that share a band.
+WHOLE = 1 << 14
 CHUNK_BYTES = 1 << 21
 
 _K = BANDS * ROWS
@@ -261,11 +263,11 @@ def _confirm(percent: int, width: int = SHINGLE):
     return run
 
 
-def _by_band(members: DataFrame, most: int, *more: str) -> DataFrame:
+def _by_band(members: DataFrame, most: int, *more: str, own: Column | None = None) -> DataFrame:
     """Members of bands, each as often as it is needed for its band's pairs of blocks (i, j), with `own`, its block, in order of the pairs.
 
-    A band of up to `most` is one block. Pair (i, j) also compares within i and within j (`within`) if j follows i; others only across."""
-    rows = members.withColumn("blocks", F.ceil(F.col("n") / most).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    A band of up to `most` is one block; `own` says which block a member is in, if it is not to be drawn. Pair (i, j) also compares within i and within j (`within`) if j follows i; others only across."""
+    rows = members.withColumn("blocks", F.ceil(F.col("n") / most).cast("int")).withColumn("own", (F.pmod(F.xxhash64("node"), F.col("blocks")) if own is None else own).cast("int"))
     other = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: x != F.col("own")))
     i, j = F.least("own", "other"), F.greatest("own", "other")
     follows = (j == i + 1) | ((i == 0) & (j == F.col("blocks") - 1)) | (F.col("blocks") == 1)
@@ -292,14 +294,15 @@ def _groups(docs: DataFrame, key: str, text: str, percent: int, block: int, buck
     placed = materialise(placed.withColumn("spot", F.pmod(F.xxhash64("node"), F.col("blocks"))), "placed")
     zero = F.lit(0).cast("long")
     small = placed.where("blocks = 1").select("component", zero.alias("i"), zero.alias("j"), "node", F.col("node").alias("label"))
-    large = placed.where("blocks > 1").join(classes.select("node", "bands", "size", "sketch"), "node")
+    # The texts of all candidates are fetched once.
+    need = materialise(placed.join(classes.select("node", "doc_id", "pick", "rows", "size", "bands", "sketch"), "node"), "needed")
+    wanted = need.select("node", "doc_id", "pick", "rows", "sketch")
+    met = spread_join(rows.where("doc_id IS NOT NULL"), wanted, "pick", "rows", F.monotonically_increasing_id(), merge=True).where("own.doc_id = doc_id")
+    texts = materialise(met.groupBy(F.col("own.node").alias("node")).agg(F.first("own.sketch").alias("sketch"), F.first("text").alias("text")), "texts")
 
     def confirmed(where: DataFrame) -> DataFrame:
-        """Links among nodes that are placed in pairs of blocks. Their texts are fetched once."""
-        need = materialise(where.select("node").distinct().join(classes.select("node", "doc_id", "pick", "rows", "sketch"), "node"), "needed")
-        met = spread_join(rows.where("doc_id IS NOT NULL"), need, "pick", "rows", F.monotonically_increasing_id(), merge=True).where("own.doc_id = doc_id")
-        own = met.groupBy(F.col("own.node").alias("node")).agg(F.first("own.sketch").alias("sketch"), F.first("text").alias("text"))
-        ready = where.join(own, "node").select("component", "i", "j", "node", "sketch", "label", "text")
+        """Links among nodes that are placed in pairs of blocks."""
+        ready = where.join(texts, "node").select("component", "i", "j", "node", "sketch", "label", "text")
         return ready.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j").mapInArrow(_confirm(percent, width), "u long, v long")
 
     def by_band(nodes: DataFrame, first: int, last: int, *more: str) -> DataFrame:
@@ -313,7 +316,7 @@ def _groups(docs: DataFrame, key: str, text: str, percent: int, block: int, buck
         links = confirmed(small)
     else:
         # The first bands join nearly all of a group of near copies. Where they do, the others have nothing to tell.
-        large = materialise(large, "large")
+        large = materialise(need.where("blocks > 1").select("node", "component", "blocks", "spot", "size", "bands", "sketch"), "large")
         likely = materialise(by_band(large, 0, FIRST).mapInArrow(_likely(percent), "u long, v long").distinct(), "likely")
         ends = likely.join(large.select(F.col("node").alias("u"), "component", F.col("spot").alias("a")), "u").join(large.select(F.col("node").alias("v"), F.col("spot").alias("b")), "v")
         ends = ends.select("component", F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"), F.explode(F.array("u", "v")).alias("node")).distinct()
@@ -322,7 +325,14 @@ def _groups(docs: DataFrame, key: str, text: str, percent: int, block: int, buck
         labelled = materialise(large.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
         apart = labelled.groupBy("component").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("rows")).where("lo < hi")
         open_ = spread_join(labelled, apart, "component", "rows", F.col("node")).where("own IS NOT NULL").drop("own")
-        doubt = by_band(open_, 0, BANDS, "component", "label", "spot").mapInArrow(_doubtful(percent), "component long, i long, j long, node long").distinct()
+        doubtful = lambda dealt: dealt.mapInArrow(_doubtful(percent), "component long, i long, j long, node long")
+        # A group of up to WHOLE is compared whole, by pairs of blocks of which each holds two blocks of texts; a larger one band by band.
+        whole = open_.where(F.col("blocks") * block <= WHOLE).withColumn("band", F.col("component")).withColumn("n", F.col("blocks"))
+        doubt = doubtful(_by_band(whole, 2, "component", "label", "spot", own=F.floor(F.col("spot") / 2)))
+        giant = open_.where(F.col("blocks") * block > WHOLE)
+        if not giant.isEmpty():
+            doubt = doubt.union(doubtful(by_band(giant, 0, BANDS, "component", "label", "spot")))
+        doubt = doubt.distinct()
         doubt = materialise(doubt.join(label, "node", "left").select("component", "i", "j", "node", F.coalesce("label", "node").alias("label")), "doubtful")
         links = first if doubt.isEmpty() else first.union(confirmed(doubt))
     linked = components(links, "links")
@@ -342,8 +352,8 @@ def groups(docs: DataFrame, *, key: str = "doc_id", text: str = "text", percent:
     others, form a candidate group. The texts of a group of up to `block` classes come together once; size and odd sketch rule out most
     pairs, the others are confirmed on the full sets, words and all, until they are known to be connected. In a larger group classes are compared by size and
     sketch within each band only, on narrow rows; a band of more than `bucket` classes is dealt out as pairs of blocks. The group is confirmed in two
-    steps, in pairs of blocks: a text goes where it has a partner in a spanning forest of the pairs that FIRST bands let through; then, where it has a
-    class in a band that is let through and is not connected to it by then. So texts travel in proportion to their number, but for
+    steps, in pairs of blocks: a text goes where it has a partner in a spanning forest of the pairs that FIRST bands let through; then, where it has
+    one (in a band, or in the group up to WHOLE classes) that is let through and not connected to it by then. So texts travel in proportion to their number, but for
     large groups of which many pairs are near the bound and not linked: these all have to be looked at.
 
     A link is missed if its pair shares no band (1.4e-7 at the bound, by (1 - 0.8^4)^30) or if its sketch is off by over SLACK standard
