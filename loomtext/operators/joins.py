@@ -20,6 +20,8 @@ from ..pattern.flags import Flag
 TOKEN = r"\w+"
 #: Rows and bytes of a vocabulary up to which it is broadcast. The engine cannot judge this by itself: it takes the exploded texts for small.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 16 << 20
+#: Words that may stand in a plan as a list.
+FEW_WORDS = 1000
 
 
 def _with(many: DataFrame, few: DataFrame, words: DataFrame, word: str, times: int, on: str) -> DataFrame:
@@ -71,7 +73,11 @@ def named_list_join(texts: DataFrame, key: str, text: str, words: DataFrame, wor
     of texts, and what is found is counted with its boundaries by the matcher."""
     vocabulary = words.select(F.col(word)).where(F.length(word) > 0).distinct()
     single = C.is_full_match(word, token)
-    tokens = texts.select(F.col(key), F.explode(C.findall(text, token)).alias("_t")).withColumn("_t", _folded(F.col("_t"), flags))
+    found = C.findall(text, token)
+    few = [] if Flag(flags) & Flag.IGNORECASE else [r[0] for r in vocabulary.limit(FEW_WORDS + 1).collect()]
+    if 0 < len(few) <= FEW_WORDS:  # tokens of no word are not even made rows
+        found = F.filter(found, lambda t: t.isin(few))
+    tokens = texts.select(F.col(key), F.explode(found).alias("_t")).withColumn("_t", _folded(F.col("_t"), flags))
     # Joined before they are counted: most tokens are in no vocabulary and go no further.
     hits = _with(tokens, vocabulary.where(single).withColumn("_t", _folded(F.col(word), flags)), words, word, 1, "_t").groupBy(key, word).agg(F.count("*").alias("hits"))
     several = vocabulary.where(~single)

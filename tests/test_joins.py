@@ -29,6 +29,7 @@ def words(spark):
 def way(request, monkeypatch):
     if request.param == "merge":
         monkeypatch.setattr(joins, "BROADCAST_ROWS", 3)
+        monkeypatch.setattr(joins, "FEW_WORDS", 3)
 
 
 def found(df):
