@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, grouped, hashes, materialise, mix, planes, powers, text_chunks, unplanes, word_spans
+from .common import bounded_batches, grouped, hashes, mix, planes, powers, text_chunks, unplanes, word_spans
 
 WIDTH = 35
 #: Bytes of text whose windows a task hashes and sorts at once.
@@ -205,11 +205,11 @@ def cleaned(docs: DataFrame, width: int = WIDTH, *, key: str = "doc_id", text: s
     rows = docs.select(docs[key].alias("doc_id"), docs[text].alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets, chunks = max(1, math.ceil(total / 6 / BUCKET_WINDOWS)), max(1, math.ceil(total / CHUNK_BYTES))
-    # By the row's number, not by its content: a row that is repeated is no hot chunk.
+    # By the row's number, not by its content: a row that is repeated is no hot chunk. All is one query, so that this exchange is made once.
     dealt = rows.select(F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(chunks)).alias("chunk"), "doc_id", "text").groupBy("chunk")
 
     def told(sent: DataFrame) -> DataFrame:
-        return materialise(sent.repartition("bucket", "kind").sortWithinPartitions("bucket", "kind").mapInArrow(_answer, _TOLD), "windows")
+        return sent.repartition("bucket", "kind").sortWithinPartitions("bucket", "kind").mapInArrow(_answer, _TOLD)
 
     first = told(dealt.applyInArrow(_hashed(width, buckets), _SENT))
     second = told(dealt.cogroup(first.groupBy("chunk")).applyInArrow(_digested(width, buckets), _SENT))
