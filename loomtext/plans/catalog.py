@@ -134,9 +134,11 @@ def _about(spark: SparkSession, _: str) -> DataFrame:
 
 
 _add("a27_introspection", _about, r"SELECT '(?i)(?<word>\w+) (\d+)\L<w>' AS pattern, 2 AS n_groups, '0,word,2' AS names, 1 AS word, true AS ignore_case, 'a,b' AS list")
+#: Why a pattern is refused.
 _WRONG = {
     "(abc": "missing )", "a**": "multiple repeat", "*a": "nothing to repeat", "a[": "unterminated character set", "a[b-a]": "bad character range", "abc)": "unbalanced parenthesis",
     r"\1": "invalid group reference", "(?P<1>a)": "bad character in group name", "(a)(?P=x)": "unknown group", "a\\": "bad escape (end of pattern)", r"(?V0)(a\1)": "cannot refer to an open group",
+    "a{e<=1x}": "expected }", r"\p{Nonsense}": "unknown property", "[[:foo:]]": "unknown property", "(?Lu)a": "ASCII, LOCALE and UNICODE flags are mutually incompatible", "(?Li)a": "LOCALE cannot be used with IGNORECASE",
 }
 
 
@@ -355,6 +357,31 @@ _add(
 )
 
 
+def _stream_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Operators without state over a stream of files."""
+    from ..streaming.run import stream_table
+
+    return stream_table(spark, table(spark, d, "part").select("p_partkey", "p_name"), lambda s: s.where(fz.is_match("p_name", "(?:widgit){e<=1}")).select("p_partkey", fz.replace("p_name", r"(\w+) (\w+)", r"\2 \1").alias("t"), fz.count("p_name", "[aeiou]").alias("n")))
+
+
+_add("s02_stream_columns", _stream_columns, f"SELECT p_partkey, regexp_replace(p_name, '([a-z]+) ([a-z]+)', '\\2 \\1', 'g') AS t, len(regexp_extract_all(p_name, '[aeiou]'))::INT AS n FROM part WHERE {_near('p_name', 'widgit', 1)}")
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    """Text files in, matches out, partitioned by a column of few values."""
+    from .. import sources
+    from ..streaming.run import shared_dir
+
+    at = shared_dir(spark, "lines")
+    table(spark, d, "pages").where("url IS NOT NULL").select("url").write.text(f"{at}/in")
+    found = sources.lines(spark, f"{at}/in").where(fz.is_match("line", r"^https?://\w+\.example")).select("line", fz.group_value("line", r"^(\w+)://", 1).alias("scheme"))
+    sources.write(found, f"{at}/out", by=["scheme"])
+    return spark.read.schema("line string, scheme string").parquet(f"{at}/out")
+
+
+_add("src01_lines", _lines, "SELECT url AS line, regexp_extract(url, '^([a-z]+)://', 1) AS scheme FROM pages WHERE regexp_matches(url, '^https?://[0-9A-Za-z_]+[.]example')")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents by language and quality that hold a phrase within two errors, with the number of their licence lines."""
     docs = table(spark, sf_dir, "documents").where(fz.is_match("text", "(?i)(?:licensed under the){e<=2}"))
