@@ -12,7 +12,7 @@ from test_catalog import rows as plain_rows
 import corpus_pipeline
 from loomtext.llm import mix, near_dedup, rules
 from loomtext.llm import queries as Q
-from test_operators import LOW, brute_groups, split
+from test_operators import LOW, split
 
 
 def test_stages(spark, sf):
@@ -22,8 +22,7 @@ def test_stages(spark, sf):
     for r in docs.collect():
         if r.doc_id in kept:
             best[r.text] = max(best.get(r.text, -1), r.doc_id)
-    near = brute_groups([(i, t) for t, i in best.items()])
-    left = {i for i, (_, c) in near.items() if i == c}
+    left = brute_five([(i, t) for t, i in best.items()])
     out = docs
     seen = []
     for name, stage in corpus_pipeline.STAGES:
