@@ -260,8 +260,8 @@ _column("z11_best", "part", lambda t: (lambda m: m["subs"] + m["ins"] + m["dels"
         "(SELECT CASE WHEN min(levenshtein(substr({t}, i::INT, n::INT), 'widget')) <= 4 THEN min(levenshtein(substr({t}, i::INT, n::INT), 'widget')) END FROM range(1, length({t}) + 2) r(i), range(0, 11) u(n))::INT")
 _column("z12_fuzzy_backreference", "part", lambda t: fz.is_match(t, r"(\w\w)\w* \w*(?:\1){s<=1}"),
         "coalesce((SELECT bool_or(substr(a, i::INT, 1) = substr(b, j::INT, 1) OR substr(a, i::INT + 1, 1) = substr(b, j::INT + 1, 1)) FROM (SELECT string_split({t}, ' ')[1] AS a, string_split({t}, ' ')[2] AS b), range(1, 20) x(i), range(1, 20) y(j) WHERE i < length(a) AND j < length(b)), false)")
-_column("z12_fuzzy_set", "part", lambda t: fz.is_full_match(t, "(?:[a-d]+ [p-s]+){s<=2}"),
-        "coalesce((SELECT bool_or(length(regexp_replace(substr({t}, 1, k::INT - 1), '[a-d]', '', 'g')) + (substr({t}, k::INT, 1) <> ' ')::INT + length(regexp_replace(substr({t}, k::INT + 1), '[p-s]', '', 'g')) <= 2) FROM range(2, length({t})) r(k)), false)")
+_column("z12_fuzzy_set", "part", lambda t: fz.is_full_match(t, "(?:[a-d]+ [p-s]+){s<=5}"),
+        "coalesce((SELECT bool_or(length(regexp_replace(substr({t}, 1, k::INT - 1), '[a-d]', '', 'g')) + (substr({t}, k::INT, 1) <> ' ')::INT + length(regexp_replace(substr({t}, k::INT + 1), '[p-s]', '', 'g')) <= 5) FROM range(2, length({t})) r(k)), false)")
 #: SQL: documents with a part within two edits of the phrase. One of its three pieces is unchanged in any, so only what is around these is compared.
 _PHRASED = """WITH p AS (SELECT doc_id, piece, string_split(lower(text), piece) AS s FROM documents, (VALUES ('licens'), ('ed und'), ('er the')) v(piece) WHERE contains(lower(text), piece)),
 w AS (SELECT DISTINCT doc_id, right(CASE WHEN k > 1 THEN s[k - 1] || piece ELSE '' END || s[k], 14) || piece || left(s[k + 1] || CASE WHEN k + 2 <= len(s) THEN piece || s[k + 2] ELSE '' END, 14) AS x FROM p, range(1, len(s)) r(k)),
