@@ -2,7 +2,7 @@
 
 Each function takes a text column and a pattern (text, or a compiled Pattern) and gives a Column. Plain literals become Catalyst string
 functions, patterns that Java spells the same become rlike, regexp_extract_all and the like, and the rest runs in the backtracking matcher
-in Arrow batches. A fuzzy pattern is preceded by a test for its pieces in the JVM; rows that fail it reach Python as nulls. Null texts
+in Arrow batches, once for texts of a batch that are equal. A fuzzy pattern is preceded by a test for its pieces in the JVM; rows that fail it reach Python as nulls. Null texts
 give null. Positions are code points from 0."""
 
 from __future__ import annotations
@@ -105,7 +105,7 @@ def _filter(p: Pattern, text: Column) -> Column | None:
 
 
 def _run(p: Pattern, kind: str | DataType, work: Callable[[Pattern, str], object], *texts: Column, missing: object = None, screened: bool = True, build: Callable[[list], pa.Array] | None = None) -> Column:
-    """`work` over each text in Arrow batches; texts without a chance of a match are not sent and give `missing`."""
+    """`work` over each different text of an Arrow batch; texts without a chance of a match are not sent and give `missing`."""
     screen = _filter(p, texts[0]) if screened else None
     sent = texts[0] if screen is None else F.when(screen, texts[0])
     arrow = _arrow_type(kind)
@@ -120,8 +120,9 @@ def _run(p: Pattern, kind: str | DataType, work: Callable[[Pattern, str], object
 
     @arrow_udf(returnType=kind)
     def run(batch: pa.Array) -> pa.Array:
-        own = [None if t is None else within(t) for t in batch.to_pylist()]
-        return build(own).cast(arrow) if build else pa.array(own, arrow)
+        different = batch.dictionary_encode()
+        own = [within(t) for t in different.dictionary.to_pylist()]
+        return (build(own).cast(arrow) if build else pa.array(own, arrow)).take(different.indices)
 
     out = run(sent)
     if screen is None:

@@ -12,7 +12,7 @@ from ..operators import explode_matches, explode_splits, fuzzy_join, named_list_
 from ..pattern.engine import compile
 from ..pattern.errors import MatchTimeout, PatternError
 from ..pattern.flags import Flag
-from ..sources import table
+from ..sources import dealt_out, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -32,10 +32,11 @@ def _add(name: str, query: Query, sql: str | None = None) -> None:
         _SQL[name] = sql
 
 
-def _column(name: str, source: str, make: Callable[[Column], Column], sql: str | None = None) -> None:
-    """key, x: one expression over the text column of a table; in `sql` it is called t."""
+def _column(name: str, source: str, make: Callable[[Column], Column], sql: str | None = None, *, dealt: bool = False) -> None:
+    """key, x: one expression over the text column of a table, `dealt` out over tasks first; in `sql` it is called t."""
     key, text = _TEXTS[source]
-    _add(name, lambda spark, d: table(spark, d, source).select(key, make(F.col(text)).alias("x")), None if sql is None else f"SELECT {key}, {sql.replace('{t}', text)} AS x FROM {source}")
+    own = dealt_out if dealt else lambda df: df
+    _add(name, lambda spark, d: own(table(spark, d, source).select(key, text)).select(key, make(F.col(text)).alias("x")), None if sql is None else f"SELECT {key}, {sql.replace('{t}', text)} AS x FROM {source}")
 
 
 def _near(t: str, word: str, k: int) -> str:
@@ -173,7 +174,7 @@ def _timeout(spark: SparkSession, _: str) -> DataFrame:
 
 
 _add("a30_timeout", _timeout, "SELECT 'timeout' AS ended")
-_column("a30_timeout_null", "part", lambda t: fz.is_match(F.concat(F.repeat(F.lit("x"), 30), t), compile(r"(?:(x+)+\1)+y", steps=500, on_timeout="null")), "NULL::BOOLEAN")
+_column("a30_timeout_null", "part", lambda t: fz.is_match(F.concat(F.repeat(F.lit("x"), 30), t), compile(r"(?:(x+)+\1)+y", steps=500, on_timeout="null")), "NULL::BOOLEAN", dealt=True)
 
 # --- pattern constructs ---------------------------------------------------------------------------------------------
 
@@ -257,11 +258,11 @@ _column("z08_nested_sections", "part", lambda t: fz.is_full_match(t, "(?:red (?:
 _column("z09_fuzzy_named_list", "part", lambda t: fz.is_match(t, r"\L<w>{e<=1}", lists={"w": ["gizmos", "anvils"]}), f"{_near('{t}', 'gizmos', 1)} OR {_near('{t}', 'anvils', 1)}")
 _column("z10_enhance", "part", lambda t: fz.search(t, "(?e)(?:red){e<=1}")["value"])
 _column("z11_best", "part", lambda t: (lambda m: m["subs"] + m["ins"] + m["dels"])(fz.search(t, "(?b)(?:widget){e<=4}")),
-        "(SELECT CASE WHEN min(levenshtein(substr({t}, i::INT, n::INT), 'widget')) <= 4 THEN min(levenshtein(substr({t}, i::INT, n::INT), 'widget')) END FROM range(1, length({t}) + 2) r(i), range(0, 11) u(n))::INT")
+        "(SELECT CASE WHEN min(levenshtein(substr({t}, i::INT, n::INT), 'widget')) <= 4 THEN min(levenshtein(substr({t}, i::INT, n::INT), 'widget')) END FROM range(1, length({t}) + 2) r(i), range(0, 11) u(n))::INT", dealt=True)
 _column("z12_fuzzy_backreference", "part", lambda t: fz.is_match(t, r"(\w\w)\w* \w*(?:\1){s<=1}"),
         "coalesce((SELECT bool_or(substr(a, i::INT, 1) = substr(b, j::INT, 1) OR substr(a, i::INT + 1, 1) = substr(b, j::INT + 1, 1)) FROM (SELECT string_split({t}, ' ')[1] AS a, string_split({t}, ' ')[2] AS b), range(1, 20) x(i), range(1, 20) y(j) WHERE i < length(a) AND j < length(b)), false)")
 _column("z12_fuzzy_set", "part", lambda t: fz.is_full_match(t, "(?:[a-d]+ [p-s]+){s<=5}"),
-        "coalesce((SELECT bool_or(length(regexp_replace(substr({t}, 1, k::INT - 1), '[a-d]', '', 'g')) + (substr({t}, k::INT, 1) <> ' ')::INT + length(regexp_replace(substr({t}, k::INT + 1), '[p-s]', '', 'g')) <= 5) FROM range(2, length({t})) r(k)), false)")
+        "coalesce((SELECT bool_or(length(regexp_replace(substr({t}, 1, k::INT - 1), '[a-d]', '', 'g')) + (substr({t}, k::INT, 1) <> ' ')::INT + length(regexp_replace(substr({t}, k::INT + 1), '[p-s]', '', 'g')) <= 5) FROM range(2, length({t})) r(k)), false)", dealt=True)
 #: SQL: documents with a part within two edits of the phrase. One of its three pieces is unchanged in any, so only what is around these is compared.
 _PHRASED = """WITH p AS (SELECT doc_id, piece, string_split(lower(text), piece) AS s FROM documents, (VALUES ('licens'), ('ed und'), ('er the')) v(piece) WHERE contains(lower(text), piece)),
 w AS (SELECT DISTINCT doc_id, right(CASE WHEN k > 1 THEN s[k - 1] || piece ELSE '' END || s[k], 14) || piece || left(s[k + 1] || CASE WHEN k + 2 <= len(s) THEN piece || s[k + 2] ELSE '' END, 14) AS x FROM p, range(1, len(s)) r(k)),
@@ -319,7 +320,7 @@ _add(
 )
 _add(
     "g05_best_across_rows",
-    lambda s, d: table(s, d, "part").withColumn("m", fz.full_match("p_name", "(?b)(?:cold bald){e}")).withColumn("e", F.col("m.subs") + F.col("m.ins") + F.col("m.dels")).groupBy("p_type").agg(F.min_by("p_name", F.struct("e", "p_name")).alias("best"), F.min("e").alias("errors")),
+    lambda s, d: dealt_out(table(s, d, "part").select("p_type", "p_name")).withColumn("m", fz.full_match("p_name", "(?b)(?:cold bald){e}")).withColumn("e", F.col("m.subs") + F.col("m.ins") + F.col("m.dels")).groupBy("p_type").agg(F.min_by("p_name", F.struct("e", "p_name")).alias("best"), F.min("e").alias("errors")),
     "SELECT p_type, arg_min(p_name, (levenshtein(p_name, 'cold bald'), p_name)) AS best, min(levenshtein(p_name, 'cold bald'))::INT AS errors FROM part GROUP BY p_type",
 )
 _add(

@@ -7,6 +7,7 @@ import pytest
 import loomtext.functions as fz
 from loomtext.operators import explode_matches, fuzzy_join, named_list_join, next_match, pattern_join, substring_join
 from loomtext.pattern.engine import compile
+from loomtext.plans import catalog
 
 TEXTS = ["the dog and foxbar", "Café STRASSE straße", "a1b22c333", "", "line one\nline two\r\n", "xy ıİ kKK"]
 PATTERNS = [r"\w+", r"\bo?n?\w", r"(?i)strasse", r"(?m)^\w+$", r"[^\W\d]+\d", r".+", r"\s", r"(?:fox|dog)+", r"(?a)\w+", r"\p{Lu}\w*", r"(?i)k", "[[a-z]&&[^aeiou]]{2}", r"(?<=a)\d", r"(?>a|ab)\d", "(?:foobar){e<=1}", r"(o)(\w)?", "(?i)I", r"\W+", r"\S+", r"\D", r"[^\s\d]+", r"\b\w", r"(?a)\b\w+\b", r"\B."]
@@ -67,3 +68,26 @@ def test_budgets(spark):
     p = compile(r"(?:(x+)+\1)+y", steps=500, on_timeout="null")
     assert [r[0] for r in df.select(fz.is_match("t", p)).collect()] == [None, False]
     assert [r[0] for r in df.select(fz.count("t", compile("x", steps=500))).collect()] == [30, 1]
+
+
+def test_equal_texts(spark):
+    """Texts of a batch that are equal are matched once; each row gets its own text's result, null for null."""
+    texts = ["b1", None, "a1", "b1", "", "a1", "b1", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(1)
+
+    def counter():
+        calls = []
+        return lambda m: calls.append(m) or f"{m.value}-{len(calls)}"
+
+    rows = df.select("id", fz.replace_with("t", "[ab]", counter()).alias("r"), fz.search("t", "([ab])1").alias("m"), fz.split("t", "(?r)1").alias("s")).orderBy("id").collect()
+    assert len({r.r for r in rows if r.r}) == 2
+    assert [r.m and r.m.groups[1].value for r in rows] == [t and t[:1] or None for t in texts]
+    assert [r.s for r in rows] == [t if t is None else compile("(?r)1").split(t) for t in texts]
+    assert [r.m for r in df.where("t is null").select(fz.search("t", "(?r)a").alias("m")).collect()] == [None, None]
+
+
+def test_work_is_dealt_out(spark, sf):
+    """A small file of short texts is one split, however long each takes."""
+    for name in ("a30_timeout_null", "g05_best_across_rows", "z11_best", "z12_fuzzy_set"):
+        plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.index("Python") < plan.index("Repartition 24"), name
