@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from . import nodes as N
-from .charset import cases, java_char, java_property
+from .charset import LINE_ENDS, cases, java_char, java_property
 from .engine import Pattern
 from .flags import Flag
 from .matcher import expansions, full_fold, fuzzy_words, may_expand
 
 _META = frozenset("\\^$.|?*+()[]{}-&~#<>=!:, \t\n\r\x0b\x0c")
+_ENDS = "[" + "".join(map(java_char, sorted(LINE_ENDS))) + "]"
+#: Places at which the WORD flag takes every line end; no line ends or begins inside a carriage return with its line feed.
+_INSIDE = "(?!(?<=\\x{D})\\x{A})"
+WIDE = {"line_start": f"(?:\\A|(?<={_ENDS}){_INSIDE})", "line_end": f"(?:\\z|{_INSIDE}(?={_ENDS}))", "end_line": f"(?=(?:\\x{{D}}\\x{{A}}|{_ENDS})?\\z)"}
 
 
 class NotJava(Exception):
@@ -26,7 +30,7 @@ def java(pattern: Pattern) -> str:
     Java recurses once a pass over groups, alternatives and bodies of changing width."""
     parsed = pattern.parsed
     flags = parsed.flags
-    for flag in (Flag.REVERSE, Flag.WORD, Flag.POSIX, Flag.LOCALE):
+    for flag in (Flag.REVERSE, Flag.POSIX, Flag.LOCALE):
         if flags & flag:
             raise NotJava(f"{flag.name} has no Java form")
     numbers = [n.number for n in N.walk(parsed.root) if isinstance(n, N.Group)]
@@ -94,8 +98,10 @@ def _java(n: N.Node, atomic: bool) -> str:
     if isinstance(n, N.Define):
         return ""
     if isinstance(n, N.At):
-        if n.wide:
-            raise NotJava("WORD has no Java form")
+        if n.wide and n.kind in WIDE:
+            return WIDE[n.kind]
+        if n.wide and n.kind in ("word", "not_word", "word_start", "word_end"):
+            raise NotJava("default word boundaries have no Java form")
         word = f"[{java_property('word', n.ascii).strip('[]') if n.ascii else java_property('word', False)}]"
         before, after = f"(?<={word})", f"(?={word})"
         no_before, no_after = f"(?<!{word})", f"(?!{word})"

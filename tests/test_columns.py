@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
 
 import loomtext.functions as fz
 from loomtext.operators import explode_matches, fuzzy_join, named_list_join, next_match, pattern_join, substring_join
-from loomtext.pattern.engine import compile
+from loomtext.pattern.engine import Pattern, compile
 from loomtext.plans import catalog
 
 TEXTS = ["the dog and foxbar", "Café STRASSE straße", "a1b22c333", "", "line one\nline two\r\n", "xy ıİ kKK"]
@@ -91,3 +93,25 @@ def test_work_is_dealt_out(spark, sf):
     for name in ("a30_timeout_null", "g05_best_across_rows", "z11_best", "z12_fuzzy_set"):
         plan = catalog.queries()[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.index("Python") < plan.index("Repartition 24"), name
+
+
+def test_wide_lines(spark):
+    """Line ends of the WORD flag are found in the JVM, and by Python's own matcher in Latin-1 texts; before, each text went through the
+    backtracking matcher."""
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ab \n\r\r\n\x0b\x0c\x85\u2028\u2029é\U0001f600")  for _ in range(rng.randint(0, 9))) for _ in range(600)] + ["", "\r\n", "a\r\n", "a\r", "a\n\r", "a\r\n\n", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string")
+    patterns = [r"(?wm)\w$", r"(?wm)^\w", r"(?wm)^.", r"(?wm).$", r"(?w)\w$", r"(?w)^\w", r"(?w).$", r"(?wm)\s$", r"(?wm)^\s", r"(?w)\s$", r"(?w).+", r"(?wm)\n^\r?"]
+    assert all(fz.tier(p, what="count") == "java" for p in patterns) and fz.tier(r"(?w)\bx") == "matcher"
+    got = df.select("t", *[fz.count("t", p).alias(f"c{k}") for k, p in enumerate(patterns)], *[fz.is_match("t", p).alias(f"m{k}") for k, p in enumerate(patterns)])
+    assert "Python" not in got._jdf.queryExecution().toString()
+    rows = got.collect()
+    for k, p in enumerate(patterns):
+        q, slow = compile(p), Pattern(p)
+        assert q.quick is not None, p
+        slow.quick = slow.quick_records = None
+        for r in rows:
+            want = (None, None) if r.t is None else (slow.count(r.t), slow.is_match(r.t))
+            assert (r[f"c{k}"], r[f"m{k}"]) == want, (p, r.t)
+            assert r.t is None or (q.count(r.t), q.is_match(r.t)) == want, (p, r.t)
+            assert r.t is None or [m.value for m in q.iterate(r.t)] == [m.value for m in slow.iterate(r.t)], (p, r.t)
