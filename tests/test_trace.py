@@ -44,3 +44,25 @@ def test_whole_takes_no_steps():
 @pytest.mark.parametrize("pattern", ["(?:abc){s<=1}", "(?:abc){2s+1i<=3}", "(?:abc){e<=2:[a-z]}", "(?:abc){1<=e<=2}", "(?r)(?:abc){e<=1}", "(?p)(?:abc){e<=1}", "((?:abc){e<=1})", "(?:a|b){e<=1}"])
 def test_more_than_a_number(pattern):
     assert Pattern(pattern).machine.trace is None
+
+
+#: Where every match must hold something, pieces tell where a search looks.
+SEARCHED = ["(?:abca){e<=2}", "(?:ab ba){e<=4}", "(?i)(?:aBss){e<=3}", "(?if)(?:straße){e<=2}", "(?:aab){e<=1}", "(?:bab){e<3}", "(?:cabab){e<=0}"]
+
+
+@pytest.mark.parametrize("flag", ["", "(?b)", "(?e)"])
+@pytest.mark.parametrize("section", SEARCHED)
+def test_search(section, flag):
+    own, slow = Pattern(flag + section), Pattern(flag + section)
+    assert own.machine.trace is not None and own.machine.sieve is not None
+    slow.machine.trace = None
+    for t in texts(section, 12) + texts(section + "b", 90)[:15]:
+        assert [edits(m) for m in own.iterate(t)] == [edits(m) for m in slow.iterate(t)], t
+        assert [edits(m) for m in own.matches(t, 2, 6, overlapped=True)] == [edits(m) for m in slow.matches(t, 2, 6, overlapped=True)], t
+        assert edits(own.search(t, partial=True)) == edits(slow.search(t, partial=True)), t
+
+
+def test_search_takes_no_steps():
+    """Before, 648 steps: each start tried all paths of the least number of errors."""
+    p = Pattern("(?b)(?:widget){e<=4}")
+    assert p.search("cold ring") and p.machine.used < 10
