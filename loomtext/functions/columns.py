@@ -63,8 +63,16 @@ def near_form(p: Pattern, text: Column) -> Column | None:
     return F.when(ascii_ | ~text.rlike(wide), text.rlike(pieces)).otherwise(text.rlike(whole))
 
 
+def echo_form(p: Pattern) -> str | None:
+    """A JVM test for a pattern with fuzzy backreferences of substitutions only."""
+    try:
+        return J.echo(p)
+    except J.NotJava:
+        return None
+
+
 def tier(pattern: str | Pattern, flags: Flag | int = 0, lists: Lists = None, what: str = "is_match") -> str:
-    """Where a call of `what` runs: literal, java, near (a fuzzy text's distance in the JVM), filtered (pieces in the JVM, matcher in Python) or
+    """Where a call of `what` runs: literal, java, near (a fuzzy text's distance, or that of a backreference, in the JVM), filtered (pieces in the JVM, matcher in Python) or
     matcher."""
     p = compile(pattern, flags, lists)
     if literal(p) and what in ("is_match", "count"):
@@ -81,7 +89,8 @@ def tier(pattern: str | Pattern, flags: Flag | int = 0, lists: Lists = None, wha
         try:
             return "near" if J.near(p) else ""
         except J.NotJava:
-            pass
+            if echo_form(p) is not None:
+                return "near"
     return "filtered" if p.machine.sieve else "matcher"
 
 
@@ -206,6 +215,9 @@ def is_match(text: Text, pattern: str | Pattern, flags: Flag | int = 0, lists: L
         form = near_form(p, t)
         if form is not None:
             return form
+        form = echo_form(p)
+        if form is not None:
+            return t.rlike(form)
     return _run(p, "boolean", lambda p, s: p.is_match(s, beginning, length), t, missing=False)
 
 

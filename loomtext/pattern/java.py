@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import replace
+from itertools import combinations
+from math import comb
+
 from . import nodes as N
-from .charset import LINE_ENDS, cases, java_char, java_property
+from .charset import LINE_ENDS, Set, cases, java_char, java_property
 from .engine import Pattern
 from .flags import Flag
 from .matcher import expansions, full_fold, fuzzy_words, may_expand
@@ -36,7 +41,10 @@ def java(pattern: Pattern) -> str:
     numbers = [n.number for n in N.walk(parsed.root) if isinstance(n, N.Group)]
     if sorted(numbers) != list(range(1, len(numbers) + 1)):
         raise NotJava("groups that share a number")
-    body = _java(parsed.root, False)
+    return _classed(_java(parsed.root, False))
+
+
+def _classed(body: str) -> str:
     return f"(?U){body}" if any(e in body for e in (r"\w", r"\d", r"\s")) else body
 
 
@@ -216,6 +224,91 @@ def near(p: Pattern) -> tuple[str, str, str]:
     return f"(?s)(?:{'|'.join(anchored)})", f"[{''.join(map(java_char, wide))}\\x{{10000}}-\\x{{10FFFF}}]", f"(?s)(?:{'|'.join(whole)})"
 
 
+#: Ways to place the substitutions of a backreference beyond which it is left to the matcher.
+MOST_WAYS = 64
+
+
+def echo(p: Pattern) -> str:
+    """A Java pattern that tests for a match of one whose only fuzzy parts are backreferences with substitutions.
+
+    Each character of the group becomes a group of its own, and the reference a choice of those that may differ. Groups are numbered anew,
+    so it is for tests alone. Raises NotJava."""
+    parsed = p.parsed
+    if parsed.flags & (Flag.REVERSE | Flag.POSIX | Flag.LOCALE) or p.steps is not None or p.seconds is not None:
+        raise NotJava("more than a test without budgets")
+    groups = [n for n in N.walk(parsed.root) if isinstance(n, N.Group)]
+    if [n.number for n in groups] != list(range(1, len(groups) + 1)):
+        raise NotJava("groups that share a number")
+    inner = {c.number for n in N.walk(parsed.root) if isinstance(n, (N.Repeat, N.Look, N.Atomic, N.Define, N.Fuzzy)) for c in N.walk(n) if isinstance(c, N.Group)}
+    echoes = {id(n): _echo(n) for n in N.walk(parsed.root) if isinstance(n, N.Fuzzy)}
+    if not echoes or any(isinstance(c, N.Fuzzy) for n in N.walk(parsed.root) if isinstance(n, N.Fuzzy) for c in N.walk(n.body)):
+        raise NotJava("no fuzzy backreference, or one inside a fuzzy part")
+    split = {}
+    for g, most in echoes.values():
+        chars = _characters(groups[g - 1].body)
+        if g in inner or most >= len(chars) or comb(len(chars), most) > MOST_WAYS:
+            raise NotJava("a group that is repeated, as short as its errors, or too long to be written out")
+        split[g] = chars
+    number, last = {}, 0
+    for n in groups:
+        number[n.number] = last = last + 1
+        last += len(split.get(n.number, ()))
+
+    def own(n: N.Node) -> N.Node | None:
+        if isinstance(n, N.Back):
+            return N.Back(number[n.group], n.folded, n.full)
+        if isinstance(n, N.Group) and n.number in split:
+            return N.Group(N.Seq([N.Group(c, 0) for c in split[n.number]]), 0)
+        if isinstance(n, N.Fuzzy):
+            g, most = echoes[id(n)]
+            size = len(split[g])
+            return N.Alt([N.Seq([ANY if k in gone else N.Back(number[g] + 1 + k) for k in range(size)]) for gone in combinations(range(size), most)])
+        return None
+
+    return _classed(_java(_mapped(parsed.root, own), False))
+
+
+ANY = N.Cls(Set("prop", ("any", False)), dot="")
+
+
+def _echo(n: N.Fuzzy) -> tuple[int, int]:
+    """The group of a fuzzy backreference and its most substitutions."""
+    b, body = n.budget, n.body
+    while isinstance(body, N.Seq) and len(body.items) == 1:
+        body = body.items[0]
+    limits = [k for k in (b.high["s"], b.high["e"]) if k is not None]
+    if not isinstance(body, N.Back) or body.folded or b.weights is not None or b.test is not None or b.low or b.high["i"] != 0 or b.high["d"] != 0 or not limits:
+        raise NotJava("more than substitutions in a backreference")
+    return body.group, min(limits)
+
+
+def _characters(n: N.Node) -> list[N.Node]:
+    """The nodes of a part that are one character each."""
+    if isinstance(n, N.Cls):
+        return [n]
+    if isinstance(n, N.Text) and not n.full:
+        return [N.Text(c, n.folded) for c in n.chars]
+    if isinstance(n, N.Seq):
+        return [c for own in n.items for c in _characters(own)]
+    if isinstance(n, N.Repeat) and n.low == n.high and n.low <= MOST_WAYS:
+        return _characters(n.body) * n.low
+    raise NotJava("a group of changing width")
+
+
+def _mapped(n: N.Node, own: Callable[[N.Node], N.Node | None]) -> N.Node:
+    """A copy in which `own` gives some nodes anew."""
+    new = own(n)
+    if new is not None:
+        return new
+    if isinstance(n, (N.Seq, N.Alt)):
+        return type(n)([_mapped(c, own) for c in n.items])
+    if isinstance(n, (N.Repeat, N.Group, N.Atomic, N.Look)):
+        return replace(n, body=_mapped(n.body, own))
+    if N.children(n):
+        raise NotJava(f"{type(n).__name__} beside a fuzzy backreference")
+    return n
+
+
 def template(pattern: Pattern, text: str) -> str:
     """A replacement template in Java's spelling."""
     out = []
