@@ -335,7 +335,7 @@ def replace(text: Text, pattern: str | Pattern, template: str, flags: Flag | int
 
 
 def replace_with(text: Text, pattern: str | Pattern, by: Callable[[Match], str], flags: Flag | int = 0, lists: Lists = None, *, count: int = -1) -> Column:
-    """Text with matches replaced by what a callable makes of each."""
+    """Text with matches replaced by what a callable makes of each; it is called once for texts of a batch that are equal."""
     p, t = compile(pattern, flags, lists), _col(text)
     return _run(p, "string", lambda p, s: p.replace(s, by, count), t, missing=t)
 
